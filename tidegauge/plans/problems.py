@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators.grid import grid_streams, grid_windows
 from tidegauge.operators.intervals import intervention_periods
+from tidegauge.operators.spikes import implausible_readings
 from tidegauge.plans.runtime import load
 
 SIX_HOURS_MS = 6 * 3600 * 1000
@@ -41,6 +42,16 @@ def p4_streams(spark: SparkSession, d: str) -> DataFrame:
     return grid_streams(load(spark, d, "raw_metrics"), load(spark, d, "incidents"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Readings that spike, stick or cannot be."""
+    return implausible_readings(load(spark, d, "raw_metrics")).select("seq")
+
+
+def p6_flags(spark: SparkSession, d: str) -> DataFrame:
+    """The same readings with source, value and reason."""
+    return implausible_readings(load(spark, d, "raw_metrics"))
+
+
 _NAME = "translate(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '_. ', '---')"
 _PERIODS = f"""
 WITH valid AS (
@@ -103,7 +114,7 @@ sums AS (
   FROM weighted GROUP BY ALL)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_coverage": p1_coverage, "p4_found": p4_found, "p4_windows": p4_windows, "p4_streams": p4_streams}
+QUERIES = {"p1_found": p1_found, "p1_coverage": p1_coverage, "p4_found": p4_found, "p4_windows": p4_windows, "p4_streams": p4_streams, "p6_found": p6_found, "p6_flags": p6_flags}
 
 SQL = {
     "p1_found": _PERIODS + f"SELECT * FROM both_kinds WHERE kind = 'period' OR end_ms - start_ms <= {SIX_HOURS_MS}",

@@ -9,6 +9,7 @@ from tidegauge.llm.mixing import Mixture
 from tidegauge.llm.nearest import nearest_windows
 from tidegauge.llm.overlap import cross_split_overlaps, overlap_report
 from tidegauge.llm.quantiles import day_lists, percentiles
+from tidegauge.llm.spam import spam_documents, spam_shares
 from tidegauge.llm.tokenize import encode_corpus
 from tidegauge.plans.runtime import load
 
@@ -49,6 +50,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return Mixture(load(spark, d, "documents"), load(spark, d, "mix_targets")).report()
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents more than half of which is keyword stuffing, links or tags."""
+    return spam_documents(load(spark, d, "documents"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each document in such blocks."""
+    return spam_shares(load(spark, d, "documents")).select("doc_id", F.round("spam_share", 4).alias("spam_share"))
+
+
 _NAME = "translate(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '_. ', '---')"
 _SCENARIOS = f"""
 WITH shown AS (
@@ -62,7 +73,7 @@ pairs AS (
   WHERE len(a.edges) - len(list_intersect(a.edges, b.edges)) <= 1 AND len(b.edges) - len(list_intersect(a.edges, b.edges)) <= 1)
 """
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares}
 
 def _ranked(where: str, keys: str) -> str:
     """Percentiles by rank ceil(n * p / 1000) over the rows that count."""

@@ -237,21 +237,22 @@ class Judge:
     def verdict(self, lang: str, fold: int, block: str) -> tuple[bool | None, frozenset[str]]:
         """Whether a block is stuffing, links or tags; None where it is suspicious; its keywords."""
         none: frozenset[str] = frozenset()
+        dotted = " dot " in block or _DOTTED.search(block) is not None
         ends = block.count(". ") + block.count("? ") + block.count("! ")
-        if ends * 50 > NO_SENTENCES * len(block) and " dot " not in block and not _DOTTED.search(block) and self.deviation(lang, *ratio_of(block)) >= SUSPECT:
+        if not dotted and ends * 70 > NO_SENTENCES * len(block) and self.deviation(lang, *ratio_of(block)) >= SUSPECT:
             return False, none  # the ordinary case, told without the costlier measures
         kept = _QUOTED.sub(" ", block)
         if len(kept) < 0.5 * len(block):
             return False, none
-        if link_share(kept) >= LINKED:
+        if dotted and link_share(kept) >= LINKED:
             return True, none
         n, ratio = ratio_of(kept)
-        if n < LEAST or is_broken(kept):
-            return False, none
         off = self.deviation(lang, n, ratio)
         ended = sentence_density(kept) >= NO_SENTENCES
         if ended and off >= SUSPECT:
             return False, none
+        if n < LEAST or is_broken(kept):
+            return False, none
         lines = kept.split("\n")
         agenda = sum(bool(_NUMBERED.match(x)) for x in lines) * 60 > len(kept)
         if n - len(_ASIDE.sub("", kept).encode("utf-8")) > n / 2:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Sign, digits, point and exponent; nothing else counts as a number.
-NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+#: What is trimmed from names and numbers, and the characters a number may have.
+BLANKS, NUMBER_CHARACTERS = " \t\n\r\x0b\f", "0123456789+-.eE"
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def norm_name(c: Column | str) -> Column:
@@ -38,10 +38,14 @@ def finite(c: Column | str) -> Column:
 
 
 def usable_number(c: Column | str) -> Column:
-    """Text as a finite double, or NULL where the trimmed text is no finite number."""
+    """Text as a finite double, or NULL where the trimmed text is no finite number.
+
+    Sign, digits, point and exponent are all a number may have: of texts of these characters a
+    cast takes just those that are numbers, so no pattern is matched.
+    """
     c = F.col(c) if isinstance(c, str) else c
     t = _trim(c)
-    return finite(F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double")))
+    return finite(F.when(F.translate(t, NUMBER_CHARACTERS, "") == "", t.try_cast("double")))
 
 
 def epoch_ms(c: Column | str) -> Column:

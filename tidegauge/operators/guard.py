@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import epoch_ms, norm_label, norm_name, norm_token
+from tidegauge.operators.select import authorization
 
 #: Metric names, and the order of lifecycle phases.
 METRICS = ["lat_p99", "lat_p50", "err_rate", "rps", "cpu_pct", "mem_pct"]
@@ -86,22 +87,20 @@ def dispatch(scenarios: DataFrame) -> DataFrame:
     return scenarios.select("fault_id", fault.alias("fault"), norm_label("split").alias("split"), action.alias("action"))
 
 
-def pre_gate(probes: DataFrame, approved: list[str], budget: float = 600.0) -> DataFrame:
+def pre_gate(probes: DataFrame, approved: list[str], pattern: str, budget: float = 600.0) -> DataFrame:
     """First hard stop of each probe, soft warnings, decision and level.
 
     ``probes``: kill, namespace, target, cumulative_s, seconds, mutates, blast_radius, impact,
-    confidence, override.
+    confidence, override; a namespace must match ``pattern`` and be approved.
     """
     stop = (
         F.when(F.col("kill"), "KILL_SWITCH")
-        .when(~F.col("namespace").rlike("^rift-eval-.+$") | ~F.col("namespace").isin(approved), "NAMESPACE")
+        .when(~F.col("namespace").rlike(pattern) | ~F.col("namespace").isin(approved), "NAMESPACE")
         .when(F.col("target").isNull(), "TARGET")
         .when(F.col("cumulative_s") + F.col("seconds") > budget, "BUDGET")
         .when(F.col("mutates"), "DATA_MUTATION")
     )
     soft = F.array_compact(F.array(F.when(F.col("blast_radius") >= 0.3, F.lit("BLAST_RADIUS")), F.when(F.col("impact") >= 0.05, F.lit("SLA_IMPACT"))))
-    from tidegauge.operators.select import authorization
-
     level = F.when(F.col("override"), "AUTONOMOUS").otherwise(authorization(F.col("blast_radius"), F.col("impact"), F.col("confidence")))
     return probes.withColumn("hard_stop", stop).withColumn("warnings", F.concat_ws(",", soft)).withColumn("level", level).withColumn("decision", F.when(stop.isNotNull(), "DENY").otherwise("ALLOW"))
 

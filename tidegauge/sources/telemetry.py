@@ -9,7 +9,7 @@ from tidegauge.functions import finite, norm_label
 
 #: Form of a range response; values are [time, text] pairs.
 RESPONSE = "status string, data struct<resultType:string, result:array<struct<metric:map<string,string>, values:array<array<string>>>>>, _corrupt_record string"
-SCENARIO = "split string, n_scenarios bigint, scenarios array<struct<fault_id:string, name:string, root_cause_service:string, fault_type:string, injected_at_t:double, expected_recovery_t:double, causal_path:array<array<string>>, confounded:boolean, confounder_description:string, affected_services:array<string>, observable_by_rift:boolean, split:string, ground_truth_locked:boolean, seed:bigint>>"
+SCENARIO = "split string, n_scenarios bigint, scenarios array<struct<fault_id:string, name:string, root_cause_service:string, fault_type:string, injected_at_t:double, expected_recovery_t:double, causal_path:array<array<string>>, confounded:boolean, confounder_description:string, affected_services:array<string>, split:string, ground_truth_locked:boolean, seed:bigint>>"
 
 
 def valid_responses(raw: DataFrame, body: str = "body") -> DataFrame:
@@ -137,7 +137,7 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", partition_by: l
 
 def latex_rows(df: DataFrame) -> DataFrame:
     """Each row as a line of a tabular; doubles with three decimals, --- for NULL."""
-    cells = [F.coalesce(F.format_string("%.3f", c) if t == "double" else F.regexp_replace(F.col(c).cast("string"), "_", r"\\\\_"), F.lit("---")) for c, t in df.dtypes]
+    cells = [F.coalesce(F.format_string("%.3f", c) if t == "double" else F.regexp_replace(F.col(c).cast("string"), "_", r"\\_"), F.lit("---")) for c, t in df.dtypes]
     return df.select(F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\")).alias("line"))
 
 

@@ -4,8 +4,9 @@ Method: iterative proportional fitting. Documents fall into cells of source, lan
 the weights of the cells (expected copies of each of their documents) are raked to the token
 marginals of source, language and topic until they agree, the source last, so the shares of the
 sources hold exactly in expectation. Documents are then sampled with these calibrated weights:
-the whole part is certain, the rest is drawn systematically along each source ordered by size, so
-the drawn tokens follow the expected ones within a few documents.
+the whole part is certain, the rest is drawn systematically along each source ordered by size.
+Large documents are drawn first and the weights of smaller ones recalibrated to what is then left
+of the goal, so the drawn tokens end within about one small document of it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ TOPICS = 64
 ROUNDS = 40
 #: Documents of a sampling bucket on average; a bucket is ordered by one task.
 BUCKET_ROWS = 50_000
+#: Documents are drawn in strata of falling size, parted at these token counts.
+STRATA = (512, 256, 96)
 #: Whole units of a fractional copy; sums of integers do not depend on their order.
 UNIT = 1_000_000_000
 
@@ -112,24 +115,44 @@ class Mixture:
             "mix_id", "source", "target_share", "max_repeats", F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"),
             size.alias("mix_tokens"), (F.col("target_share") * size).alias("target_tokens"),
         ).withColumn("goal", F.least("target_tokens", (F.col("max_repeats") * F.col("available_tokens")).cast("double")))
-        self.copies = cut_lineage(self._draw())
+        self.copies = self._draw()
 
     def _draw(self) -> DataFrame:
         cells = self.docs.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")).join(bounded_broadcast(self.goals.select("mix_id", "source", "goal", "max_repeats")), "source").filter("tokens > 0")
         # A mix has at most (its sources) x (languages) x TOPICS cells, however many documents.
         weights = cells.groupBy("mix_id").applyInPandas(_rake_mix, "mix_id int, source string, lang string, topic bigint, weight double")
         rows = self.docs.filter("n_tokens > 0").join(bounded_broadcast(cut_lineage(weights)), ["source", "lang", "topic"])
-        rows = rows.select("mix_id", "doc_id", "source", "n_tokens", F.floor("weight").alias("sure"), F.round((F.col("weight") - F.floor("weight")) * UNIT).cast("bigint").alias("part"), F.xxhash64("doc_id", F.lit(self.seed), "mix_id").alias("h"))
-        # Buckets along the order by size: classes of about 9 per cent, the large ones salted.
+        rows = rows.join(bounded_broadcast(self.goals.select("mix_id", "source", "goal", "max_repeats")), ["mix_id", "source"])
+        rows = cut_lineage(rows.select("mix_id", "doc_id", "source", "n_tokens", "weight", "goal", "max_repeats", F.xxhash64("doc_id", F.lit(self.seed), "mix_id").alias("h"), sum((F.when(F.col("n_tokens") < t, 1).otherwise(0) for t in STRATA), F.lit(0)).alias("stratum")))
+        expected = rows.groupBy("mix_id", "source", "stratum").agg(F.sum(F.col("weight") * F.col("n_tokens")).alias("tokens"))
+        drawn = None
+        for k in range(len(STRATA) + 1):
+            part = rows.filter(F.col("stratum") == k)
+            if drawn is not None:
+                # What the larger documents drew too much or too little is made up for by the smaller.
+                have = drawn.groupBy("mix_id", "source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("have"))
+                own = expected.filter(F.col("stratum") == k).select("mix_id", "source", F.col("tokens").alias("own"))
+                rest = expected.filter(F.col("stratum") > k).groupBy("mix_id", "source").agg(F.sum("tokens").alias("rest"))
+                need = F.col("goal") - F.coalesce("have", F.lit(0)) - F.coalesce("rest", F.lit(0.0))
+                factor = own.join(have, ["mix_id", "source"], "left").join(rest, ["mix_id", "source"], "left")
+                part = part.join(bounded_broadcast(factor), ["mix_id", "source"]).withColumn("weight", F.when(F.col("own") > 0, F.least(F.greatest(F.col("weight") * need / F.col("own"), F.lit(0.0)), F.col("max_repeats").cast("double"))).otherwise(F.col("weight")))
+            one = cut_lineage(self._sample(part.select("mix_id", "doc_id", "source", "n_tokens", "weight", "h")))
+            drawn = one if drawn is None else drawn.unionByName(one)
+        return drawn
+
+    def _sample(self, rows: DataFrame) -> DataFrame:
+        """Whole copies for certain, the rest by one systematic draw along each source."""
+        rows = rows.withColumn("sure", F.floor("weight")).withColumn("part", F.round((F.col("weight") - F.floor("weight")) * UNIT).cast("bigint"))
+        # Buckets from large to small documents: classes of about 9 per cent, the large ones salted.
         rows = rows.withColumn("klass", F.floor(F.log2(F.col("n_tokens").cast("double")) * 8))
         totals = rows.groupBy("mix_id", "source", "klass").agg(F.count(F.lit(1)).alias("n"))
         salts = totals.select("mix_id", "source", "klass", F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS)).cast("bigint").alias("salts"))
         rows = rows.join(bounded_broadcast(salts), ["mix_id", "source", "klass"]).withColumn("salt", F.pmod("h", "salts"))
         bucket = ["mix_id", "source", "klass", "salt"]
         start = F.pmod(F.xxhash64("mix_id", "source", F.lit(self.seed)), F.lit(UNIT))
-        before = Window.partitionBy("mix_id", "source").orderBy("klass", "salt").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("mix_id", "source").orderBy(F.desc("klass"), "salt").rowsBetween(Window.unboundedPreceding, -1)
         offsets = rows.groupBy(*bucket).agg(F.sum("part").alias("parts")).select(*bucket, (F.coalesce(F.sum("parts").over(before), F.lit(0)) + start).alias("offset"))
-        inside = Window.partitionBy(*bucket).orderBy("n_tokens", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        inside = Window.partitionBy(*bucket).orderBy(F.desc("n_tokens"), "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.join(bounded_broadcast(offsets), bucket).withColumn("upto", F.col("offset") + F.sum("part").over(inside))
         copies = F.expr(f"sure + (upto div {UNIT}) - ((upto - part) div {UNIT})")
         return rows.select("mix_id", "doc_id", "source", "n_tokens", copies.alias("copies")).filter("copies > 0")

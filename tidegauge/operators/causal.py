@@ -153,7 +153,38 @@ class Search:
                     for d in self._near(b):
                         if d not in (a, c) and m[a, d] == CIRCLE and m[c, d] == CIRCLE:
                             changed |= self._set(d, b, ARROW)
-        return changed | self._discriminate()
+        return changed | self._discriminate() | self._uncovered()
+
+    def _open_ways(self, a: int, c: int) -> list[list[int]]:
+        """Uncovered ways from a to c on which no mark forbids the direction from a to c."""
+        m, out, front = self.mark, [], [[a]]
+        while front:
+            way = front.pop()
+            for v in self._near(way[-1]):
+                if v in way or m[v, way[-1]] == ARROW or m[way[-1], v] == TAIL or (len(way) > 1 and m[way[-2], v]):
+                    continue
+                if v == c:
+                    out.append([*way, v])
+                else:
+                    front.append([*way, v])
+        return out
+
+    def _uncovered(self) -> bool:
+        m, changed = self.mark, False
+        for a in range(self.k):
+            for c in self._near(a):
+                if m[a, c] != ARROW or m[c, a] != CIRCLE:
+                    continue
+                # R9: an open way a, b, .. c with b and c apart: a -> c.
+                if any(len(w) > 3 and not m[w[1], c] for w in self._open_ways(a, c)):
+                    changed |= self._set(c, a, TAIL)
+                    continue
+                # R10: b -> c <- d and open ways from a to b and to d that begin apart: a -> c.
+                into = [b for b in self._near(c) if b != a and m[b, c] == ARROW and m[c, b] == TAIL]
+                starts = {b: {w[1] for w in self._open_ways(a, b)} for b in into}
+                if any(x != y and not m[x, y] for b, d in combinations(into, 2) for x in starts[b] for y in starts[d]):
+                    changed |= self._set(c, a, TAIL)
+        return changed
 
     def _discriminate(self) -> bool:
         # R4: a path v .. a, b, c whose inner nodes are colliders and parents of c decides b.

@@ -1,6 +1,7 @@
 """Hand-made cases of the operators; whole tables are compared with SQL by compare.py."""
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -138,6 +139,47 @@ def test_resampled_inference(spark):
     assert near.p_value > 0.05
 
 
+def test_resampling_at_full_counts(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(0, 1, 30), rng.normal(3, 1, 31)
+    df = samples(spark, a, b)
+    assert diverge.permutation_test(df, ["k"], 10_000).first().p_value == pytest.approx(1 / 10_001)
+    small = samples(spark, [1, 2, 3], [2.5, 4, 6])
+    # 20 splits of six values: the exact share of those at least as far apart.
+    v = [1, 2, 3, 2.5, 4, 6]
+    w = [np.abs(np.sort([v[i] for i in s]) - np.sort([v[i] for i in range(6) if i not in s])).mean() for s in combinations(range(6), 3)]
+    assert diverge.permutation_test(small, ["k"], 10_000).first().p_value == pytest.approx(np.mean(np.array(w) >= w[0] - 1e-9), abs=0.02)
+    # Both sides are drawn apart: two equal samples are not resampled alike.
+    same = diverge.bootstrap_interval(samples(spark, a, a), ["k"], 1000).first()
+    ref = [np.abs(np.sort(rng.choice(a, 30)) - np.sort(rng.choice(a, 30))).mean() for _ in range(4000)]
+    assert same.w1_low == pytest.approx(np.percentile(ref, 2.5), rel=0.15) and same.w1_high == pytest.approx(np.percentile(ref, 97.5), rel=0.15)
+    r = diverge.divergence(df, ["k"], replicates=1000, resamples=200).first()
+    assert r.p_value == pytest.approx(1 / 1001) and r.w1_low < r.w1 < r.w1_high and r.significant
+
+
+def test_replicates_of_a_large_key_are_spread(spark, monkeypatch):
+    df = samples(spark, range(40), [x + 2 for x in range(41)])
+    whole = diverge.permutation_test(df, ["k"], 3000).first().p_value
+    monkeypatch.setattr(diverge, "CELLS", 8100)
+    parts = diverge.spread(diverge._sides(df, ["k"]), 3000, F.size("xs") + F.size("ys")).collect()
+    assert len(parts) == 12 and sum(n for p in parts for _, n in diverge.replicate_blocks(3000, 81, 42, p.part, p.parts)) == 3000
+    assert 0 < whole < 1
+
+
+def test_registered_counts_of_resampling(spark, monkeypatch):
+    from tidegauge.plans import reference, reference_more
+
+    seen = {}
+    for module, name in ((diverge, "permutation_test"), (diverge, "bootstrap_interval"), (evaluate, "bootstrap_mean")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df, key, n, *more, _real=real, _name=name: seen.setdefault(_name, []).append(n) or _real(df, key, n, *more))
+    d = "/root/testdata/sf0.001"
+    for f in (reference.d6_permutation, reference.d6_wall_times, reference.d7_bootstrap, reference_more.e5_bootstrap, reference_more.e20_complete):
+        f(spark, d)
+    assert seen == {"permutation_test": [10_000, 10_000], "bootstrap_interval": [1000], "bootstrap_mean": [2000, 2000]}
+    assert {"p_value", "w1_low", "w1_high", "significant"} <= set(reference.d8_divergence(spark, d).columns)
+
+
 def test_posterior_update_by_hand(spark):
     prior = spark.createDataFrame([(1, "A", 0.5), (1, "B", 0.5), (2, "A", 1.0)], "run int, service_id string, p double")
     got = {(r.run, r.service_id): r.p for r in select.update_posterior(prior, spark.createDataFrame([(1, "A", 0.9)], "run int, target string, c double"), ["run"]).collect()}

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALPHA = 0.05
@@ -47,47 +50,133 @@ def grade(n_base: str = "n_base", n_post: str = "n_post"):
     return F.when(n < 20, "INSUFFICIENT").when(n < 50, "CANDIDATE").otherwise("RELIABLE")
 
 
-def hashed_index(seed: int, replicate: str, i: str, n: str):
-    """A draw from 0..n-1 that depends on nothing but its names, so any engine repeats it."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(replicate), F.col(i))), 1, 8), 16, 10).cast("bigint") % F.col(n)
+#: Cells of the replicate matrices that a worker holds at once, and tasks that the replicates of a key are spread over at most.
+CELLS, TASKS = 1_000_000, 12
+
+
+def replicate_blocks(replicates: int, n: int, seed: int, part: int = 0, parts: int = 1) -> Iterator[tuple[np.random.Generator, int]]:
+    """Generator and number of replicates of each block of at most ``CELLS`` cells of a part.
+
+    Blocks depend on n alone, so a draw is the same however rows are partitioned.
+    """
+    rows = max(1, CELLS // n)
+    for block in range(part, math.ceil(replicates / rows), parts):
+        yield np.random.default_rng([seed, block]), min(rows, replicates - block * rows)
+
+
+def spread(df: DataFrame, replicates: int, size: Column) -> DataFrame:
+    """Each row once for each task (part of parts) that takes a share of its replicates."""
+    blocks = F.ceil(F.lit(replicates) / F.greatest(F.lit(1), F.floor(F.lit(CELLS) / size)))
+    parts = df.withColumn("_size", size).withColumn("parts", F.least(F.lit(TASKS), blocks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Small in bytes and large in work: a fixed number of partitions, which is never coalesced.
+    return parts.repartition(tasks, *(c for c in df.columns if c not in ("xs", "ys")), "part").sortWithinPartitions("_size").drop("_size")
+
+
+def percentile_interval(parts: DataFrame, key: list[str], level: float, low: str, high: str) -> DataFrame:
+    """Percentiles of the replicates in the arrays ``_w`` of all parts of a key, interpolated linearly."""
+    rows = parts.groupBy(*key).agg(F.sort_array(F.flatten(F.collect_list("_w"))).alias("_w"))
+
+    def at(q: float) -> Column:
+        place = (F.size("_w") - 1) * F.lit(q)
+        lo, hi = F.get("_w", F.floor(place).cast("int")), F.get("_w", F.ceil(place).cast("int"))
+        return lo + (hi - lo) * (place - F.floor(place))
+
+    return rows.select(*key, at((1 - level) / 2).alias(low), at((1 + level) / 2).alias(high))
+
+
+def _sides(samples: DataFrame, key: list[str]) -> DataFrame:
+    """Sorted values of both sides of each key that has both: 8 bytes a value, held by one worker."""
+    rows = samples.filter("value is not null and not isnan(value)")
+    both = rows.groupBy(*key).agg(*(F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("value").cast("double")))).alias(name) for side, name in (("base", "xs"), ("post", "ys"))))
+    return both.filter("size(xs) > 0 and size(ys) > 0")
+
+
+def _kinds(df: DataFrame, key: list[str]) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in key)
+
+
+def _area(ca: np.ndarray, cb: np.ndarray, na: int, nb: int, width: np.ndarray) -> np.ndarray:
+    """W1 of each row of running counts over sorted values that are ``width`` apart."""
+    return np.abs(ca / na - cb / nb) @ width
 
 
 def permutation_test(samples: DataFrame, key: list[str], replicates: int, seed: int = 42) -> DataFrame:
     """Share of label permutations with at least the observed W1: (hits + 1) / (replicates + 1).
 
-    A replicate orders the rows of a key by the digest of (seed, replicate, row) and gives the
-    first ones to the base side. Rows are exploded into replicates, so no key is held as a whole.
+    A worker holds the sorted values of one key and permutes labels in blocks of ``CELLS``; the
+    replicates of a large key are spread over tasks. Keys of equal sizes share their permutations.
     """
-    order = Window.partitionBy(*key).orderBy("side", "value", "idx")
-    rows = samples.filter("value is not null and not isnan(value)").withColumn("_i", F.row_number().over(order)).withColumn("_na", F.count_if(F.col("side") == "base").over(Window.partitionBy(*key)))
-    many = rows.select(*key, "value", "_i", "_na", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r"))
-    shuffled = Window.partitionBy(*key, "_r").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_r"), F.col("_i"))), "_i")
-    many = many.withColumn("_k", F.row_number().over(shuffled)).select(*key, "_r", "value", F.when(F.col("_k") <= F.col("_na"), "base").otherwise("post").alias("side"))
-    null = wasserstein(many, [*key, "_r"]).select(*key, F.col("w1").alias("_w"))
-    seen = wasserstein(samples, key)
-    return null.join(seen, key).groupBy(*key).agg(((F.count_if(F.col("_w") >= F.col("w1") - 1e-9) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, gaps = None, None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                a, b = np.asarray(r.xs), np.asarray(r.ys)
+                na, nb, n = len(a), len(b), len(a) + len(b)
+                v = np.concatenate([a, b])
+                order = np.argsort(v, kind="stable")
+                width = np.diff(v[order])
+                upto = np.arange(1, n)
+                ca = np.cumsum(order < na)[:-1]
+                seen = float(_area(ca, upto - ca, na, nb, width))
+                least, hits, drawn = seen - 1e-9 * max(1.0, seen), 0, 0
+                whole = r.parts == 1 and replicates * n <= CELLS
+                if whole and last == (na, nb):
+                    hits, drawn = int((gaps @ width >= least).sum()), replicates
+                else:
+                    for rng, rows in replicate_blocks(replicates, n, seed, r.part, r.parts):
+                        label = np.zeros((rows, n), np.int8)
+                        label[:, :na] = 1
+                        rng.permuted(label, axis=1, out=label)
+                        c = np.cumsum(label[:, :-1], axis=1, dtype=np.int32)
+                        g = np.abs(c / na - (upto - c) / nb)
+                        hits, drawn = hits + int((g @ width >= least).sum()), drawn + rows
+                        if whole:
+                            last, gaps = (na, nb), g
+                out.append((*(getattr(r, k) for k in key), hits, drawn))
+            yield pd.DataFrame(out, columns=[*key, "_hits", "_drawn"])
+
+    both = _sides(samples, key)
+    parts = spread(both, replicates, F.size("xs") + F.size("ys")).mapInPandas(test, f"{_kinds(both, key)}, _hits bigint, _drawn bigint")
+    return parts.groupBy(*key).agg(((F.sum("_hits") + 1) / (F.sum("_drawn") + 1)).alias("p_value"))
 
-def bootstrap_interval(samples: DataFrame, key: list[str], replicates: int, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Percentile interval of W1 over resamples of both sides drawn by digest."""
-    order = Window.partitionBy(*key, "side").orderBy("value", "idx")
-    rows = samples.filter("value is not null and not isnan(value)").withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key, "side")))
-    draws = rows.select(*key, "side", "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r")).withColumn("_i", hashed_index(seed, "_r", "_i", "_n")).select(*key, "side", "_r", "_i")
-    drawn = draws.join(rows.select(*key, "side", "_i", "value"), [*key, "side", "_i"])
-    w = wasserstein(drawn, [*key, "_r"])
-    tail = (1 - level) / 2
-    return w.groupBy(*key).agg(F.percentile("w1", tail).alias("w1_low"), F.percentile("w1", 1 - tail).alias("w1_high"))
 
-
-def divergence(samples: DataFrame, key: list[str], *, replicates: int = 0, seed: int = 42) -> DataFrame:
+def bootstrap_interval(samples: DataFrame, key: list[str], replicates: int, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Percentile interval of W1 over resamples of both sides, each drawn for itself."""
+
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def upto(rng: np.random.Generator, rows: int, n: int) -> np.ndarray:
+            # How often the first 0, 1, .. n values of a side were drawn.
+            draws = rng.integers(0, n, (rows, n)) + np.arange(rows)[:, None] * n
+            counts = np.bincount(draws.ravel(), minlength=rows * n).reshape(rows, n)
+            return np.concatenate([np.zeros((rows, 1), np.int64), np.cumsum(counts, axis=1)], axis=1)
+
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                a, b = np.asarray(r.xs), np.asarray(r.ys)
+                v = np.sort(np.concatenate([a, b]))
+                ia, ib = np.searchsorted(a, v[:-1], "right"), np.searchsorted(b, v[:-1], "right")
+                w = [_area(upto(rng, rows, len(a))[:, ia], upto(rng, rows, len(b))[:, ib], len(a), len(b), np.diff(v)) for rng, rows in replicate_blocks(replicates, len(v), seed, r.part, r.parts)]
+                out.append((*(getattr(r, k) for k in key), np.concatenate(w)))
+            yield pd.DataFrame(out, columns=[*key, "_w"])
+
+    both = _sides(samples, key)
+    parts = spread(both, replicates, F.size("xs") + F.size("ys")).mapInPandas(resample, f"{_kinds(both, key)}, _w array<double>")
+    return percentile_interval(parts, key, level, "w1_low", "w1_high")
+
+
+def divergence(samples: DataFrame, key: list[str], *, replicates: int = 0, resamples: int | None = None, seed: int = 42) -> DataFrame:
     """W1, threshold, grade and, with ``replicates``, p-value and interval of each key.
 
-    An INSUFFICIENT key keeps its threshold and has no metric; ``exceeds`` is W1 > threshold.
+    ``replicates`` are permutations; the interval takes ``resamples``, or as many. An INSUFFICIENT key keeps its threshold and has no metric; ``exceeds`` is W1 > threshold.
     """
     rows = wasserstein(samples, key).join(iqr_threshold(samples, key), key).join(total_variation(samples, key), key).withColumn("grade", grade())
     names = ["w1", "tv"]
     if replicates:
-        rows = rows.join(permutation_test(samples, key, replicates, seed), key, "left").join(bootstrap_interval(samples, key, replicates, seed), key, "left")
+        rows = rows.join(permutation_test(samples, key, replicates, seed), key, "left").join(bootstrap_interval(samples, key, resamples or replicates, seed), key, "left")
         names += ["p_value", "w1_low", "w1_high"]
     ok = F.col("grade") != "INSUFFICIENT"
     rows = rows.select(*key, "n_base", "n_post", "grade", "theta", *(F.when(ok, F.col(n)).alias(n) for n in names))

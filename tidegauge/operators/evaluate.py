@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,14 +73,25 @@ def cost_metrics(results: DataFrame, budget: float = 600.0) -> DataFrame:
 
 
 def bootstrap_mean(scores: DataFrame, key: list[str], replicates: int, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean over resamples drawn by digest. ``scores``: key, idx, score."""
-    from tidegauge.operators.diverge import hashed_index
-
-    rows = scores.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy("score", "idx")) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
-    draws = rows.select(*key, "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r")).withColumn("_i", hashed_index(seed, "_r", "_i", "_n"))
-    means = draws.select(*key, "_r", "_i").join(rows.select(*key, "_i", "score"), [*key, "_i"]).groupBy(*key, "_r").agg(F.avg("score").alias("_m"))
-    tail = (1 - level) / 2
-    return means.groupBy(*key).agg(F.percentile("_m", tail).alias("low"), F.percentile("_m", 1 - tail).alias("high"))
+    """Percentile interval of the mean over resamples. ``scores``: key, idx, score.
+
+    A worker holds the scores of one key, 8 bytes each; the replicates of a large key are spread over tasks.
+    """
+    from tidegauge.operators.diverge import percentile_interval, replicate_blocks, spread
+
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                x = np.asarray(r.xs)
+                means = [x[rng.integers(0, len(x), (rows, len(x)))].mean(axis=1) for rng, rows in replicate_blocks(replicates, len(x), seed, r.part, r.parts)]
+                out.append((*(getattr(r, k) for k in key), np.concatenate(means)))
+            yield pd.DataFrame(out, columns=[*key, "_w"])
+
+    held = scores.filter("score is not null").groupBy(*key).agg(F.sort_array(F.collect_list(F.col("score").cast("double"))).alias("xs"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema if f.name in key)
+    parts = spread(held, replicates, F.size("xs")).mapInPandas(resample, f"{kinds}, _w array<double>")
+    return percentile_interval(parts, key, level, "low", "high")
 
 
 def cliffs_delta(pairs: DataFrame, key: list[str]) -> DataFrame:

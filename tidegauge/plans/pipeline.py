@@ -64,7 +64,8 @@ class Analysis:
 
     @property
     def divergence(self) -> DataFrame:
-        return diverge.divergence(self.samples, ["incident_id", "service_id"])
+        """With the reference pipeline's 1,000 permutations and 200 resamples."""
+        return diverge.divergence(cut_lineage(self.samples), ["incident_id", "service_id"], replicates=1000, resamples=200)
 
     @cached_property
     def candidates(self) -> DataFrame:

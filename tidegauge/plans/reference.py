@@ -245,16 +245,31 @@ def d4_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d8_divergence(spark: SparkSession, d: str) -> DataFrame:
-    return _with_rounded(Analysis(spark, d).divergence, "theta", "w1", "tv", dp=8).select(*KEY, "n_base", "n_post", "grade", "theta", "w1", "tv", "exceeds", "note")
+    rows = _with_rounded(Analysis(spark, d).divergence, "theta", "w1", "tv", "p_value", "w1_low", "w1_high", dp=8)
+    return rows.select(*KEY, "n_base", "n_post", "grade", "theta", "w1", "tv", "p_value", "w1_low", "w1_high", "exceeds", "significant", "note")
 
 
 def d6_permutation(spark: SparkSession, d: str) -> DataFrame:
+    """Permutation p-values of the mean window values of each metric: even against odd incidents."""
+    return _with_rounded(diverge.permutation_test(_method_samples(spark, d), ["method_id"], 10_000), "p_value")
+
+
+def d6_wall_times(spark: SparkSession, d: str) -> DataFrame:
     """Permutation p-values of wall times of each method: first against second half of the days."""
-    return _with_rounded(diverge.permutation_test(_method_samples(spark, d), ["method_id"], 20), "p_value")
+    return _with_rounded(diverge.permutation_test(_wall_times(spark, d), ["method_id"], 10_000), "p_value")
+
+
+def _wall_times(spark: SparkSession, d: str) -> DataFrame:
+    """Usable wall times, once for each record_no, by half of the days recorded."""
+    log = load(spark, d, "stage_log").groupBy("record_no").agg(F.max(F.struct("ingested_at", "method_id", "wall_time_s", "recorded_at")).alias("r")).select("r.*")
+    log = log.filter("method_id is not null and recorded_at is not null and wall_time_s >= 0 and wall_time_s < double('inf')").select("method_id", F.to_date("recorded_at").alias("_day"), F.col("wall_time_s").alias("value"))
+    # One row a day.
+    days = log.select("_day").distinct().select("_day", F.ntile(2).over(Window.orderBy("_day")).alias("_half"))
+    return log.join(F.broadcast(days), "_day").select("method_id", F.when(F.col("_half") == 1, "base").otherwise("post").alias("side"), "value")
 
 
 def d7_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return _with_rounded(diverge.bootstrap_interval(_method_samples(spark, d), ["method_id"], 20), "w1_low", "w1_high", dp=4)
+    return _with_rounded(diverge.bootstrap_interval(_method_samples(spark, d), ["method_id"], 1000), "w1_low", "w1_high", dp=4)
 
 
 def _method_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -504,7 +519,7 @@ QUERIES = {f.__name__: f for f in (
     t1_grid, t2_last_in_window, t3_bounded_fill, t4_report, t5_last_delivery, t8_lag_alarms, t9_within, t10_wide, t11_fill_zero, t12_complete, t13_baseline,
     a1_scores, a3_anomalous, a4_persistence, a5_precedence, a12_ranking, a13_latency,
     g1_time_sliced, g2_collapse, g3_closure, g4_scenario_paths, g6_depth, g8_skeleton, g10_subgraph, g12_degrees, g14_blast,
-    d1_wasserstein, d3_variation, d4_threshold, d6_permutation, d7_bootstrap, d8_divergence,
+    d1_wasserstein, d3_variation, d4_threshold, d6_permutation, d6_wall_times, d7_bootstrap, d8_divergence,
     l1_entropy, l2_posterior, l3_costs, l6_selection, l10_edges, l11_posterior_update,
     i1_precision, i4_clean_windows, i7_dispatch, i11_cascade, v1_violations,
     c1_discovery, c2_correlation, c9_identify,

@@ -104,7 +104,7 @@ def e2_tiers(spark: SparkSession, d: str) -> DataFrame:
 def e5_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the accuracy of each method."""
     rows = evaluate.precision_at(base._results(spark, d), 1).select("method", F.col("fault_id").alias("idx"), F.col("hit_1").cast("double").alias("score"))
-    return evaluate.bootstrap_mean(rows, ["method"], 20).select("method", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return evaluate.bootstrap_mean(rows, ["method"], 2000).select("method", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def e12_confirmatory(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +127,7 @@ def e20_complete(spark: SparkSession, d: str) -> DataFrame:
     """Attribution, cost and interval of each method in one row."""
     results = base._results(spark, d)
     scores = evaluate.precision_at(results, 1).select("method", F.col("fault_id").alias("idx"), F.col("hit_1").cast("double").alias("score"))
-    out = evaluate.attribution_metrics(results).drop("total_ed_s").join(evaluate.cost_metrics(results), "method").join(evaluate.bootstrap_mean(scores, ["method"], 20), "method")
+    out = evaluate.attribution_metrics(results).drop("total_ed_s").join(evaluate.cost_metrics(results), "method").join(evaluate.bootstrap_mean(scores, ["method"], 2000), "method")
     return out.withColumns({c: F.round(c, 4) for c, t in out.dtypes if t == "double"})
 
 

@@ -92,6 +92,31 @@ def test_closure_ends_on_cycles_and_takes_the_least_shortest_path(spark):
     assert got["a", "e"] == (2, "abe") and ("a", "a") not in got and got["c", "e"] == (3, "cabe") and len(got) == 13
 
 
+CHAIN = [(f"n{i}", f"n{i + 1}") for i in range(7)]
+
+
+def chain_analysis(spark, monkeypatch, edges):
+    from tidegauge.plans.pipeline import Analysis
+
+    monkeypatch.setattr(Analysis, "edges", spark.createDataFrame(edges, "src string, dst string"))
+
+
+def test_reachability_has_no_bound(spark, monkeypatch):
+    from tidegauge.plans import reference
+
+    cycle = graph.closure(spark.createDataFrame([*CHAIN, ("n7", "n0")], "src string, dst string"), [])
+    assert cycle.count() == 56 and cycle.agg(F.max("depth")).first()[0] == 7
+    chain_analysis(spark, monkeypatch, CHAIN)
+    got = {(r.src, r.dst): (r.depth, r.path) for r in reference.g3_closure(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == 28 and got["n0", "n7"] == (7, ">".join(f"n{i}" for i in range(8)))
+    far = series(spark, [0, 50, 50, 0, 0, 0], "n0") + series(spark, [0, 0, 0, 0, 50, 50], "n6")
+    r = ranked(spark, far, [(1, "n0", 0.0, 10.0), (1, "n6", 0.0, 10.0)], CHAIN)
+    assert r["n0"].confidence == "CANDIDATE" and r["n0"].path == ">".join(f"n{i}" for i in range(7))
+    seeds = spark.createDataFrame([(1, f"n{i}", 1.0) for i in range(8)], "incident_id bigint, service_id string, score double")
+    gain = graph.propagation_scores(seeds, graph.closure(spark.createDataFrame(CHAIN, "src string, dst string"), [])).filter("service_id = 'n0'").first().propagated
+    assert gain == pytest.approx(1 + sum(0.5 ** (d * (d + 1) / 2) for d in range(1, 6)))
+
+
 SUBGRAPHS = [
     ([("root", "middle"), ("middle", "leaf")], {"root": 5.0, "middle": 4.0, "leaf": 3.5}, [], {"root", "middle", "leaf"}),
     ([("hidden", "observed"), ("observed", "leaf")], {"observed": 4.5, "leaf": 3.5}, [], {"hidden", "observed", "leaf"}),

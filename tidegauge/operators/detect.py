@@ -58,7 +58,7 @@ def precedence(diverging: DataFrame, delta_ms: int) -> DataFrame:
     return diverging.withColumn("_first", F.min("t_star_ms").over(incident)).withColumn("r2", F.col("_first") >= F.col("t_star_ms") - 0.01 * delta_ms).withColumn("n_ties", F.count(F.lit(1)).over(near) - 1).drop("_first")
 
 
-def rank_divergence(dev: DataFrame, edges: DataFrame, evidence: DataFrame | None = None, *, theta: float = THETA, persist: int = PERSIST, delta_ms: int = 10_000, hops: int = 4, bidirected: DataFrame | None = None) -> DataFrame:
+def rank_divergence(dev: DataFrame, edges: DataFrame, evidence: DataFrame | None = None, *, theta: float = THETA, persist: int = PERSIST, delta_ms: int = 10_000, hops: int | None = None, bidirected: DataFrame | None = None) -> DataFrame:
     """Earliest-divergence ranking of the services of each incident by rules R1 to R4.
 
     R1 lasting divergence; R2 none earlier, or all earlier ones in the graph are reached from it;

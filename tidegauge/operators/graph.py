@@ -15,19 +15,23 @@ def path_edges(scenarios: DataFrame) -> DataFrame:
     return e.filter("src is not null and dst is not null and src <> dst").distinct()
 
 
-def closure(edges: DataFrame, key: list[str], hops: int) -> DataFrame:
-    """Pairs reachable within ``hops`` edges with the shortest path, the least of equal ones.
+def closure(edges: DataFrame, key: list[str], hops: int | None = None) -> DataFrame:
+    """Reachable pairs with the shortest path, the least of equal ones; within ``hops`` edges if given.
 
-    Frontier joins: each round extends only the pairs first reached in the round before, so cycles
-    end. Columns: ``key``, src, dst, depth, path (nodes).
+    Frontier joins: each round extends only the pairs first reached in the round before, until there
+    are none, so cycles end. Columns: ``key``, src, dst, depth, path (nodes).
     """
     step = edges.select(*key, F.col("src").alias("_mid"), F.col("dst").alias("_to")).distinct()
     reached = edges.filter("src <> dst").select(*key, "src", "dst").distinct().select(*key, "src", "dst", F.lit(1).alias("depth"), F.array("src", "dst").alias("path"))
-    reached = front = cut_lineage(reached) if hops > 1 else reached
-    for depth in range(2, hops + 1):
+    reached = front = cut_lineage(reached) if hops is None or hops > 1 else reached
+    depth = 1
+    while hops is None or depth < hops:
+        depth += 1
         nxt = front.withColumnRenamed("dst", "_mid").join(step, [*key, "_mid"]).filter("src <> _to").select(*key, "src", F.col("_to").alias("dst"), F.lit(depth).alias("depth"), F.concat("path", F.array("_to")).alias("path"))
         nxt = nxt.groupBy(*key, "src", "dst").agg(F.min("path").alias("path")).select(*key, "src", "dst", F.lit(depth).alias("depth"), "path")
         front = cut_lineage(nxt.join(reached.select(*key, "src", "dst"), [*key, "src", "dst"], "left_anti"))
+        if front.isEmpty():
+            break
         reached = reached.unionByName(front)
     return reached
 

@@ -19,7 +19,6 @@ class Analysis:
     spark: SparkSession
     folder: str
     metric: str = "lat_p99"
-    hops: int = 3
 
     def __post_init__(self) -> None:
         d = self.folder
@@ -52,7 +51,7 @@ class Analysis:
 
     @property
     def ranked(self) -> DataFrame:
-        return detect.rank_divergence(self.deviations, self.edges, hops=self.hops)
+        return detect.rank_divergence(self.deviations, self.edges)
 
     @property
     def samples(self) -> DataFrame:
@@ -70,7 +69,7 @@ class Analysis:
     @cached_property
     def candidates(self) -> DataFrame:
         """Anomalous services with their initial belief and blast radius."""
-        reach = graph.closure(self.edges, [], self.hops)
+        reach = graph.closure(self.edges, [])
         n = self.edges.select(F.explode(F.array("src", "dst")).alias("s")).distinct().count()
         blast = graph.blast_radius(reach, [], n)
         hot = detect.over_threshold(self.scores).select("incident_id", "service_id", F.col("max_z").alias("score"))

@@ -197,7 +197,7 @@ def g2_collapse(spark: SparkSession, d: str) -> DataFrame:
 
 def g3_closure(spark: SparkSession, d: str) -> DataFrame:
     """Reachable pairs and shortest paths of the call graph."""
-    return graph.closure(Analysis(spark, d).edges, [], 3).select("src", "dst", "depth", F.array_join("path", ">").alias("path"))
+    return graph.closure(Analysis(spark, d).edges, []).select("src", "dst", "depth", F.array_join("path", ">").alias("path"))
 
 
 def g4_scenario_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -226,7 +226,7 @@ def g12_degrees(spark: SparkSession, d: str) -> DataFrame:
 
 def g14_blast(spark: SparkSession, d: str) -> DataFrame:
     a = Analysis(spark, d)
-    return _with_rounded(graph.blast_radius(graph.closure(a.edges, [], 3), [], load(spark, d, "services").count()), "blast_radius")
+    return _with_rounded(graph.blast_radius(graph.closure(a.edges, []), [], load(spark, d, "services").count()), "blast_radius")
 
 
 # Divergence
@@ -459,7 +459,7 @@ def b1_observational(spark: SparkSession, d: str) -> DataFrame:
 
 def b4_sieve(spark: SparkSession, d: str) -> DataFrame:
     a = Analysis(spark, d)
-    return _listed(methods.propagated(a.incidents, a.scores, graph.closure(a.edges, [], 3)))
+    return _listed(methods.propagated(a.incidents, a.scores, graph.closure(a.edges, [])))
 
 
 def b3_one_shot(spark: SparkSession, d: str) -> DataFrame:

@@ -47,7 +47,7 @@ def g7_directed(spark: SparkSession, d: str) -> DataFrame:
 def g13_propagation(spark: SparkSession, d: str) -> DataFrame:
     a = Analysis(spark, d)
     seeds = a.scores.select(*KEY, F.round("max_z", 2).alias("score"))
-    return graph.propagation_scores(seeds, graph.closure(a.edges, [], 3)).select(*KEY, F.round("propagated", 8).alias("propagated"))
+    return graph.propagation_scores(seeds, graph.closure(a.edges, [])).select(*KEY, F.round("propagated", 8).alias("propagated"))
 
 
 def c10_backdoor(spark: SparkSession, d: str) -> DataFrame:

@@ -117,6 +117,23 @@ def test_reachability_has_no_bound(spark, monkeypatch):
     assert gain == pytest.approx(1 + sum(0.5 ** (d * (d + 1) / 2) for d in range(1, 6)))
 
 
+def test_depth_in_scenarios_has_no_bound(spark, tmp_path):
+    from tidegauge.plans import reference
+
+    chain = [list(e) for e in CHAIN] + [["n7", "n8"]]
+    loop = [["a", "b"], ["b", "c"], ["c", "b"], ["c", "d"], ["x", "d"]]
+    rows = [("f", "n0", chain, True), ("g", "a", loop, False)]
+    spark.createDataFrame(rows, "fault_id string, root_cause_service string, causal_path array<array<string>>, confounded boolean").write.parquet(str(tmp_path / "scenarios.parquet"))
+    got = {(r.fault_id, r.node): r.depth for r in reference.g6_depth(spark, str(tmp_path)).collect()}
+    assert [got["f", f"n{i}"] for i in range(9)] == list(range(9))
+    assert (got["g", "a"], got["g", "x"]) == (0, 0) and got["g", "b"] is got["g", "c"] is got["g", "d"] is None
+    paths = {r.fault_id: (r.n_pairs, r.max_depth) for r in reference.g4_scenario_paths(spark, str(tmp_path)).collect()}
+    assert paths["f"] == (36, 8)
+    pag = causal.pag_from_paths(spark.read.parquet(str(tmp_path / "scenarios.parquet"))).filter("fault_id = 'f'")
+    far = causal.identify(pag, spark.createDataFrame([("f", "n0", "n8")], "fault_id string, src string, dst string"), ["fault_id"]).first()
+    assert far.status == "REQUIRES_INTERVENTION"
+
+
 SUBGRAPHS = [
     ([("root", "middle"), ("middle", "leaf")], {"root": 5.0, "middle": 4.0, "leaf": 3.5}, [], {"root", "middle", "leaf"}),
     ([("hidden", "observed"), ("observed", "leaf")], {"observed": 4.5, "leaf": 3.5}, [], {"hidden", "observed", "leaf"}),

@@ -274,7 +274,7 @@ def pag_from_paths(scenarios: DataFrame) -> DataFrame:
     return directed.unionByName(hidden).distinct()
 
 
-def identify(pag: DataFrame, pairs: DataFrame, key: list[str], hops: int = 6) -> DataFrame:
+def identify(pag: DataFrame, pairs: DataFrame, key: list[str], hops: int | None = None) -> DataFrame:
     """Whether the effect of src on dst is identifiable, and how, for many pairs at once.
 
     Order of checks: both observed; backdoor (no bidirected edge at the source; CONDITIONALLY with

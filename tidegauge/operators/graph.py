@@ -47,16 +47,25 @@ def skeleton(edges: DataFrame, key: list[str]) -> DataFrame:
     return edges.select(*key, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-def topological_depth(edges: DataFrame, key: list[str], hops: int) -> DataFrame:
-    """Longest way from a root, up to ``hops``; edges always lead to a greater depth on a DAG."""
+def topological_depth(edges: DataFrame, key: list[str]) -> DataFrame:
+    """Longest way from a root; edges always lead to a greater depth. NULL on or behind a cycle.
+
+    Ways grow edge by edge until none is left. A way of as many edges as its key has nodes went round
+    a cycle, and every node on or behind one ends such a way.
+    """
+    edges = cut_lineage(edges.select(*key, "src", "dst").distinct())
     step = edges.select(*key, F.col("src").alias("node"), F.col("dst").alias("_to"))
     nodes = edges.select(*key, F.col("src").alias("node")).unionByName(edges.select(*key, F.col("dst").alias("node"))).distinct()
-    layer = nodes.withColumn("depth", F.lit(0))
-    deepest, front = layer, layer
-    for depth in range(1, hops + 1):
-        front = front.select(*key, "node").join(step, [*key, "node"]).select(*key, F.col("_to").alias("node")).distinct().withColumn("depth", F.lit(depth))
+    size = nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    front = cut_lineage((nodes.join(size, key) if key else nodes.crossJoin(size)).withColumn("depth", F.lit(0)))
+    deepest, depth = front, 0
+    while True:
+        depth += 1
+        front = cut_lineage(front.filter(F.col("depth") < F.col("_n")).select(*key, "node", "_n").join(step, [*key, "node"]).select(*key, F.col("_to").alias("node"), "_n").distinct().withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
         deepest = deepest.unionByName(front)
-    return deepest.groupBy(*key, "node").agg(F.max("depth").alias("depth"))
+    return deepest.groupBy(*key, "node").agg(F.max("depth").alias("_d"), F.max("_n").alias("_n")).select(*key, "node", F.when(F.col("_d") < F.col("_n"), F.col("_d")).alias("depth"))
 
 
 def time_sliced(windows: DataFrame, edges: DataFrame, max_lag: int = 1) -> DataFrame:

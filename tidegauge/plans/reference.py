@@ -202,12 +202,12 @@ def g3_closure(spark: SparkSession, d: str) -> DataFrame:
 
 def g4_scenario_paths(spark: SparkSession, d: str) -> DataFrame:
     """Reachable pairs inside each scenario's own path."""
-    reach = graph.closure(graph.path_edges(load(spark, d, "scenarios")), ["fault_id"], 4)
+    reach = graph.closure(graph.path_edges(load(spark, d, "scenarios")), ["fault_id"])
     return reach.groupBy("fault_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.max("depth").alias("max_depth"))
 
 
 def g6_depth(spark: SparkSession, d: str) -> DataFrame:
-    return graph.topological_depth(graph.path_edges(load(spark, d, "scenarios")), ["fault_id"], 3)
+    return graph.topological_depth(graph.path_edges(load(spark, d, "scenarios")), ["fault_id"])
 
 
 def g8_skeleton(spark: SparkSession, d: str) -> DataFrame:
@@ -507,7 +507,7 @@ def m3_sample(spark: SparkSession, d: str) -> DataFrame:
 def s9_fault_series(spark: SparkSession, d: str) -> DataFrame:
     """Deterministic metric series of every scenario, summed up by scenario."""
     sc = load(spark, d, "scenarios")
-    reach = graph.closure(graph.path_edges(sc), ["fault_id"], 6)
+    reach = graph.closure(graph.path_edges(sc), ["fault_id"])
     roots = sc.select("fault_id", norm_name("root_cause_service").alias("src")).distinct()
     depths = reach.join(roots, ["fault_id", "src"]).select("fault_id", F.col("dst").alias("service_id"), "depth")
     rows = simulate.fault_series(sc, depths)

@@ -292,6 +292,21 @@ def test_discovery(spark):
         causal.Search(np.eye(16), 100)
 
 
+def test_discovery_between_services(spark, monkeypatch):
+    from tidegauge.plans.pipeline import Analysis
+
+    # x and y each drive z; the far service is outside the subgraph.
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(0, 1, 400), rng.normal(0, 1, 400)
+    values = {"x": x, "y": y, "z": x + y + rng.normal(0, 0.3, 400), "far": x}
+    rows = [(1, s, i * 10_000, 10_000, None if i == 7 else float(v)) for s, vs in values.items() for i, v in enumerate(vs)]
+    monkeypatch.setattr(Analysis, "series", spark.createDataFrame(rows, SERIES))
+    monkeypatch.setattr(Analysis, "scores", spark.createDataFrame([(1, "x", 5.0), (1, "y", 5.0), (1, "z", 9.0), (1, "far", 1.0)], "incident_id bigint, service_id string, max_z double"))
+    monkeypatch.setattr(Analysis, "edges", spark.createDataFrame([("z", "q")], "src string, dst string"))
+    got = {(r.incident_id, r.src, r.dst): r.edge_type for r in Analysis(spark, "/root/testdata/sf0.001").pag.collect()}
+    assert got == {(1, "x", "z"): "PARTIALLY_DIRECTED", (1, "y", "z"): "PARTIALLY_DIRECTED"}
+
+
 IDENT = [
     ([("X", "Y", "BIDIRECTED")], "NOT_IDENTIFIABLE"),
     ([("X", "Y", "DIRECTED")], "IDENTIFIABLE"),

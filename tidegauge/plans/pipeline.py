@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.operators import align, detect, diverge, graph, select
+from tidegauge.operators import align, causal, detect, diverge, graph, select
 from tidegauge.plans.runtime import cut_lineage, load
 
 
@@ -49,6 +49,22 @@ class Analysis:
         """Call graph: the distinct edges of all causal paths."""
         return cut_lineage(graph.path_edges(self.scenarios).select("src", "dst").distinct())
 
+    @cached_property
+    def subgraph(self) -> DataFrame:
+        """At most 15 services of each incident: the anomalous ones and their parents."""
+        return cut_lineage(graph.anomaly_subgraph(self.scores.select("incident_id", "service_id", F.round("max_z", 2).alias("score")), self.edges))
+
+    @cached_property
+    def pag(self) -> DataFrame:
+        """Edges discovered among the services of each incident's subgraph, hidden common causes too.
+
+        Gaps hold the value before them, and 0 where there is none, so all services share all windows.
+        """
+        rows = self.series.join(self.subgraph.select("incident_id", "service_id"), ["incident_id", "service_id"], "left_semi")
+        held = F.last("value", ignorenulls=True).over(Window.partitionBy("incident_id", "service_id").orderBy("t_start_ms"))
+        series = rows.select("incident_id", F.col("t_start_ms").alias("time"), F.col("service_id").alias("variable"), F.coalesce(held, F.lit(0.0)).alias("value"))
+        return cut_lineage(causal.discover(series, ["incident_id"]))
+
     @property
     def ranked(self) -> DataFrame:
         return detect.rank_divergence(self.deviations, self.edges)

@@ -354,6 +354,11 @@ def c1_discovery(spark: SparkSession, d: str) -> DataFrame:
     return causal.discover(series, KEY)
 
 
+def c1_services(spark: SparkSession, d: str) -> DataFrame:
+    """Causal edges and hidden common causes among the services of each incident's anomaly subgraph."""
+    return Analysis(spark, d).pag
+
+
 def c2_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Correlation of each pair of metrics over all services."""
     a = Analysis(spark, d)
@@ -522,7 +527,7 @@ QUERIES = {f.__name__: f for f in (
     d1_wasserstein, d3_variation, d4_threshold, d6_permutation, d6_wall_times, d7_bootstrap, d8_divergence,
     l1_entropy, l2_posterior, l3_costs, l6_selection, l10_edges, l11_posterior_update,
     i1_precision, i4_clean_windows, i7_dispatch, i11_cascade, v1_violations,
-    c1_discovery, c2_correlation, c9_identify,
+    c1_discovery, c1_services, c2_correlation, c9_identify,
     e1_attribution, e3_runtime, e4_cost, e6_cliffs, e7_wilcoxon, e10_holm, e11_bh, e14_power, e17_counts, e18_latency_cdf, e19_repeatability, e21_report,
     b1_observational, b2_random, b3_one_shot, b4_sieve, b7_threshold, b7_page_rank, m3_sample,
 )}

@@ -3,34 +3,35 @@
 Method: block-wise compression ratio, normalized by length and language, flags extreme redundancy,
 and a low density of sentence punctuation confirms it. Two additions give the required result,
 because lists of distinct links or tags are hardly more redundant than speech and stuffing may
-come with full stops. First, a second normalized ratio: blocks without sentences are compressed
-with a dictionary of ordinary blocks and with one of redundant blocks of their language, and the
-difference tells lists of tags from division lists and agendas. Second, a redundant block with
-sentence punctuation is confirmed by how much of it repeats a word pair three times or more,
-sentences repeated whole (formulas) counting once. A document is found if such blocks hold more
-than half of its text.
+come with full stops. First, a second normalized ratio: blocks without sentences or with links are
+compressed with a dictionary of ordinary blocks and with one of redundant blocks of their language,
+and the difference flags lists of links and tags but not division lists and agendas. Second, what
+confirms a flagged block depends on it: the share of links, or, where it has sentence punctuation,
+how much of it repeats a word pair three times or more, sentences repeated whole (formulas)
+counting once. No block counts that neither ratio flags. A document is found if such blocks hold
+more than half of its text.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters of a block, and least bytes for a ratio to mean anything.
 BLOCK, LEAST = 320, 40
 #: Blocks of the sample the dictionaries are fitted on, and bytes of a dictionary.
 SAMPLE_BLOCKS, DICTIONARY_BYTES = 50_000, 160_000
-#: Languages that get dictionaries and norms of their own; the others share one.
-LANGUAGES = 16
+#: Blocks of a language and length class, and blocks of a language in the sample, from which it has norms and
+#: dictionaries of its own; below, those of all languages hold.
+LEAST_NORM = 200
 #: Robust deviations of the ratio: for a fitting block, a redundant one, and a suspicious one.
 SEED, REDUNDANT, SUSPECT = -4.0, -4.0, -1.5
 #: Sentence ends in 100 characters under which a block has no sentences.
@@ -47,27 +48,43 @@ LONG = 8
 BESIDE = -0.12
 ROUNDS = 3
 
-_PIECES = re.compile(r"\n+|(?<=[.!?])\s+")
+#: A block ends at the last line or sentence end within ``BLOCK`` characters, else at the first within twice
+#: as many, else behind a blank, else anywhere.
+_END_OF_PIECE = r"(?:\n+|(?<=[.!?])\s+|\Z)"
+_BLOCKS = re.compile(
+    rf"[\s\S]{{1,{BLOCK}}}{_END_OF_PIECE}|[\s\S]{{1,{2 * BLOCK}}}?{_END_OF_PIECE}"
+    rf"|[\s\S]{{{BLOCK // 2},{BLOCK - 1}}} |[\s\S]{{1,{BLOCK}}}"
+)
 _SPACED = re.compile(r"(?<!\S)\S \S \S \S \S(?!\S)")
 _DIGIT_IN_WORD = re.compile(r"[013457@$](?:(?<=[^\W\d_].)|(?=[^\W\d_]))")
 _LETTERS_AND_DIGITS = re.compile(r"(?<![\w@$])(?=[\w@$]*[^\W\d_])[\w@$]*[013457@$][\w@$]*")
 _PLAIN = str.maketrans("013457@$", "oieastas")
 _BLANKS = re.compile(r"[ \t\xa0]{2,}|[\t\xa0]")
+_QUOTES = frozenset("“„«\"")
 _QUOTED = re.compile(r"“[^”]{30,}”|„[^“”]{30,}[“”]|«[^»]{30,}»|(?<![=\w/])\"[^\"\n]{30,}\"")
 _END = re.compile(r"(?<=[^\W_][^\W_])[\"”»)]?[.!?](?=\s|$)")
 _DOTTED = re.compile(r"[.:\]<](?:[a-z]|//|\(|\])")
 _NUMBER_IN_FRONT = re.compile(r"(?m)^\s*\d{1,3}[.)]\s")
 _SEPARATOR = re.compile(r"[\n,;|/•>]|\s[-–—]\s|\d(?= )")
-_LINK = re.compile(r"(?:h(?:tt|xx)ps?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|\b[\w-]+(?: ?(?:\.|\bdot\b|\[\.\]) ?[\w-]+)* ?(?:\.|\bdot\b|\[\.\]) ?(?:example|test|invalid|com|net|org)\b\S*")
+#: An address, or a host: labels joined by points, also spelled out or set apart, the last of letters only.
+_POINT = r"(?:\.| \. | ?\bdot\b ?| ?\[\.\] ?)"
+_LINK = re.compile(
+    rf"(?:h(?:tt|xx)ps?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*"
+    rf"|\b[\w-]+(?:{_POINT}[\w-]+)*{_POINT}[a-z]{{2,24}}\b(?:/\S*)?"
+)
 _ANCHOR = re.compile(r"\[[^\]\n]*\]\([^)\n]*\)|<a\b[^>\n]*>[^<\n]*</a>")
 _ASIDE = re.compile(r"\([^()\d]{0,200}\)|\[[^\[\]]{0,200}\](?!\()")
 _NUMBERED = re.compile(r"\s*\d{1,3}[.)]\s")
 _ITEM = re.compile(r"[\n,;|/•·–—+*>()\[\]:=&?!.¿¡\"“”#]+|\s-\s|\d+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_SENTENCES, _CLAUSES, _NO_LETTERS = re.compile(r"(?<=[.!?])\s+|\n+"), re.compile(r"(?<=[,;:])\s+"), re.compile(r"[\W\d_]+")
 _FIGURES = re.compile(r"(?:[|\t;]|\s{2,})\s*[\d.,]+\s*%?(?=\s*(?:[|\t;]|\s{2,}|$))")
 _MEMBER = re.compile(r"\([a-z]{2,4}\.?\)")
 
 
+_PACK = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
 def plain(text: str) -> str:
     """Lower case, with letters set apart by blanks joined and digits in words read as letters."""
     if text.count(" ") * 3 > len(text) and len(_SPACED.findall(text)) * 20 > len(text):
@@ -80,28 +97,13 @@ def plain(text: str) -> str:
 
 def blocks_of(text: str) -> list[str]:
     """The text cut at sentences and lines into blocks of about ``BLOCK`` characters."""
-    out, at, begin = [], 0, 0
-    ends = [m.end() for m in _PIECES.finditer(text)] + [len(text)]
-    for end in ends:
-        if end - begin > BLOCK and at > begin:
-            out.append(text[begin:at])
-            begin = at
-        while end - begin > 2 * BLOCK:
-            cut = text.rfind(" ", begin + BLOCK // 2, begin + BLOCK)
-            cut = cut + 1 if cut > 0 else begin + BLOCK
-            out.append(text[begin:cut])
-            begin = cut
-        at = end
-    if begin < len(text):
-        out.append(text[begin:])
-    return [b for b in out if b.strip()]
+    return [b for b in _BLOCKS.findall(text) if not b.isspace()]
 
 
 def ratio_of(block: str) -> tuple[int, float]:
     """Bytes of a block and its compression ratio without the fixed frame."""
     raw = block.encode("utf-8")
-    c = zlib.compressobj(6, zlib.DEFLATED, -11, 4)  # a window of 2 kB holds a block and is quick to set up
-    return len(raw), (len(c.compress(raw)) + len(c.flush())) / len(raw)
+    return len(raw), len(_PACK.compress(raw)) / len(raw)
 
 
 def length_class(n: int) -> int:
@@ -149,19 +151,20 @@ def _grams(block: str) -> tuple[list[tuple[int, int, str]], int]:
     asides are left out; sentences, clauses of four words and more, and numbered lines that are
     repeated whole count once.
     """
-    text = _ASIDE.sub(" ", _LINK.sub(" | ", block))
+    text = _LINK.sub(" | ", block) if _DOTTED.search(block) or " dot " in block or " . " in block else block
+    text = _ASIDE.sub(" ", text) if "(" in text or "[" in text else text
     seen: set[str] = set()
     places = []
     n = 0
-    for k, s in enumerate(re.split(r"(?<=[.!?])\s+|\n+", text)):
+    for k, s in enumerate(_SENTENCES.split(text)):
         ended = s.rstrip()[-1:] in (".", "!", "?")
-        whole = re.sub(r"[\W\d_]+", " ", s).strip()
+        whole = _NO_LETTERS.sub(" ", s).strip()
         if (ended or _NUMBERED.match(s)) and whole in seen:
             continue
         seen.add(whole)
-        for clause in re.split(r"(?<=[,;:])\s+", s) if ended else [s]:
-            key = re.sub(r"[\W\d_]+", " ", clause).strip()
-            if ended and key != whole and key.count(" ") >= 3:
+        for clause in _CLAUSES.split(s) if ended else [s]:
+            key = _NO_LETTERS.sub(" ", clause).strip() if ended else whole
+            if key != whole and key.count(" ") >= 3:
                 if key in seen:
                     continue
                 seen.add(key)
@@ -237,35 +240,42 @@ class Judge:
     def verdict(self, lang: str, fold: int, block: str) -> tuple[bool | None, frozenset[str]]:
         """Whether a block is stuffing, links or tags; None where it is suspicious; its keywords."""
         none: frozenset[str] = frozenset()
-        dotted = " dot " in block or _DOTTED.search(block) is not None
+        n, ratio = ratio_of(block)
+        off = self.deviation(lang, n, ratio)
+        dotted = " dot " in block or " . " in block or _DOTTED.search(block) is not None
         ends = block.count(". ") + block.count("? ") + block.count("! ")
-        if not dotted and ends * 70 > NO_SENTENCES * len(block) and self.deviation(lang, *ratio_of(block)) >= SUSPECT:
+        if off >= SUSPECT and not dotted and ends * 70 > NO_SENTENCES * len(block):
             return False, none  # the ordinary case, told without the costlier measures
-        kept = _QUOTED.sub(" ", block)
-        if len(kept) < 0.5 * len(block):
-            return False, none
-        if dotted and link_share(kept) >= LINKED:
-            return True, none
-        n, ratio = ratio_of(kept)
-        off = self.deviation(lang, n, ratio)
+        kept = block
+        if not _QUOTES.isdisjoint(block):
+            kept = _QUOTED.sub(" ", block)
+            if len(kept) < 0.5 * len(block):
+                return False, none
+            if kept != block:
+                n, ratio = ratio_of(kept)
+                off = self.deviation(lang, n, ratio)
         ended = sentence_density(kept) >= NO_SENTENCES
-        if ended and off >= SUSPECT:
+        if ended and off >= SUSPECT and not dotted:
             return False, none
         if n < LEAST or is_broken(kept):
             return False, none
-        lines = kept.split("\n")
-        agenda = sum(bool(_NUMBERED.match(x)) for x in lines) * 60 > len(kept)
+        # Flagged by its own normalized ratio or, where there are no sentences, by that with dictionaries.
+        gain = self.gain(lang, fold, kept) if dotted or not ended else -1.0
+        if dotted and (off < SUSPECT or gain > BESIDE) and link_share(kept) >= LINKED:
+            return True, none
+        if ended and off >= SUSPECT:
+            return False, none
         if n - len(_ASIDE.sub("", kept).encode("utf-8")) > n / 2:
             return False, none
-        if figure_share(kept) > 0.5 or len(_MEMBER.findall(kept)) * 40 > len(kept) or agenda:
+        agenda = sum(bool(_NUMBERED.match(x)) for x in kept.split("\n")) * 60 > len(kept)
+        if agenda or figure_share(kept) > 0.5 or len(_MEMBER.findall(kept)) * 40 > len(kept):
             return False, none
-        stuffed, keywords = stuffing(kept)
         if ended or off < REDUNDANT:
+            stuffed, keywords = stuffing(kept)
             if stuffed >= STUFFED:
                 return True, keywords
             if ended:
                 return None, none
-        gain = self.gain(lang, fold, kept)
         listed = len(_SEPARATOR.findall(kept)) * 60 > len(kept)
         return (True, none) if gain > LIST_GAIN or (listed and gain > BESIDE) else (None, none)
 
@@ -306,7 +316,7 @@ def fit_dictionaries(sample: list[tuple[str, int, str]], norms: dict) -> dict[tu
         linked = link_share(block) >= LINKED
         facts.append((not broken and (linked or judge.deviation(lang, n, ratio) < SEED), True, broken))
     side = [f[0] for f in facts]
-    langs = {x[0] for x in sample} | {""}
+    langs = {x for x, n in Counter(x[0] for x in sample).items() if n >= LEAST_NORM} | {""}
     out: dict[tuple[str, int], tuple[bytes, bytes]] = {}
     for _ in range(ROUNDS):
         out = {}
@@ -346,12 +356,20 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=names)
 
 
+def _histograms(counts: DataFrame) -> list:
+    """Histograms of each (language, length class) of ``LEAST_NORM`` blocks, and of each class over all ("")."""
+    each = counts.groupBy("lang", "klass", "bin").agg(F.sum("n").alias("n"))
+    size = F.sum("n").over(Window.partitionBy("lang", "klass"))
+    own = each.withColumn("size", size).filter(F.col("size") >= LEAST_NORM).drop("size")
+    whole = each.groupBy("klass", "bin").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "klass", "bin", "n")
+    return own.unionByName(whole).collect()  # languages x lengths x ratios
+
+
 def _norms(rows: list) -> dict[tuple[str, int], tuple[float, float]]:
-    """Median and robust spread of the ratio for each language and length class, and for all."""
+    """Median and robust spread of the ratio for each histogram."""
     groups: dict[tuple[str, int], Counter] = {}
     for r in rows:
-        for lang in {r.lang, ""}:
-            groups.setdefault((lang, r.klass), Counter())[r.bin] += r.n
+        groups.setdefault((r.lang, r.klass), Counter())[r.bin] += r.n
     out = {}
     for key, counts in groups.items():
         bins = np.array(sorted(counts))
@@ -387,25 +405,29 @@ def spam_shares(documents: DataFrame) -> DataFrame:
     """``doc_id`` and ``spam_share``, the share of each text in blocks that are spam.
 
     A NULL, empty or blank text has share 0, as has a broken one of few distinct characters. A
-    NULL language counts as one of its own; of many languages all but the ``LANGUAGES`` most
-    frequent are judged together. Texts of any length are judged whole; repeated rows give equal
-    rows; an empty table gives no rows; other columns are ignored. The norms are taken over all
-    blocks; the dictionaries are fitted on at most about ``SAMPLE_BLOCKS`` blocks.
+    NULL language counts as one of its own; one with too few blocks is judged by the norms of all.
+    Texts of any length are judged whole; repeated rows give equal rows; an empty table gives no
+    rows; other columns are ignored. The norms are taken over all blocks; the dictionaries are
+    fitted on at most ``SAMPLE_BLOCKS`` blocks.
     """
     spark = documents.sparkSession
-    docs = documents.select("doc_id", F.coalesce(F.lower(F.trim("lang")), F.lit("none")).alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold"))
-    frequent = [r.lang for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    docs = docs.withColumn("lang", F.when(F.col("lang").isin(frequent), F.col("lang")).otherwise("other"))
-    counts = docs.select("lang", "text").mapInArrow(_histogram, "lang string, klass int, bin int, n bigint")
-    rows = counts.groupBy("lang", "klass", "bin").agg(F.sum("n").alias("n")).collect()  # languages x lengths x ratios
+    docs = documents.select(
+        "doc_id",
+        F.coalesce(F.lower(F.trim("lang")), F.lit("none")).alias("lang"),
+        F.col("text").cast("string").alias("text"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold"),
+    )
+    rows = _histograms(docs.select("lang", "text").mapInArrow(_histogram, "lang string, klass int, bin int, n bigint"))
     norms = _norms(rows)
-    total = sum(r.n for r in rows)
-    part = min(1.0, SAMPLE_BLOCKS / max(1, total))
+    total = sum(r.n for r in rows if not r.lang)
+    part = min(1.0, 1.1 * SAMPLE_BLOCKS / max(1, total))
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(part * 1_000_000) + 1)
     blocks = drawn.select("lang", "fold", "text").mapInArrow(_sample_blocks, "lang string, fold int, block string")
-    sample = blocks.orderBy(F.xxhash64("block"), "block").limit(2 * SAMPLE_BLOCKS).toArrow().to_pylist()
+    sample = blocks.orderBy(F.xxhash64("block"), "block").limit(SAMPLE_BLOCKS).toArrow().to_pylist()
     judge = Judge(norms, fit_dictionaries([(r["lang"], r["fold"], r["block"]) for r in sample], norms))
-    return docs.select("doc_id", "lang", "fold", "text").mapInArrow(_shares(spark.sparkContext.broadcast(judge)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spam_share double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shares = _shares(spark.sparkContext.broadcast(judge))
+    return docs.select("doc_id", "lang", "fold", "text").mapInArrow(shares, f"doc_id {kind}, spam_share double")
 
 
 def spam_documents(documents: DataFrame) -> DataFrame:

@@ -71,16 +71,27 @@ def test_deliveries_nulls_and_clashing_columns(spark):
     assert implausible_readings(spark.createDataFrame([], RAW)).count() == 0
 
 
-def test_large_sources_in_chunks_agree_with_whole_ones(spark, monkeypatch):
+@pytest.mark.parametrize("chunk", [40, 150, 700])
+def test_long_sources_in_pieces_agree_with_whole_ones(spark, monkeypatch, chunk):
     v = wave(900, 5)
     for i in (100, 333, 500, 501, 777):
         v[i] = 500.0
-    df = spark.createDataFrame(rows_of(v) + rows_of(wave(30), "b", 5000), RAW)
-    whole = {r.seq for r in implausible_readings(df).collect()}
-    monkeypatch.setattr(spikes, "WHOLE_SOURCE", 300)
-    monkeypatch.setattr(spikes, "CHUNK", 150)
-    monkeypatch.setattr(spikes, "CONTEXT", 0.2)
-    assert {r.seq for r in implausible_readings(df).collect()} == whole == {100, 333, 500, 501, 777}
+    v[640:650] = [v[640]] * 10
+    v[222] = -1.0
+    # Rounded in its first half: values repeat ordinarily, so a run of equal ones is none that sticks.
+    half = np.array(wave(600, 7))
+    half[:300] = np.round(half[:300])
+    half[450:460] = half[450]
+    # Most readings in one burst, and one far off in time.
+    burst = rows_of(wave(500, 9), "c", 9000)
+    burst = [(*r[:3], 2000.0 + i * 0.5 if i < 499 else 9e6, *r[4:]) for i, r in enumerate(burst)]
+    burst[250] = (*burst[250][:4], "999", *burst[250][5:])
+    rows = rows_of(v) + rows_of(v[:200], "a", 7000) + rows_of(half.tolist(), "b", 5000) + burst + rows_of(wave(30), "d", 8000)
+    df = spark.createDataFrame(rows, RAW)
+    whole = {(r.seq, r.reason) for r in implausible_readings(df).collect()}
+    assert {s for s, x in whole if x == "stuck"} == set(range(640, 650)) and (9250, "spike") in whole and (7100, "spike") in whole
+    monkeypatch.setattr(spikes, "CHUNK", chunk)
+    assert {(r.seq, r.reason) for r in implausible_readings(df).collect()} == whole
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 7])

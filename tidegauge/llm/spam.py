@@ -40,8 +40,9 @@ NO_SENTENCES = 0.35
 LIST_GAIN = -0.03
 #: Share of words in repeated pairs that confirms stuffing, and of characters in links.
 STUFFED, LINKED = 0.33, 0.5
-#: Share of words in keywords of the same text from which a suspicious block is stuffing too.
-TOUCHED = 0.2
+#: Share of words in keywords of the same text from which a suspicious block is stuffing too, and share of words
+#: in repeated pairs from which all suspicious blocks of a text are, taken as one.
+TOUCHED, TOGETHER = 0.2, 0.25
 #: Letters from which a word alone, if it occurs four times, is a keyword.
 LONG = 8
 #: Gain from which a block without sentences counts if it is a list, or beside spam blocks.
@@ -283,7 +284,8 @@ class Judge:
 def spam_share(judge: Judge, lang: str, fold: int, text: str) -> float:
     """Share of the characters of a text in blocks that are spam.
 
-    A suspicious block also counts where the keywords of the text's spam blocks cover enough of it.
+    A suspicious block also counts where the keywords of the text's spam blocks cover enough of it,
+    and where most of the text is suspicious and confirmed when taken as one.
     """
     parts = blocks_of(plain(text))
     verdicts = [judge.verdict(lang, fold, b) for b in parts]
@@ -295,8 +297,18 @@ def spam_share(judge: Judge, lang: str, fold: int, text: str) -> float:
             return True
         return sentence_density(b) < NO_SENTENCES and judge.gain(lang, fold, b) > BESIDE
 
+    size = max(1, sum(map(len, parts)))
     bad = sum(len(b) for b, (v, _) in zip(parts, verdicts, strict=True) if v or (v is None and spam and beside(b)))
-    return bad / max(1, sum(map(len, parts)))
+    flagged = [b for b, (v, _) in zip(parts, verdicts, strict=True) if v is not False]
+    together = sum(map(len, flagged))
+    if bad * 2 <= size < together * 2:
+        # Most of the text is flagged and too little confirmed block by block: confirmed as one text, or not.
+        text = "\n".join(flagged)
+        stuffed = stuffing(text)[0]
+        confirmed = stuffed >= TOUCHED or sentence_density(text) < NO_SENTENCES
+        if stuffed >= TOGETHER or (confirmed and judge.gain(lang, fold, text) > BESIDE):
+            bad = together
+    return bad / size
 
 
 def fit_dictionaries(sample: list[tuple[str, int, str]], norms: dict) -> dict[tuple[str, int], tuple[bytes, bytes]]:

@@ -17,7 +17,7 @@ def incident(spark, *rows):
 
 @pytest.mark.parametrize("dense", [100_000, 1])
 def test_windows_values_and_marks(spark, monkeypatch, dense):
-    monkeypatch.setattr(grid, "DENSE_BLOCK", dense)
+    monkeypatch.setattr(grid, "DENSE_SOURCE", dense)
     readings = [(100.0, "1"), (105.0, " 2.0 "), (105.0, "2"), (125.0, "+4e0"), (131.0, "NaN"), (139.0, "4,5"), (None, "9"), (160.0, "7"), (99.0, "0")]
     rows = {r.window_id: r for r in grid_windows(raw(spark, readings), incident(spark, (1, 100.0, 155.0, 10.0))).collect()}
     assert sorted(rows) == [0, 1, 2, 3, 4, 5]  # the last window is cut short by t_end
@@ -37,7 +37,7 @@ def test_blocks_do_not_matter(spark, monkeypatch):
     readings = [(100.0 + 7.1 * i, str(i % 5)) for i in range(200)]
     inc = incident(spark, (1, 100.0, 1500.0, 10.0))
     whole = {r.window_id: (r.n_readings, r.estimate and round(r.estimate, 9)) for r in grid_windows(raw(spark, readings), inc).collect()}
-    monkeypatch.setattr(grid, "DENSE_BLOCK", 3)
+    monkeypatch.setattr(grid, "DENSE_SOURCE", 3)
     assert whole == {r.window_id: (r.n_readings, r.estimate and round(r.estimate, 9)) for r in grid_windows(raw(spark, readings), inc).collect()}
 
 

@@ -4,7 +4,8 @@ Method: local polynomial regression with a compact kernel. Readings are indexed
 of windows, window); each grid time takes the readings of its own and the two neighbouring windows,
 weighted by an Epanechnikov kernel of half-width 1.5 windows around the middle of the window, and
 solves the weighted local line from their moments. Moments are sums, so they combine before a
-shuffle. The effective support of a window is (sum w)^2 / sum w^2.
+shuffle. The effective support of a window is (sum w)^2 / sum w^2, once over all readings near it and
+once over those inside it; a window is missing where the support inside it is insufficient.
 """
 
 from __future__ import annotations
@@ -13,16 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import epoch_ms, norm_name, usable_number
-from tidegauge.plans.runtime import bounded_broadcast
+from tidegauge.plans.runtime import bounded_broadcast, cut_lineage
 
 #: Windows in a block; a block is one row of the index.
 BLOCK_WINDOWS = 32
 #: Half-width of the kernel in windows.
 HALF_WIDTH = 1.5
-#: Readings of one (source, block) up to which they are kept as one array.
-DENSE_BLOCK = 100_000
+#: Rows of a source up to which the readings of its blocks are kept as arrays, with the same result.
+DENSE_SOURCE = 100_000
 SOURCE = ["incident_id", "service_id", "metric_name"]
-_MOMENTS = ["_s0", "_s1", "_s2", "_t0", "_t1", "_q0"]
+_MOMENTS = ["_s0", "_s1", "_s2", "_t0", "_t1", "_q0", "_s0_in", "_q0_in"]
 
 
 def window_grid(incidents: DataFrame) -> DataFrame:
@@ -35,9 +36,15 @@ def window_grid(incidents: DataFrame) -> DataFrame:
     return g.groupBy("incident_id").agg(F.max(F.struct("start_ms", "end_ms", "delta_ms")).alias("g")).select("incident_id", "g.*", F.expr("cast(ceil((g.end_ms - g.start_ms) / g.delta_ms) as bigint)").alias("n_windows"))
 
 
-def _kernel_moments(x: Column, y: Column) -> list[Column]:
+def _kernel_moments(x: Column, y: Column, inside: Column) -> list[Column]:
     w = F.when(F.abs(x) < HALF_WIDTH, 1.0 - (x / HALF_WIDTH) * (x / HALF_WIDTH)).otherwise(0.0)
-    return [F.sum(c).alias(n) for c, n in zip([w, w * x, w * x * x, w * y, w * x * y, w * w], _MOMENTS, strict=True)]
+    own = F.when(inside, w).otherwise(0.0)
+    sums = [w, w * x, w * x * x, w * y, w * x * y, w * w, own, own * own]
+    return [F.sum(c).alias(n) for c, n in zip(sums, _MOMENTS, strict=True)]
+
+
+def _support(s0: str, q0: str) -> Column:
+    return F.when(F.col(q0) > 0, F.col(s0) * F.col(s0) / F.col(q0)).otherwise(0.0)
 
 
 def grid_windows(raw: DataFrame, incidents: DataFrame, *, min_support: float = 1.0) -> DataFrame:
@@ -46,41 +53,49 @@ def grid_windows(raw: DataFrame, incidents: DataFrame, *, min_support: float = 1
     Columns: incident_id, service_id, metric_name, window_id, n_readings (distinct usable readings
     inside the window), support (effective number of readings near it), estimate (regression value
     at the middle of the window), value (the estimate, or NULL where the window is missing) and
-    missing (it holds no usable reading, before any filling, or its support is under
-    ``min_support``). A source is a (incident, service, metric) with any row and a service; one
-    whose readings are all unusable has all its windows missing. A reading is usable if its time
-    is finite and its text a finite number; deliveries of the same source, time and value count
-    once. NULL metrics form a source of their own; sources of unknown incidents have no grid;
+    missing (before any filling: the support of the readings inside it is under ``min_support``,
+    which one reading just gives). A source is a (incident, service, metric) with any row and a
+    service; one whose readings are all unusable has all its windows missing. A reading is usable if
+    its time is finite and its text a finite number; deliveries of the same source, time and value
+    count once. NULL metrics form a source of their own; sources of unknown incidents have no grid;
     empty tables give no rows; other columns are ignored.
     """
     grid = bounded_broadcast(window_grid(incidents))
-    rows = raw.filter("service_id is not null").select("incident_id", norm_name("service_id").alias("service_id"), F.col("metric_name").cast("string").alias("metric_name"), epoch_ms("ts").alias("ts_ms"), usable_number("value_str").alias("y"))
-    sources = rows.groupBy(*SOURCE).agg(F.count(F.lit(1)).alias("_n")).join(grid, "incident_id")
-    blocks = sources.select(*SOURCE, "n_windows", F.explode(F.expr(f"sequence(0L, (n_windows - 1) div {BLOCK_WINDOWS})")).alias("_block"))
+    given = raw.filter("service_id is not null")
+    metric = F.col("metric_name").cast("string").alias("metric_name")
+    # Sources are counted by name as it is spelled, which needs no parsing.
+    spelled = given.groupBy("incident_id", "service_id", metric).agg(F.count(F.lit(1)).alias("_n"))
+    sources = spelled.withColumn("service_id", norm_name("service_id")).groupBy(*SOURCE).agg(F.sum("_n").alias("_n"))
+    sources = cut_lineage(sources.join(grid, "incident_id").select(*SOURCE, "_n", "n_windows"))
+    blocks = F.explode(F.expr(f"sequence(0L, (n_windows - 1) div {BLOCK_WINDOWS})")).alias("_block")
+    blocks = sources.select(*SOURCE, "n_windows", blocks)
+    rows = given.select("incident_id", norm_name("service_id").alias("service_id"), metric, epoch_ms("ts").alias("ts_ms"), usable_number("value_str").alias("y"))
     # Position in units of windows, once for the window itself and once for each neighbour's block.
     at = rows.filter("ts_ms is not null and y is not null").join(grid, "incident_id").filter("ts_ms < end_ms + 2 * delta_ms and ts_ms >= start_ms - 2 * delta_ms")
-    at = at.select(*SOURCE, "ts_ms", "y", ((F.col("ts_ms") - F.col("start_ms")) / F.col("delta_ms")).alias("_u"), F.expr("cast(floor((ts_ms - start_ms) / delta_ms) as bigint)").alias("_home"), (F.col("ts_ms") < F.col("end_ms")).alias("_inside"), "n_windows")
+    place = (F.col("ts_ms") - F.col("start_ms")) / F.col("delta_ms")
+    at = at.select(*SOURCE, "y", place.alias("_u"), F.expr("cast(floor((ts_ms - start_ms) / delta_ms) as bigint)").alias("_home"), (F.col("ts_ms") < F.col("end_ms")).alias("_inside"), "n_windows")
     near = at.withColumn("_block", F.explode(F.expr(f"array_distinct(transform(filter(array(_home - 1, _home, _home + 1), k -> k >= 0 and k < n_windows), k -> k div {BLOCK_WINDOWS}))")))
-    dense = near.groupBy(*SOURCE, "_block").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > DENSE_BLOCK).select(*SOURCE, "_block")
     reading = F.struct("_home", "_u", "y", "_inside")
-    seeds = blocks.select(*SOURCE, "_block", "n_windows", F.lit(None).cast(near.select(reading.alias("r")).schema["r"].dataType).alias("_r"))
+    none = F.lit(None).cast(near.select(reading.alias("r")).schema["r"].dataType)
+    seeds = blocks.select(*SOURCE, "_block", "n_windows", none.alias("_r"))
     index = near.select(*SOURCE, "_block", "n_windows", reading.alias("_r")).unionByName(seeds)
-    if dense.limit(1).count():
-        # Blocks too dense for one array: the same moments, from rows that are combined before the shuffle.
-        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*SOURCE, "_block"]]
-        mark = bounded_broadcast(dense).alias("b")
-        split = index.distinct().alias("a")
-        parts = [_moments_of_arrays(index.alias("a").join(mark, same, "left_anti")), _moments_of_rows(split.join(mark, same, "left_semi"))]
-        moments = parts[0].unionByName(parts[1])
-    else:
+    dense = sources.filter(F.col("_n") > DENSE_SOURCE).select(*SOURCE)
+    if dense.isEmpty():
         moments = _moments_of_arrays(index)
+    else:
+        # Sources too dense for arrays: the same moments, from rows that are combined before the shuffle.
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in SOURCE]
+        mark = bounded_broadcast(dense).alias("b")
+        sparse = _moments_of_arrays(index.alias("a").join(mark, same, "left_anti"))
+        moments = sparse.unionByName(_moments_of_rows(index.alias("a").join(mark, same, "left_semi").distinct()))
     # Two readings at different places carry a line; otherwise the local mean is all there is.
     det = F.col("_s0") * F.col("_s2") - F.col("_s1") * F.col("_s1")
-    line = F.when(det > 1e-9 * F.col("_s0") * F.col("_s0"), (F.col("_s2") * F.col("_t0") - F.col("_s1") * F.col("_t1")) / F.when(det > 0, det)).otherwise(F.col("_t0") / F.when(F.col("_s0") > 0, F.col("_s0")))
-    support = F.when(F.col("_q0") > 0, F.col("_s0") * F.col("_s0") / F.col("_q0")).otherwise(0.0)
-    out = moments.select(*SOURCE, "window_id", F.col("_in").alias("n_readings"), support.alias("support"), line.alias("estimate"))
-    missing = (F.col("n_readings") == 0) | (F.col("support") < min_support)
-    return out.select(*SOURCE, "window_id", "n_readings", "support", "estimate", F.when(~missing, F.col("estimate")).alias("value"), missing.alias("missing"))
+    mean = F.col("_t0") / F.when(F.col("_s0") > 0, F.col("_s0"))
+    slope = (F.col("_s2") * F.col("_t0") - F.col("_s1") * F.col("_t1")) / F.when(det > 0, det)
+    line = F.when(det > 1e-9 * F.col("_s0") * F.col("_s0"), slope).otherwise(mean)
+    missing = _support("_s0_in", "_q0_in") < min_support
+    out = moments.select(*SOURCE, "window_id", F.col("_in").alias("n_readings"), _support("_s0", "_q0").alias("support"), line.alias("estimate"), missing.alias("missing"))
+    return out.select(*SOURCE, "window_id", "n_readings", "support", "estimate", F.when(~F.col("missing"), F.col("estimate")).alias("value"), "missing")
 
 
 _PLACES = f"""
@@ -93,7 +108,7 @@ _PLACES = f"""
 
 def _sum_by_window(places: DataFrame) -> DataFrame:
     x, y = F.col("p.x"), F.col("p.y")
-    return places.groupBy(*SOURCE, "_block", F.col("p.k").alias("window_id")).agg(*_kernel_moments(x, y), F.count_if(F.col("p.i")).alias("_in"))
+    return places.groupBy(*SOURCE, "_block", F.col("p.k").alias("window_id")).agg(*_kernel_moments(x, y, F.col("p.i")), F.count_if(F.col("p.i")).alias("_in"))
 
 
 def _moments_of_arrays(index: DataFrame) -> DataFrame:

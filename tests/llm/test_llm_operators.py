@@ -113,6 +113,23 @@ def test_nearest_against_brute_force(spark, monkeypatch, bits):
     assert nearest_in_time(spark.createDataFrame(left, "e string, t bigint, lid int, row string"), none, entity="e", left_time="t", right_time="t", left_id=["lid"], right_id=["rid"], tolerance_ms=9).count() == 0
 
 
+def test_of_equal_times_the_least_id_as_a_number(spark):
+    left = spark.createDataFrame([("a", 100, 1), ("a", 100, 1), ("a", 112, 2)], "e string, t bigint, lid int")
+    right = spark.createDataFrame([("a", 105, 10), ("a", 105, 9), ("a", 119, 3), ("a", None, 1), (None, 100, 1)], "e string, t bigint, rid int")
+    got = nearest_in_time(left, right, entity="e", left_time="t", right_time="t", left_id=["lid"], right_id=["rid"], tolerance_ms=9)
+    assert sorted(map(tuple, got.collect())) == [(1, 9, 5), (1, 9, 5), (2, 9, 7)]
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 63)), max_size=30), st.lists(st.tuples(st.integers(0, 3), st.integers(0, 63)), min_size=1, max_size=30))
+def test_tries_of_many_groups(keys, queries):
+    trie = XFastTrie(np.array([g << 6 | k for g, k in keys], np.int64), 6)
+    before, after = trie.neighbours(np.array([g << 6 | q for g, q in queries], np.int64))
+    for (g, q), b, a in zip(queries, before, after, strict=True):
+        own = [k for h, k in keys if h == g]
+        assert (trie.keys[b] & 63 if b >= 0 else None) == max((k for k in own if k <= q), default=None)
+        assert (trie.keys[a] & 63 if a >= 0 else None) == min((k for k in own if k >= q), default=None)
+
+
 # Encoding
 
 TEXTS = [None, "", " ", "  \n\t ", "It's we'll 'sx  a\n\n b　c\x85d\x1ce", "²٠ ½x 😀👩‍👩‍👧 ẞ", "<|endoftext|>", "a" * 40_000, "the water board " * 3000, "\x00﻿", "Ünïcode—dash… «q»"]

@@ -4,8 +4,9 @@ Method: an x-fast trie for each entity. Times are cut to fixed-width bit strings
 table for each prefix length holds the prefixes that occur, with the least and greatest leaf
 below. A binary search over prefix lengths finds the longest known prefix of a query; from there
 the predecessor and successor follow, and the nearer one within the tolerance is taken. A trie
-covers one time block of one entity with the tolerance on either side, so a hot entity is spread
-over its blocks and no task holds a whole entity.
+covers one time block of one entity with the tolerance on either side and holds each time once, so
+it is bounded by the width of a block and a hot entity is spread over its blocks. The tries of all
+blocks of a batch share their tables: the block is the head of every prefix.
 """
 
 from __future__ import annotations
@@ -14,78 +15,97 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import epoch_ms, norm_label, norm_name, norm_token
 
-#: Bits of a block: a trie covers 2**21 ms, about 35 minutes, plus the tolerance on either side.
-BLOCK_BITS = 21
+#: Bits of a block: a trie covers 2**17 ms, about two minutes, plus the tolerance on either side.
+BLOCK_BITS = 17
 
 
 class XFastTrie:
-    """Prefix tables over distinct non-negative integers below ``2**bits``."""
+    """Prefix tables over distinct non-negative integers below ``2**bits``, of many groups at once.
+
+    ``keys`` are ``group << bits | integer``. A table is made when a search first asks for it.
+    """
 
     def __init__(self, keys: np.ndarray, bits: int) -> None:
         self.keys, self.bits = np.unique(keys), bits
-        self.tables = []
-        for length in range(bits + 1):
-            prefix = self.keys >> (bits - length)
-            first = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])) if len(prefix) else np.array([], int)
-            last = np.append(first[1:], len(prefix)) - 1 if len(prefix) else first
-            self.tables.append((pd.Index(prefix[first]), first, last))
+        self._tables: dict[int, tuple[pd.Index, np.ndarray, np.ndarray]] = {}
+
+    def table(self, length: int) -> tuple[pd.Index, np.ndarray, np.ndarray]:
+        """Known prefixes of a length (and group), with the first and last leaf below each."""
+        if length not in self._tables:
+            prefix = self.keys >> (self.bits - length)
+            first = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])[: len(prefix)])
+            last = np.append(first[1:], len(prefix))[: len(first)] - 1
+            self._tables[length] = (pd.Index(prefix[first]), first, last)
+        return self._tables[length]
 
     def neighbours(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``keys`` of the greatest key <= q and the least key >= q; -1 where none."""
+        """Positions in ``keys`` of the greatest key <= q and the least key >= q of its group; -1 where none."""
         before, after = np.full(len(q), -1), np.full(len(q), -1)
-        if not len(self.keys):
+        at = np.flatnonzero(self.table(0)[0].get_indexer(q >> self.bits) >= 0) if len(self.keys) else np.array([], int)
+        if not len(at):
             return before, after
+        q = q[at]
         lo, hi = np.zeros(len(q), int), np.full(len(q), self.bits)
         while (open_ := lo < hi).any():
             mid = (lo + hi + 1) // 2
             for length in np.unique(mid[open_]):
-                at = np.flatnonzero(open_ & (mid == length))
-                known = self.tables[length][0].get_indexer(q[at] >> (self.bits - length)) >= 0
-                lo[at[known]] = length
-                hi[at[~known]] = length - 1
+                some = np.flatnonzero(open_ & (mid == length))
+                known = self.table(length)[0].get_indexer(q[some] >> (self.bits - length)) >= 0
+                lo[some[known]] = length
+                hi[some[~known]] = length - 1
+        down, up = np.full(len(q), -1), np.full(len(q), -1)
         for length in np.unique(lo):
-            at = np.flatnonzero(lo == length)
-            table, first, last = self.tables[length]
-            node = table.get_indexer(q[at] >> (self.bits - length))
+            some = np.flatnonzero(lo == length)
+            table, first, last = self.table(length)
+            node = table.get_indexer(q[some] >> (self.bits - length))
             if length == self.bits:
-                before[at] = after[at] = first[node]
+                down[some] = up[some] = first[node]
                 continue
             # The branch of q is empty, so all leaves below the node lie on one side of it.
-            up = (q[at] >> (self.bits - length - 1)) & 1 == 1
-            before[at] = np.where(up, last[node], first[node] - 1)
-            after[at] = np.where(up, last[node] + 1, first[node])
-        after[after >= len(self.keys)] = -1
+            right = (q[some] >> (self.bits - length - 1)) & 1 == 1
+            down[some] = np.where(right, last[node], first[node] - 1)
+            up[some] = np.where(right, last[node] + 1, first[node])
+        up[up >= len(self.keys)] = -1
+        for side, out in ((down, before), (up, after)):
+            own = (side >= 0) & (self.keys[side] >> self.bits == q >> self.bits)
+            out[at[own]] = side[own]
         return before, after
 
 
-def _nearest_in_block(tolerance_ms: int):
-    def pair(_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if len(left) and len(right):
-            # Of rows of one time the least id counts.
-            right = right.sort_values(["t", "id_order"]).drop_duplicates("t")
-            base = min(left["t"].min(), right["t"].min())
-            span = int(max(left["t"].max(), right["t"].max()) - base)
-            trie = XFastTrie((right["t"] - base).to_numpy(), max(1, span.bit_length()))
-            q = (left["t"] - base).to_numpy()
+def _nearest_batches(tolerance_ms: int):
+    bits = (2**BLOCK_BITS + 2 * tolerance_ms).bit_length()
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lefts, rights = batch.column("lefts"), batch.column("rights")
+            base = (np.asarray(batch.column("block")) << BLOCK_BITS) - tolerance_ms
+            group = np.arange(batch.num_rows)
+            row = np.repeat(group, np.asarray(lefts.value_lengths()))
+            t = np.asarray(lefts.flatten())
+            right_row = np.repeat(group, np.asarray(rights.value_lengths()))
+            flat = rights.flatten()
+            u = np.asarray(flat.field("t"))
+            keys = right_row << bits | (u - base[right_row])
+            order = np.argsort(keys)
+            trie = XFastTrie(keys, bits)
+            q = row << bits | (t - base[row])
             before, after = trie.neighbours(q)
             far = np.iinfo(np.int64).max
             down = np.where(before >= 0, q - trie.keys[before], far)
             up = np.where(after >= 0, trie.keys[after] - q, far)
-            take = np.where(down <= up, before, after)
-            near = np.minimum(down, up) <= tolerance_ms
-            hit = right.iloc[take[near]]
-            yield pd.DataFrame({"left_row": left["row"].to_numpy()[near], "right_row": hit["row"].to_numpy(), "distance_ms": np.minimum(down, up)[near]})
+            gap = np.minimum(down, up)
+            near = np.flatnonzero(gap <= tolerance_ms)
+            take = pa.array(order[np.where(down <= up, before, after)[near]])
+            out = [batch.column("entity").take(pa.array(row[near])), pa.array(t[near]), flat.field("ids").take(take), pa.array(gap[near])]
+            yield pa.RecordBatch.from_arrays(out, names=["entity", "t", "right", "distance_ms"])
 
-    def blocks(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = list(pair(key, left, right))
-        return found[0] if found else pd.DataFrame({"left_row": pd.Series(dtype=object), "right_row": pd.Series(dtype=object), "distance_ms": pd.Series(dtype="int64")})
-
-    return blocks
+    return pair
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, *, entity: str, left_time: str, right_time: str, left_id: list[str], right_id: list[str], tolerance_ms: int) -> DataFrame:
@@ -93,23 +113,30 @@ def nearest_in_time(left: DataFrame, right: DataFrame, *, entity: str, left_time
 
     Times are BIGINT columns in ms. Returns the id columns of both sides and ``distance_ms``.
     A left row without a right row of its entity within ``tolerance_ms`` is left out; at equal
-    distance the earlier wins, at equal time the least id. NULL entities and NULL times match
-    nothing. Several left rows may share a right row; repeated rows give repeated pairs. Empty
+    distance the earlier wins, at equal time the least id (NULL first). NULL entities and NULL times
+    match nothing. Several left rows may share a right row; repeated rows give repeated pairs. Empty
     tables give no rows; other columns are ignored, also where both sides name them alike.
     """
-    def side(df: DataFrame, time: str, ids: list[str]) -> DataFrame:
-        row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(ids)))
-        return df.select(F.col(f"`{entity}`").cast("string").alias("entity"), F.col(f"`{time}`").alias("t"), row.alias("ids")).filter("entity is not null and t is not null")
-
-    a, b = side(left, left_time, left_id), side(right, right_time, right_id)
-    kinds = (a.schema["ids"].dataType, b.schema["ids"].dataType)
-    block = f"shiftright(t, {BLOCK_BITS})"
-    a = a.select("entity", F.expr(block).alias("block"), "t", F.to_json("ids").alias("row"))
-    # A right row also belongs to a neighbouring block that lies within the tolerance.
-    b = b.select("entity", "t", F.to_json("ids").alias("row"), F.explode(F.expr(f"sequence(shiftright(t - {tolerance_ms}, {BLOCK_BITS}), shiftright(t + {tolerance_ms}, {BLOCK_BITS}))")).alias("block")).select("entity", "block", "t", "row", F.col("row").alias("id_order"))
-    pairs = a.groupBy("entity", "block").cogroup(b.groupBy("entity", "block")).applyInPandas(_nearest_in_block(tolerance_ms), "left_row string, right_row string, distance_ms bigint")
-    pairs = pairs.select(F.from_json("left_row", kinds[0]).alias("l"), F.from_json("right_row", kinds[1]).alias("r"), "distance_ms")
-    return pairs.select(*(F.col(f"l.c{i}").alias(c) for i, c in enumerate(left_id)), *(F.col(f"r.c{i}").alias(c) for i, c in enumerate(right_id)), "distance_ms")
+
+    def side(df: DataFrame, time: str, ids: list[str], name: str) -> DataFrame:
+        row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(ids))).alias(name)
+        rows = df.select(F.col(f"`{entity}`").cast("string").alias("entity"), F.col(f"`{time}`").alias("t"), row)
+        return rows.filter("entity is not null and t is not null")
+
+    a, b = side(left, left_time, left_id, "left"), side(right, right_time, right_id, "ids")
+    block = ["entity", "block"]
+    lefts = a.select("entity", "t", F.expr(f"shiftright(t, {BLOCK_BITS})").alias("block")).distinct()
+    lefts = lefts.groupBy(*block).agg(F.collect_list("t").alias("lefts"))
+    # Of rows of one time the least id counts. A time also belongs to a neighbouring block within the tolerance.
+    times = b.groupBy("entity", "t").agg(F.min("ids").alias("ids"))
+    blocks = F.expr(f"sequence(shiftright(t - {tolerance_ms}, {BLOCK_BITS}), shiftright(t + {tolerance_ms}, {BLOCK_BITS}))")
+    rights = times.select("entity", F.explode(blocks).alias("block"), F.struct("t", "ids").alias("r"))
+    rights = rights.groupBy(*block).agg(F.collect_list("r").alias("rights"))
+    schema = f"entity string, t bigint, right {b.schema['ids'].dataType.simpleString()}, distance_ms bigint"
+    found = lefts.join(rights, block).mapInArrow(_nearest_batches(tolerance_ms), schema)
+    pairs = a.join(found, ["entity", "t"])
+    ids = [F.col(f"left.c{i}").alias(c) for i, c in enumerate(left_id)] + [F.col(f"right.c{i}").alias(c) for i, c in enumerate(right_id)]
+    return pairs.select(*ids, "distance_ms")
 
 
 def valid_records(interventions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from tidegauge.operators import intervals
-from tidegauge.operators.intervals import intervention_periods, merge_intervals, merge_sorted_lists
+from tidegauge.operators.intervals import intervention_periods, merge_intervals, merge_lists
 
 
 def brute(rows, max_gap=None):
@@ -54,13 +54,25 @@ def test_missing_reversed_and_empty(spark):
 def test_linear_merge(items):
     import numpy as np
 
+    items.sort(key=lambda x: x[0])  # every interval is a list of its own
     row, s = (np.array([x[i] for x in items], dtype=np.int64) for i in (0, 1))
     e = s + np.array([x[2] for x in items], dtype=np.int64)
-    r, a, b = merge_sorted_lists(row, s, e)
+    part = np.arange(len(row)) - np.searchsorted(row, row)
+    r, a, b = merge_lists(row, part, s, e)
     got = {(int(k), "period", int(x), int(y)) for k, x, y in zip(r, a, b, strict=True)}
     assert got == {x for x in brute(list(zip(row.tolist(), s.tolist(), e.tolist(), strict=True))) if x[1] == "period"}
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_trees_of_several_levels(spark, monkeypatch, fan):
+    monkeypatch.setattr(intervals, "FAN", fan)
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.7 else "b", s := rng.randrange(0, 9000), s + rng.choice([1, 4, 9]), 0, "x") for _ in range(900)]
+    rows += [("hot", 100, 104, 0, "x")] * 100
+    df = spark.createDataFrame(rows, SCHEMA).repartition(11)
+    assert found(merge_intervals(df, ["k"], "s", "e")) == brute([r[:3] for r in rows])
+
+
 def test_valid_record_rules(spark):
     at = dt.datetime(2024, 1, 1)
     later = at + dt.timedelta(seconds=5)

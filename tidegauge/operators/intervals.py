@@ -1,70 +1,136 @@
 """Overlapping and gapped intervals merged into continuous periods and the gaps between them.
 
-Method: a mergeable aggregate that holds sorted disjoint intervals. Partial lists are made for
-(key, time block, salt), merged linearly up a reduction tree to one list for each (key, time
-block), and joined across blocks through one summary row for each block, so no task ever holds a
-whole key. Periods are read off the lists and gaps off their complements.
+Method: a mergeable aggregate that holds sorted disjoint intervals. Every task folds its rows into one
+list for each (key, time block) before anything is shuffled; partial lists are merged two by two, each
+by one linear pass over both, up a reduction tree with as many levels as their number asks for, to one
+list for each (key, time block); lists are joined across blocks through one summary row for each block,
+so no task ever holds a whole key. Periods are read off the lists and gaps off their complements.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidegauge.functions import epoch_ms, norm_label, norm_name, norm_token
+from tidegauge.plans.runtime import cut_lineage
 
 #: Width of a time block in ms; a list of one block holds at most that many disjoint intervals.
 BLOCK_MS = 6 * 3600 * 1000
-#: Partial lists for each (key, block) on the way up the tree.
-TREE_FANS = (16, 1)
+#: Rows that a task folds at a time, and partial lists that meet in one group of a level of the tree.
+FOLD_ROWS, FAN = 200_000, 16
+_SPANS = "spans array<struct<s:bigint,e:bigint>>"
 
 
-def merge_sorted_lists(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge intervals that overlap or touch, separately for each row number.
-
-    The input is a concatenation of sorted lists, which the stable merge sort joins run by run.
-    Returns row, start and end of the disjoint intervals in order.
-    """
+def _coalesce(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of intervals in order of row and start: which begin a disjoint interval, and the ends of these."""
     if not len(row):
-        return row, start, end
-    order = np.lexsort((start, row))
-    row, start, end = row[order], start[order], end[order]
+        return np.zeros(0, bool), end
     reach = pd.Series(end).groupby(row, sort=False).cummax().to_numpy()
     opens = np.ones(len(row), bool)
     opens[1:] = (row[1:] != row[:-1]) | (start[1:] > reach[:-1])
-    last = np.append(np.flatnonzero(opens)[1:], len(row)) - 1
-    return row[opens], start[opens], reach[last]
+    return opens, reach[np.append(np.flatnonzero(opens)[1:], len(row)) - 1]
+
+
+def merge_lists(row: np.ndarray, part: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merge the lists of each row into one: row, start and end of its disjoint intervals in order.
+
+    The input is a concatenation of sorted lists of disjoint intervals by row and part (0, 1, ..).
+    Lists are merged two by two; the place of an interval is its own in its list plus that of its
+    start in the other, so no list is sorted again. Intervals that overlap or touch become one.
+    """
+    low = int(start.min()) if len(start) else 0
+    width = (int(start.max()) - low + 1) if len(start) else 1
+    while len(part) and part.max() > 0:
+        pair = part // 2
+        group = row * (int(pair.max()) + 1) + pair
+        key = group * width + (start - low)
+        a, b = np.flatnonzero(part % 2 == 0), np.flatnonzero(part % 2 == 1)
+        order = np.empty(len(row), np.int64)
+        order[np.arange(len(a)) + np.searchsorted(key[b], key[a], "left")] = a
+        order[np.arange(len(b)) + np.searchsorted(key[a], key[b], "right")] = b
+        row, part, start, end, group = row[order], pair[order], start[order], end[order], group[order]
+        opens, end = _coalesce(group, start, end)
+        row, part, start = row[opens], part[opens], start[opens]
+    return row, start, end
+
+
+def _lists(rows: int, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.ListArray:
+    offsets = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["s", "e"]))
+
+
+def _fold_rows(keys: Sequence[str]):
+    """One sorted disjoint list for each (key, block) of up to ``FOLD_ROWS`` rows of a task, numbered by ``_leaf``."""
+
+    def fold(batches: list[pa.RecordBatch], leaf: int) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        code = np.zeros(table.num_rows, np.int64)
+        for k in (*keys, "_block"):
+            column = table.column(k).combine_chunks()
+            each = column if isinstance(column, pa.Array) else column.chunk(0)
+            index = np.asarray(pc.dictionary_encode(each, null_encoding="encode").indices).astype(np.int64)
+            code = np.unique(code * (int(index.max()) + 1) + index, return_inverse=True)[1]
+        start, end = np.asarray(table.column("_s")), np.asarray(table.column("_e"))
+        order = np.lexsort((start, code))
+        code, start = code[order], start[order]
+        opens, end = _coalesce(code, start, end[order])
+        code, start, at = code[opens], start[opens], order[opens]
+        rows = int(code[-1]) + 1
+        first = table.take(pa.array(at[np.searchsorted(code, np.arange(rows))])).combine_chunks()
+        columns = [first.column(k).chunk(0) for k in (*keys, "_block")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(rows, leaf)), _lists(rows, code, start, end)], names=[*keys, "_block", "_leaf", "spans"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, flushed = [], 0, 0
+        task = TaskContext.get()
+        for batch in batches:
+            held += [batch] if batch.num_rows else []
+            n += batch.num_rows
+            if n >= FOLD_ROWS:
+                yield fold(held, task.partitionId() + (flushed << 32))
+                held, n, flushed = [], 0, flushed + 1
+        if n:
+            yield fold(held, task.partitionId() + (flushed << 32))
+
+    return run
 
 
 def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans = batch.column("spans")
+        parts = batch.column("lists")
+        spans = parts.flatten()
+        row_of = np.repeat(np.arange(batch.num_rows), np.asarray(parts.value_lengths()))
+        ordinal = np.arange(len(row_of)) - np.searchsorted(row_of, row_of)
+        size = np.asarray(spans.value_lengths())
         flat = spans.flatten()
-        row = np.repeat(np.arange(batch.num_rows), np.asarray(spans.value_lengths()))
-        row, start, end = merge_sorted_lists(row, np.asarray(flat.field("s")), np.asarray(flat.field("e")))
-        offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-        merged = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["s", "e"]))
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names if n != "spans"), merged], names=[*(n for n in batch.schema.names if n != "spans"), "spans"])
+        row, start, end = merge_lists(np.repeat(row_of, size), np.repeat(ordinal, size), np.asarray(flat.field("s")), np.asarray(flat.field("e")))
+        names = [n for n in batch.schema.names if n != "lists"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), _lists(batch.num_rows, row, start, end)], names=[*names, "spans"])
 
 
 def _interval_lists(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row for each (key, block) with its disjoint intervals, by way of salted partial lists."""
-    span = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
-    lists = df.select(*keys, F.floor(F.col("_s") / BLOCK_MS).alias("_block"), F.struct(F.col("_s").alias("s"), F.col("_e").alias("e")).alias("_span"))
-    lists = lists.withColumn("_salt", F.pmod(F.xxhash64("_span"), F.lit(TREE_FANS[0])))
-    for level, fan in enumerate(TREE_FANS):
-        group = [*keys, "_block", F.pmod("_salt", F.lit(fan)).alias("_salt")]
-        gather = F.collect_list("_span") if level == 0 else F.flatten(F.collect_list("spans"))
-        lists = lists.groupBy(*group).agg(gather.alias("spans"))
-        schema = T.StructType([*(f for f in lists.schema if f.name != "spans"), T.StructField("spans", span)])
-        lists = lists.mapInArrow(_merge_batches, schema)
-    return lists.drop("_salt")
+    """One row for each (key, block) with its disjoint intervals, by way of partial lists of each task."""
+    src = df.select(*keys, F.floor(F.col("_s") / BLOCK_MS).alias("_block"), "_s", "_e")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name not in ("_s", "_e"))
+    lists = cut_lineage(src.mapInArrow(_fold_rows(list(keys)), f"{kinds}, _leaf bigint, {_SPANS}"))
+    most = lists.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    level = max(1, math.ceil(math.log(most, FAN)))
+    leaf = F.pmod(F.xxhash64("_leaf"), F.lit(FAN ** (level - 1)))
+    while level:
+        level -= 1
+        group = [*keys, "_block", leaf.alias("_leaf")]
+        lists = lists.groupBy(*group).agg(F.collect_list("spans").alias("lists")).mapInArrow(_merge_batches, f"{kinds}, _leaf bigint, {_SPANS}")
+        leaf = F.pmod("_leaf", F.lit(FAN ** max(0, level - 1)))
+    return lists.drop("_leaf")
 
 
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, *, max_gap_ms: int | None = None) -> DataFrame:

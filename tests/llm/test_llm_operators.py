@@ -42,6 +42,22 @@ def test_percentiles_against_sorting(spark, monkeypatch):
         assert [got[k][c] for c in ("p50", "p90", "p95", "p99", "p999")] == want and got[k].n == len(v) and got[k].rank_error == 0
 
 
+def test_pivot_rounds_to_the_end_over_many_groups_days_and_lists(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "GATHER", 0)
+    monkeypatch.setattr(quantiles, "LIST_ROWS", 40)
+    monkeypatch.setattr(quantiles, "LEAVES", 2)
+    rng = random.Random(3)
+    rows = [(i if i % 9 else None, f"m{min(7, int(rng.expovariate(0.5)))}", rng.choice("abc"), float(rng.choice([rng.randrange(40), rng.randrange(10**6)])), DAY + dt.timedelta(days=rng.randrange(9)), DAY, "", "") for i in range(2500)]
+    got = {(r.method_id, r.stage_name): r for r in quantiles.percentiles(quantiles.day_lists(spark.createDataFrame(rows, LOG)), (500, 999)).collect()}
+    groups = {(None, None): sorted(r[3] for r in rows)}
+    for r in rows:
+        groups.setdefault((r[1], r[2]), []).append(r[3])
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        v = sorted(v)
+        assert (got[k].n, got[k].p50, got[k].p999) == (len(v), v[(500 * len(v) + 999) // 1000 - 1], v[(999 * len(v) + 999) // 1000 - 1])
+
+
 def test_days_computed_apart_join_to_the_same(spark):
     df = spark.createDataFrame(log_rows(1500, 4), LOG)
     whole = {tuple(r) for r in quantiles.percentiles(quantiles.day_lists(df)).collect()}

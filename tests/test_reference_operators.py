@@ -233,6 +233,10 @@ def test_edge_and_structure_updates(spark):
     hit = spark.createDataFrame([(1, "a", "b", True)], "run_id int, source string, target string, exceeds boolean")
     got = {(r.src, r.dst): round(r.confidence, 3) for r in select.update_edges(edges, hit).collect()}
     assert got == {("a", "b"): 0.6, ("c", "b"): 0.18, ("c", "d"): 0.9}
+    # Two pieces in order: the second weakens what the first raised and creates its own edge; d>b is not there before.
+    two = spark.createDataFrame([(1, 1, "a", "b", True), (1, 2, "d", "b", True), (1, 3, "d", "b", False)], "run_id int, seq int, source string, target string, exceeds boolean")
+    got = {(r.src, r.dst): round(r.confidence, 4) for r in select.update_edges(edges, two).collect()}
+    assert got == {("a", "b"): 0.54, ("c", "b"): 0.162, ("c", "d"): 0.9, ("d", "b"): 0.54}
     miss = spark.createDataFrame([(1, "c", "b", False), (1, "d", "a", True)], "run_id int, source string, target string, exceeds boolean")
     out = select.update_structure(edges, miss, graph.closure(edges, ["run_id"], 3))
     assert {(r.src, r.dst) for r in out.collect()} == {("a", "b"), ("c", "d"), ("d", "a")}
@@ -243,7 +247,14 @@ def test_selection_respects_budget_and_authorization(spark):
     costs = select.probe_costs(spark.createDataFrame(rows, "run int, service_id string, kind string, p double, blast_radius double, impact double, rollback_cost double"), ["run"])
     got = [(r.service_id, r.budget_left) for r in select.greedy_selection(costs, ["run"], budget=70.0).orderBy("step").collect()]
     assert got == [("a", 40.0), ("c", 10.0)]
-    assert select.greedy_selection(costs, ["run"], theta=9.0).count() == 0
+    first = select.greedy_selection(costs, ["run"], budget=30.0).first()
+    gain, p = costs.filter("service_id = 'a'").first().eig, np.array([0.4, 0.3, 0.3])
+    new = np.array([0.4 + min(0.4, gain) * 0.6, *(p[1:] * (1 - min(0.4, gain) * 0.4))])
+    new /= new.sum()
+    assert first.entropy_after == pytest.approx(-(new * np.log(new)).sum()) and first.stop_reason == "BUDGET_EXHAUSTED"
+    none = select.greedy_selection(costs, ["run"], theta=9.0).collect()
+    assert [(r.service_id, r.step, r.stop_reason) for r in none] == [(None, 0, "ENTROPY_CONVERGED")]
+    assert select.greedy_selection(costs, ["run"], budget=10.0).first().stop_reason == "NO_ELIGIBLE"
     assert select.distinct_services(select.random_selection(costs, ["run"]), ["run"]).first().all_distinct
 
 

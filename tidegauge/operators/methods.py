@@ -52,6 +52,7 @@ def propagated(incidents: DataFrame, scores: DataFrame, reach: DataFrame, theta:
 
 def probing(name: str, incidents: DataFrame, posterior: DataFrame, costs: DataFrame, selected: DataFrame) -> DataFrame:
     """Services by initial belief, with the time the selected probes take; none selected abstains."""
+    selected = selected.filter("service_id is not null")
     spent = selected.join(costs.select("incident_id", "service_id", "seconds"), ["incident_id", "service_id"]).groupBy("incident_id").agg(F.sum("seconds").alias("total_ed_s"))
     rows = posterior.join(selected.select("incident_id").distinct(), "incident_id", "left_semi").select("incident_id", "service_id", F.col("p").alias("score"))
     return _output(name, incidents, _ranked(rows, [F.desc("score"), F.col("service_id")]), "NO_SELECTION", None, spent)

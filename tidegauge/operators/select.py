@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Seconds a probe of each kind takes; others take 30.
-PROBE_SECONDS = {"LATENCY": 30.0, "PACKET_LOSS": 30.0, "BANDWIDTH": 20.0, "PARTITION": 60.0}
+PROBE_SECONDS = {"LATENCY": 30.0, "PACKET_LOSS": 30.0, "ERROR_RATE": 20.0, "RESOURCE": 60.0}
 WEIGHT, DEFAULT_IMPACT, DEFAULT_ROLLBACK = 0.25, 0.01, 0.1
 
 
@@ -51,49 +50,90 @@ def authorization(blast: Column, impact: Column, confidence: Column) -> Column:
     return F.when((blast < 0.1) & (impact < 0.01), "AUTONOMOUS").when(confidence < 0.3, "DENIED").otherwise("SUPERVISED")
 
 
+def expected_entropy_after(costs: DataFrame, key: list[str]) -> DataFrame:
+    """Entropy that is expected to be left after probing each candidate, in closed form.
+
+    The candidate's share p grows by s (1 - p) with s = 0.3 of its relative gain, the others shrink by
+    the factor 1 - s p, and all are normalized. Sums over a key replace a pass over its candidates.
+    """
+    part = Window.partitionBy(*key)
+    total = F.sum("p").over(part)
+    rows = costs.withColumn("_p", F.when(total > 0, F.col("p") / F.when(total > 0, total)).otherwise(0.0))
+    plogp = F.when(F.col("_p") > 1e-12, F.col("_p") * F.ln(F.when(F.col("_p") > 1e-12, F.col("_p")))).otherwise(0.0)
+    rows = rows.withColumn("_plogp", plogp).withColumn("_all", F.sum("_plogp").over(part)).withColumn("_s", 0.3 * F.col("eig"))
+    rows = rows.withColumn("_x", F.least(F.lit(1.0), F.col("_p") + F.col("_s") * (1 - F.col("_p")))).withColumn("_c", 1 - F.col("_s") * F.col("_p"))
+    rows = rows.withColumn("_t", F.col("_x") + F.col("_c") * (1 - F.col("_p")))
+    own = F.when(F.col("_x") > 0, F.col("_x") / F.col("_t") * F.ln(F.when(F.col("_x") > 0, F.col("_x") / F.col("_t")))).otherwise(0.0)
+    rest = F.col("_c") / F.col("_t") * (F.col("_all") - F.col("_plogp") + (1 - F.col("_p")) * F.ln(F.col("_c") / F.col("_t")))
+    after = F.when(F.sum("_p").over(part) > 0, -own - rest).otherwise(0.0)
+    return rows.select(*key, "service_id", F.greatest(after, F.lit(0.0)).alias("entropy_after"))
+
+
+def _entropy_of(p: np.ndarray) -> float:
+    total = p.sum()
+    q = p / total if total > 0 else np.zeros(0)
+    q = q[q > 1e-12]
+    return float(-(q * np.log(q)).sum())
+
+
 def _fold_selection(theta: float, budget: float, key: list[str], by: list[str], ascending: list[bool]):
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(by, ascending=ascending, kind="stable")
-        p = dict(zip(pdf["service_id"], pdf["p"], strict=True))
-        left, out, step = budget, [], 0
-        for r in pdf.itertuples():
-            total = sum(p.values())
-            h = -sum(v / total * math.log(v / total) for v in p.values() if total > 0 and v / total > 1e-12)
+        p = pdf["p"].to_numpy(float)
+        p = p / p.sum() if p.sum() > 0 else p
+        gain, seconds, services = (pdf[c].to_numpy() for c in ("eig", "seconds", "service_id"))
+        eligible = (pdf["authorization"].to_numpy() != "DENIED") & (seconds <= budget)
+        left, out, h = budget, [], _entropy_of(p)
+        reason = None if eligible.any() else "NO_ELIGIBLE"
+        for i in np.flatnonzero(eligible) if reason is None else []:
             if h < theta:
                 break
-            if r.authorization == "DENIED" or r.seconds > left:
+            if seconds[i] > left:
                 continue
-            left -= r.seconds
-            step += 1
-            p[r.service_id] = p[r.service_id] * (1 + min(0.4, r.eig))
-            total = sum(p.values())
-            p = {k: v / total for k, v in p.items()} if total > 0 else p
-            out.append((*(getattr(r, k) for k in key), r.service_id, step, left))
-        return pd.DataFrame(out, columns=[*key, "service_id", "step", "budget_left"])
+            left -= seconds[i]
+            sharpening, p_x = min(0.4, gain[i]), p[i]
+            new = p * max(0.0, 1 - sharpening * p_x)
+            new[i] = min(1.0, p_x + sharpening * (1 - p_x))
+            p = new / new.sum() if new.sum() > 0 else new
+            h = _entropy_of(p)
+            out.append((services[i], len(out) + 1, left, h))
+        reason = reason or ("ENTROPY_CONVERGED" if h < theta else "BUDGET_EXHAUSTED" if out else "NO_ELIGIBLE")
+        rows = pd.DataFrame(out or [(None, 0, left, h)], columns=["service_id", "step", "budget_left", "entropy_after"])
+        for k in reversed(key):
+            rows.insert(0, k, pdf[k].iloc[0])
+        return rows.assign(stop_reason=reason)
 
     return fold
 
 
+def _selection(costs: DataFrame, key: list[str], theta: float, budget: float, by: list[str], ascending: list[bool]) -> DataFrame:
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in costs.schema if f.name in key)
+    fold = _fold_selection(theta, budget, key, by, ascending)
+    return costs.groupBy(*key).applyInPandas(fold, f"{kinds}, service_id string, step int, budget_left double, entropy_after double, stop_reason string")
+
+
 def greedy_selection(costs: DataFrame, key: list[str], *, theta: float = 0.5, budget: float = 600.0) -> DataFrame:
     """Candidates chosen in order of utility while the entropy is at least ``theta`` and time is left.
 
-    Utilities stay fixed, so the order does; a candidate too long for what is left is skipped. A
-    key holds the candidates of one incident, which are bounded by its services.
+    A probe moves its service's share p to p + s (1 - p) with s its relative gain, at most 0.4, the
+    others to p_i (1 - s p), and all are normalized. Utilities stay fixed, so the order does; a
+    candidate too long for what is left is skipped. Each row has the reason why the key's selection
+    ended (ENTROPY_CONVERGED, BUDGET_EXHAUSTED, NO_ELIGIBLE); a key of which nothing is chosen has one
+    row of step 0 without a service. A key holds the candidates of one incident, which are bounded by
+    its services.
     """
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in costs.schema if f.name in key)
-    return costs.groupBy(*key).applyInPandas(_fold_selection(theta, budget, key, ["utility", "service_id"], [False, True]), f"{kinds}, service_id string, step int, budget_left double")
+    return _selection(costs, key, theta, budget, ["utility", "service_id"], [False, True])
 
 
 def random_selection(costs: DataFrame, key: list[str], *, seed: int = 42, theta: float = 0.5, budget: float = 600.0) -> DataFrame:
     """Like :func:`greedy_selection` in the order of a digest instead of utility."""
     drawn = costs.withColumn("_draw", F.md5(F.concat_ws(":", F.lit(str(seed)), *key, "service_id")))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in costs.schema if f.name in key)
-    return drawn.groupBy(*key).applyInPandas(_fold_selection(theta, budget, key, ["_draw"], [True]), f"{kinds}, service_id string, step int, budget_left double")
+    return _selection(drawn, key, theta, budget, ["_draw"], [True])
 
 
 def distinct_services(selected: DataFrame, key: list[str]) -> DataFrame:
     """Whether a selection names each service once."""
-    return selected.groupBy(*key).agg((F.count(F.lit(1)) == F.countDistinct("service_id")).alias("all_distinct"), F.count(F.lit(1)).alias("n_selected"))
+    return selected.filter("service_id is not null").groupBy(*key).agg((F.count(F.lit(1)) == F.countDistinct("service_id")).alias("all_distinct"), F.count(F.lit(1)).alias("n_selected"))
 
 
 def update_posterior(prior: DataFrame, evidence: DataFrame, key: list[str]) -> DataFrame:
@@ -118,18 +158,29 @@ def update_posterior(prior: DataFrame, evidence: DataFrame, key: list[str]) -> D
 
 
 def update_edges(edges: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Confidence of edges after one piece of evidence for each run.
+    """Confidence of edges after all evidence of each run, piece by piece in order of ``seq``.
 
     ``edges``: run_id, src, dst, confidence (NULL counts as 0.5); ``evidence``: run_id, source,
-    target, exceeds. An edge that exceeds grows by a fifth and its rivals into the same target
-    shrink by a tenth; one that does not shrinks by a tenth; all stay within [0.05, 0.95].
+    target, exceeds and optionally seq (else pieces go by source, target). An edge that exceeds grows
+    by a fifth and its rivals into the same target shrink by a tenth; one that does not shrinks by a
+    tenth; all stay within [0.05, 0.95] after each piece. An edge that is not known yet is created by
+    the first evidence on it. A run's pieces are bounded by its probes.
     """
-    rows = edges.join(evidence, "run_id", "left")
-    c = F.coalesce("confidence", F.lit(0.5))
-    mine = (F.col("src") == F.col("source")) & (F.col("dst") == F.col("target"))
-    rival = (F.col("src") != F.col("source")) & (F.col("dst") == F.col("target"))
-    new = F.when(mine & F.col("exceeds"), c * 1.2).when(mine | (rival & F.col("exceeds")), c * 0.9).otherwise(c)
-    return rows.select("run_id", "src", "dst", F.least(F.greatest(new, F.lit(0.05)), F.lit(0.95)).alias("confidence"))
+    known = edges.select("run_id", "src", "dst", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
+    new = evidence.select("run_id", F.col("source").alias("src"), F.col("target").alias("dst")).filter("src is not null and dst is not null").distinct()
+    known = known.unionByName(new.join(known, ["run_id", "src", "dst"], "left_anti").withColumn("confidence", F.lit(None).cast("double")))
+    seq = F.col("seq") if "seq" in evidence.columns else F.lit(0)
+    into = evidence.groupBy("run_id", F.col("target").alias("dst")).agg(F.array_sort(F.collect_list(F.struct(seq.alias("seq"), "source", "exceeds"))).alias("_e"))
+
+    def step(c: Column, e: Column) -> Column:
+        mine = e["source"] == F.col("src")
+        now = F.when(mine, F.coalesce(c, F.lit(0.5))).otherwise(c)
+        grown = F.when(mine & e["exceeds"], now * 1.2).when(mine | e["exceeds"], now * 0.9).otherwise(now)
+        return F.when(now.isNotNull(), F.least(F.greatest(grown, F.lit(0.05)), F.lit(0.95)))
+
+    rows = known.join(into, ["run_id", "dst"], "left")
+    folded = F.aggregate(F.coalesce("_e", F.array().cast(into.schema["_e"].dataType)), F.col("confidence"), step)
+    return rows.select("run_id", "src", "dst", F.least(F.greatest(folded, F.lit(0.05)), F.lit(0.95)).alias("confidence"))
 
 
 def update_structure(edges: DataFrame, evidence: DataFrame, reach: DataFrame, remove_under: float = 0.3) -> DataFrame:

@@ -297,7 +297,23 @@ def l3_costs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def l6_selection(spark: SparkSession, d: str) -> DataFrame:
-    return Analysis(spark, d).selection
+    """Probes chosen in each incident by utility, with the reason to stop."""
+    return _with_rounded(Analysis(spark, d).selection, "entropy_after", dp=5)
+
+
+def l7_random_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Probes chosen in the order of a digest."""
+    return _with_rounded(select.random_selection(Analysis(spark, d).costs, ["incident_id"]), "entropy_after", dp=5)
+
+
+def l8_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each incident's probes are of different services."""
+    return select.distinct_services(Analysis(spark, d).selection, ["incident_id"])
+
+
+def l9_expected_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Entropy expected after probing each candidate."""
+    return _with_rounded(select.expected_entropy_after(Analysis(spark, d).costs, ["incident_id"]), "entropy_after", dp=5)
 
 
 def l11_posterior_update(spark: SparkSession, d: str) -> DataFrame:
@@ -525,7 +541,7 @@ QUERIES = {f.__name__: f for f in (
     a1_scores, a3_anomalous, a4_persistence, a5_precedence, a12_ranking, a13_latency,
     g1_time_sliced, g2_collapse, g3_closure, g4_scenario_paths, g6_depth, g8_skeleton, g10_subgraph, g12_degrees, g14_blast,
     d1_wasserstein, d3_variation, d4_threshold, d6_permutation, d6_wall_times, d7_bootstrap, d8_divergence,
-    l1_entropy, l2_posterior, l3_costs, l6_selection, l10_edges, l11_posterior_update,
+    l1_entropy, l2_posterior, l3_costs, l6_selection, l7_random_selection, l8_distinct, l9_expected_entropy, l10_edges, l11_posterior_update,
     i1_precision, i4_clean_windows, i7_dispatch, i11_cascade, v1_violations,
     c1_discovery, c1_services, c2_correlation, c9_identify,
     e1_attribution, e3_runtime, e4_cost, e6_cliffs, e7_wilcoxon, e10_holm, e11_bh, e14_power, e17_counts, e18_latency_cdf, e19_repeatability, e21_report,

@@ -51,12 +51,20 @@ path_edges AS (
   FROM (SELECT fault_id, unnest(causal_path) AS e FROM scenarios) WHERE e[1] IS NOT NULL AND e[2] IS NOT NULL AND {NAME.format('e[1]')} <> {NAME.format('e[2]')}),
 edges AS (SELECT DISTINCT src, dst FROM path_edges)"""
 CLOSURE = PATHS + """,
-walk AS (
-  SELECT src, dst, 1 AS depth, [src, dst] AS path FROM edges
+walk(src, dst, depth, path) USING KEY (src, dst) AS (
+  SELECT src, dst, 1, [src, dst] FROM edges
+  UNION
+  SELECT walk.src, edges.dst, min(walk.depth) + 1, min(list_append(walk.path, edges.dst)) FROM walk JOIN edges ON walk.dst = edges.src
+  WHERE edges.dst <> walk.src AND NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.src = walk.src AND r.dst = edges.dst) GROUP BY walk.src, edges.dst),
+reach AS (SELECT * FROM walk)"""
+#: Reachable pairs inside each scenario's own path.
+OWN_REACH = """
+own_walk(fault_id, src, dst, depth) USING KEY (fault_id, src, dst) AS (
+  SELECT fault_id, src, dst, 1 FROM path_edges
   UNION
-  SELECT walk.src, edges.dst, depth + 1, list_append(path, edges.dst) FROM walk JOIN edges ON walk.dst = edges.src WHERE depth < 3 AND edges.dst <> walk.src),
-reach AS (SELECT src, dst, min(depth) AS depth, min(path) FILTER (WHERE depth = least_depth) AS path
-          FROM (SELECT *, min(depth) OVER (PARTITION BY src, dst) AS least_depth FROM walk) GROUP BY src, dst)"""
+  SELECT w.fault_id, w.src, e.dst, min(w.depth) + 1 FROM own_walk w JOIN path_edges e ON e.fault_id = w.fault_id AND e.src = w.dst
+  WHERE e.dst <> w.src AND NOT EXISTS (SELECT 1 FROM recurring.own_walk r WHERE r.fault_id = w.fault_id AND r.src = w.src AND r.dst = e.dst)
+  GROUP BY w.fault_id, w.src, e.dst)"""
 SAMPLES = ALIGNED + """,
 samples AS (
   SELECT incident_id, service_id, CASE WHEN rn * 2 <= cnt THEN 'base' ELSE 'post' END AS side, rn AS idx, v FROM (
@@ -85,6 +93,50 @@ latest AS (
 HOT = DEVIATIONS + """,
 hot_scores AS (SELECT incident_id, service_id, round(max_z, 2) AS score FROM scores WHERE max_z > 3),
 prior AS (SELECT *, score / sum(score) OVER (PARTITION BY incident_id) AS p FROM hot_scores)"""
+COSTS = "{closure}, {deviations}" + """,
+blast AS (SELECT src AS service_id, least(1, count(DISTINCT dst) / (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges))) AS br FROM reach GROUP BY src),
+hot_p AS (SELECT incident_id, service_id, max_z / sum(max_z) OVER (PARTITION BY incident_id) AS p, count(*) OVER (PARTITION BY incident_id) AS n FROM scores WHERE max_z > 3),
+before AS (SELECT incident_id, -sum(p * ln(p)) AS h FROM hot_p GROUP BY incident_id),
+factors AS (
+  SELECT incident_id, service_id, p, n, coalesce(br, 0) AS br, CASE WHEN n > 1 THEN least(greatest(h * p, 0), ln(n)) / ln(n) ELSE 0 END AS eig
+  FROM hot_p JOIN before USING (incident_id) LEFT JOIN blast USING (service_id)),
+costs AS (
+  SELECT *, 1 - 0.5::DOUBLE * br - 0.005::DOUBLE AS conf, 0.25::DOUBLE * (br + 0.01::DOUBLE + 0.1::DOUBLE + 0.5::DOUBLE * br + 0.005::DOUBLE) AS cost,
+         eig / (1 + 0.25::DOUBLE * (br + 0.01::DOUBLE + 0.1::DOUBLE + 0.5::DOUBLE * br + 0.005::DOUBLE)) AS utility,
+         CASE WHEN 1 - 0.5::DOUBLE * br - 0.005::DOUBLE < 0.3 THEN 'DENIED' ELSE 'SUPERVISED' END AS auth FROM factors)"""
+COSTS = COSTS.replace("{closure}", CLOSURE).replace("{deviations}", DEVIATIONS.strip())
+
+
+def _h(x: str) -> str:
+    return f"-list_sum(list_transform({x}, lambda q: CASE WHEN q > 1e-12 THEN q * ln(q) ELSE 0.0::DOUBLE END))"
+
+
+def folded(order: str) -> str:
+    """CTEs that choose candidates of each incident in an order, one step each: ``fold`` has a row a step."""
+    raw = "list_transform(p, lambda q, j: CASE WHEN j = i + 1 THEN least(1.0::DOUBLE, q + least(0.4::DOUBLE, g[i + 1]) * (1 - q)) ELSE q * greatest(0.0::DOUBLE, 1 - least(0.4::DOUBLE, g[i + 1]) * p[i + 1]) END)"
+    return COSTS + f""",
+placed AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY {order}) AS i FROM costs),
+lists AS (SELECT incident_id, list(service_id ORDER BY i) AS names, list(p ORDER BY i) AS p0, list(eig ORDER BY i) AS g, list(auth ORDER BY i) AS auths, count(*) AS n FROM placed GROUP BY incident_id),
+steps AS (
+  SELECT incident_id, 0 AS i, p0 AS p, 600.0::DOUBLE AS budget_left, 0 AS step, CAST(NULL AS VARCHAR) AS service_id, {_h('p0')} AS h FROM lists
+  UNION ALL
+  SELECT incident_id, i + 1, CASE WHEN take THEN norm ELSE p END, budget_left - CASE WHEN take THEN 30 ELSE 0 END, step + take::INT, CASE WHEN take THEN name END, CASE WHEN take THEN {_h('norm')} ELSE h END
+  FROM (SELECT *, list_transform(raw, lambda q: q / list_sum(raw)) AS norm FROM (
+    SELECT steps.*, names[i + 1] AS name, auths[i + 1] <> 'DENIED' AND budget_left >= 30 AS take, {raw} AS raw FROM steps JOIN lists USING (incident_id) WHERE i < n AND h >= 0.5))),
+ends AS (
+  SELECT incident_id, max(step) AS n_steps, CASE WHEN NOT any_value(has) THEN 'NO_ELIGIBLE' WHEN arg_max(h, i) < 0.5 THEN 'ENTROPY_CONVERGED' WHEN max(step) > 0 THEN 'BUDGET_EXHAUSTED' ELSE 'NO_ELIGIBLE' END AS stop_reason
+  FROM steps JOIN (SELECT incident_id, len(list_filter(auths, lambda a: a <> 'DENIED')) > 0 AS has FROM lists) USING (incident_id) GROUP BY incident_id)"""
+
+
+def probing(method: str, order: str) -> str:
+    """A probing method: candidates by belief where any was chosen, with the time its probes take."""
+    return f"""
+WITH RECURSIVE {folded(order)},
+best AS (SELECT incident_id, string_agg(service_id, ',' ORDER BY rn) AS services FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY p DESC, service_id) AS rn FROM costs) JOIN ends USING (incident_id) WHERE rn <= 5 AND n_steps > 0 GROUP BY incident_id)
+SELECT '{method}' AS method, incident_id, coalesce(services, '') AS services, services IS NULL AS abstained, CASE WHEN services IS NULL THEN 'NO_SELECTION' END AS abstention_reason,
+  CAST(NULL AS DOUBLE) AS latency_s, coalesce(n_steps, 0) * 30.0::DOUBLE AS total_ed_s FROM (SELECT DISTINCT incident_id FROM incidents) LEFT JOIN best USING (incident_id) LEFT JOIN ends USING (incident_id)"""
+
+
 RESULTS = PATHS + f""",
 once AS (SELECT DISTINCT ON (fault_id) * FROM scenarios WHERE fault_id IS NOT NULL),
 facts AS (
@@ -193,16 +245,14 @@ SELECT incident_id, edge_type, count(*) AS n_edges, 0 AS n_backward FROM sliced
 WITH {PATHS}, {DEVIATIONS.strip()}, seen AS (SELECT incident_id, service_id, window_id FROM series WHERE v IS NOT NULL)
 SELECT DISTINCT a.incident_id, src, dst FROM seen a JOIN edges ON src = a.service_id JOIN seen b ON b.incident_id = a.incident_id AND b.service_id = dst AND b.window_id = a.window_id + 1""",
     "g3_closure": f"WITH RECURSIVE {CLOSURE} SELECT src, dst, depth, array_to_string(path, '>') AS path FROM reach",
-    "g4_scenario_paths": f"""
-WITH RECURSIVE {PATHS}, walk AS (
-  SELECT fault_id, src, dst, 1 AS depth FROM path_edges UNION SELECT walk.fault_id, walk.src, e.dst, depth + 1 FROM walk JOIN path_edges e ON e.fault_id = walk.fault_id AND e.src = walk.dst WHERE depth < 4 AND e.dst <> walk.src),
-reach AS (SELECT fault_id, src, dst, min(depth) AS depth FROM walk GROUP BY ALL)
-SELECT fault_id, count(*) AS n_pairs, max(depth) AS max_depth FROM reach GROUP BY fault_id""",
+    "g4_scenario_paths": f"WITH RECURSIVE {PATHS}, {OWN_REACH} SELECT fault_id, count(*) AS n_pairs, max(depth) AS max_depth FROM own_walk GROUP BY fault_id",
     "g6_depth": f"""
-WITH RECURSIVE {PATHS}, walk AS (
-  SELECT fault_id, node, 0 AS depth FROM (SELECT fault_id, src AS node FROM path_edges UNION SELECT fault_id, dst FROM path_edges)
-  UNION SELECT walk.fault_id, e.dst, depth + 1 FROM walk JOIN path_edges e ON e.fault_id = walk.fault_id AND e.src = walk.node WHERE depth < 3)
-SELECT fault_id, node, max(depth) AS depth FROM walk GROUP BY ALL""",
+WITH RECURSIVE {PATHS}, nodes AS (SELECT fault_id, src AS node FROM path_edges UNION SELECT fault_id, dst FROM path_edges),
+sizes AS (SELECT fault_id, count(*) AS n FROM nodes GROUP BY fault_id),
+walk AS (
+  SELECT fault_id, node, 0 AS depth FROM nodes
+  UNION SELECT walk.fault_id, e.dst, depth + 1 FROM walk JOIN sizes USING (fault_id) JOIN path_edges e ON e.fault_id = walk.fault_id AND e.src = walk.node WHERE depth < n)
+SELECT fault_id, node, CASE WHEN max(depth) < any_value(n) THEN max(depth) END AS depth FROM walk JOIN sizes USING (fault_id) GROUP BY fault_id, node""",
     "g8_skeleton": f"WITH {PATHS} SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges",
     "g10_subgraph": f"""
 WITH {PATHS}, {DEVIATIONS.strip()}, rounded AS (SELECT incident_id, service_id, round(max_z, 2) AS score FROM scores),
@@ -224,6 +274,26 @@ SELECT incident_id, service_id, n_base, n_post, grade, round(theta, 8) AS theta,
   CASE WHEN n >= 20 THEN w1 > theta END AS exceeds, CASE WHEN n >= 20 AND n < 30 THEN 'wide interval' WHEN n >= 30 AND n < 50 THEN 'directional only' END AS note FROM graded""",
     "l1_entropy": f"WITH {HOT} SELECT incident_id, round(-sum(CASE WHEN p > 1e-12 THEN p * ln(p) END), 5) AS entropy FROM prior GROUP BY incident_id",
     "l2_posterior": f"WITH {HOT} SELECT incident_id, service_id, round(p, 5) AS p FROM prior",
+    "l3_costs": f"WITH RECURSIVE {COSTS} SELECT incident_id, service_id, round(eig, 3) AS eig, round(cost, 3) AS cost, round(utility, 3) AS utility, auth AS authorization FROM costs",
+    "l6_selection": f"""
+WITH RECURSIVE {folded('utility DESC, service_id')}
+SELECT incident_id, service_id, step, budget_left, round(h, 5) AS entropy_after, stop_reason FROM steps JOIN ends USING (incident_id)
+WHERE service_id IS NOT NULL OR (i = 0 AND n_steps = 0)""",
+    "l7_random_selection": f"""
+WITH RECURSIVE {folded("md5('42:' || incident_id || ':' || service_id)")}
+SELECT incident_id, service_id, step, budget_left, round(h, 5) AS entropy_after, stop_reason FROM steps JOIN ends USING (incident_id)
+WHERE service_id IS NOT NULL OR (i = 0 AND n_steps = 0)""",
+    "l8_distinct": f"""
+WITH RECURSIVE {folded('utility DESC, service_id')}
+SELECT incident_id, count(*) = count(DISTINCT service_id) AS all_distinct, count(*) AS n_selected FROM steps WHERE service_id IS NOT NULL GROUP BY incident_id""",
+    "l9_expected_entropy": f"""
+WITH RECURSIVE {COSTS},
+after AS (SELECT a.incident_id, a.service_id, CASE WHEN b.service_id = a.service_id THEN least(1, a.p + 0.3::DOUBLE * a.eig * (1 - a.p)) ELSE b.p * (1 - 0.3::DOUBLE * a.eig * a.p) END AS q
+          FROM costs a JOIN costs b USING (incident_id)),
+shares AS (SELECT incident_id, service_id, q / sum(q) OVER (PARTITION BY incident_id, service_id) AS q FROM after)
+SELECT incident_id, service_id, round(greatest(0, -sum(CASE WHEN q > 1e-12 THEN q * ln(q) ELSE 0 END)), 5) + 0.0::DOUBLE AS entropy_after FROM shares GROUP BY ALL""",
+    "b2_random": probing("RANDOM", "md5('42:' || incident_id || ':' || service_id)"),
+    "b3_one_shot": probing("ONE_SHOT", "utility DESC, service_id"),
     "l10_edges": f"""
 WITH {PATHS}, first AS (SELECT DISTINCT ON (fault_id) fault_id, src AS source, dst AS target, length(src) % 2 = 0 AS exceeds FROM path_edges ORDER BY fault_id, src, dst)
 SELECT fault_id AS run_id, src, dst, round(least(greatest(CASE WHEN src = source AND dst = target AND exceeds THEN 0.6::DOUBLE WHEN dst = target AND (src = source OR exceeds) THEN 0.45::DOUBLE ELSE 0.5::DOUBLE END, 0.05), 0.95), 6) AS confidence

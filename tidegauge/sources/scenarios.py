@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.operators.graph import closure
+from tidegauge.sources.telemetry import split_of
+
 #: The call graph of the example system.
 CALLS = {
     "frontend": ["cart", "product_catalog", "recommendation", "shipping", "currency", "ad", "checkout"],
@@ -27,44 +28,34 @@ KINDS = {
 #: Pairs on one host, in turn, and the positions the splits are counted over.
 SHARED_HOST = [("cart", "redis_cart"), ("payment", "email"), ("recommendation", "product_catalog"), ("shipping", "currency")]
 PLAIN_TOTAL, TRIALS, CONFOUNDED, ONSET, CONFOUNDED_RECOVERY = 24, 3, 48, 60.0, 480.0
-SCHEMA = "fault_id string, root_cause_service string, fault_type string, injected_at_t double, expected_recovery_t double, causal_path array<array<string>>, confounded boolean, affected_services array<string>, split string, seed bigint"
-
-
-def shortest_edges(calls: dict[str, list[str]], start: str, targets: list[str]) -> list[list[str]]:
-    """Edges of the shortest ways from start to each target, each once; none where there is no way."""
-    came = {start: None}
-    queue = deque([start])
-    while queue:
-        node = queue.popleft()
-        for child in calls.get(node, []):
-            if child not in came:
-                came[child] = node
-                queue.append(child)
-    out: list[list[str]] = []
-    for target in targets:
-        way = []
-        while target in came and came[target] is not None:
-            way.append([came[target], target])
-            target = came[target]
-        out += [e for e in reversed(way) if e not in out]
-    return out
-
-
-def position_split(index: int, total: int) -> str:
-    return "DEVELOPMENT" if index < total // 2 else "VALIDATION" if index < 3 * total // 4 else "HELD_OUT_TEST"
 
 
 def generated_scenarios(spark: SparkSession, seed: int = 42) -> DataFrame:
-    """Every kind of fault three times and 48 confounded pairs, split by position: 69 rows."""
-    rows = []
-    for trial in range(1, TRIALS + 1):
-        for code, (fault, root, ways, affected, recovery) in KINDS.items():
-            path = [e for start, targets in ways for e in shortest_edges(CALLS, start, targets)]
-            rows.append((f"{code}_{trial:02d}", root, fault, ONSET, recovery, path, False, affected, position_split(len(rows), PLAIN_TOTAL), seed + trial))
-    for i in range(CONFOUNDED):
-        a, b = SHARED_HOST[i % len(SHARED_HOST)]
-        rows.append((f"CF_{i:02d}", a, "CONFOUNDED", ONSET, CONFOUNDED_RECOVERY, [[a, b]], True, [a, b, "checkout", "frontend"], position_split(i, CONFOUNDED), seed + i))
-    return spark.createDataFrame(rows, SCHEMA)
+    """Every kind of fault three times and 48 confounded pairs, split by position: 69 rows.
+
+    The path of a kind is the edges of the shortest ways from each start to its targets, in order, each
+    once; a target that cannot be reached adds none.
+    """
+    calls = [(src, dst) for src, targets in CALLS.items() for dst in targets]
+    reach = closure(spark.createDataFrame(calls, "src string, dst string"), []).select("src", "dst", "path")
+    ways = [(code, i, src, dst) for code, kind in KINDS.items() for i, (src, dst) in enumerate((src, dst) for src, targets in kind[2] for dst in targets)]
+    steps = F.expr("transform(sequence(1, size(path) - 1), i -> array(path[i - 1], path[i]))")
+    found = spark.createDataFrame(ways, "code string, i int, src string, dst string").join(reach, ["src", "dst"]).select("code", F.struct("i", steps.alias("steps")).alias("way"))
+    paths = found.groupBy("code").agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list("way")), lambda w: w["steps"]))).alias("causal_path"))
+    kinds = spark.createDataFrame([(code, i, k[0], k[1], k[3], k[4]) for i, (code, k) in enumerate(KINDS.items())], "code string, at int, fault_type string, root_cause_service string, affected_services array<string>, expected_recovery_t double")
+    plain = kinds.join(paths, "code", "left").withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(TRIALS))))
+    none = F.array().cast("array<array<string>>")
+    plain = plain.select(
+        F.format_string("%s_%02d", "code", "trial").alias("fault_id"), "root_cause_service", "fault_type", F.lit(ONSET).alias("injected_at_t"), "expected_recovery_t", F.coalesce("causal_path", none).alias("causal_path"),
+        F.lit(False).alias("confounded"), "affected_services", split_of((F.col("trial") - 1) * len(KINDS) + F.col("at"), F.lit(PLAIN_TOTAL)).alias("split"), (F.col("trial") + seed).cast("bigint").alias("seed"),
+    )
+    pairs = F.array(*(F.array(F.lit(a), F.lit(b)) for a, b in SHARED_HOST))
+    hidden = spark.range(CONFOUNDED).withColumn("pair", F.element_at(pairs, (F.col("id") % len(SHARED_HOST) + 1).cast("int")))
+    hidden = hidden.select(
+        F.format_string("CF_%02d", "id").alias("fault_id"), F.col("pair")[0].alias("root_cause_service"), F.lit("CONFOUNDED").alias("fault_type"), F.lit(ONSET).alias("injected_at_t"), F.lit(CONFOUNDED_RECOVERY).alias("expected_recovery_t"), F.array("pair").alias("causal_path"),
+        F.lit(True).alias("confounded"), F.concat("pair", F.array(F.lit("checkout"), F.lit("frontend"))).alias("affected_services"), split_of(F.col("id"), F.lit(CONFOUNDED)).alias("split"), (F.col("id") + seed).alias("seed"),
+    )
+    return plain.unionByName(hidden)
 
 
 def result_files(spark: SparkSession, path: str) -> DataFrame:

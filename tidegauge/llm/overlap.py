@@ -90,7 +90,22 @@ def cross_split_overlaps(scenarios: DataFrame) -> DataFrame:
     return full.select("training_id", "other_id", "split", "source_set", "training_source_set", F.when(F.col("changed") == 0, "exact").otherwise("near").alias("kind"))
 
 
+def overlap_classes(scenarios: DataFrame) -> DataFrame:
+    """One row for each evaluation scenario with its class and number of links, copies not expanded.
+
+    Columns: fault_id, split, source_set, class_id (root, type and edge set), n_exact and n_near
+    (training scenarios with an equal and an almost equal path). Scenarios without a link are left out.
+    """
+    classes = scenario_classes(scenarios)
+    key = ["root", "fault"]
+    sizes = classes.filter(F.col("split") == TRAINING).groupBy(*key, F.col("edges").alias("edges_a")).agg(F.count(F.lit(1)).alias("n"))
+    links = class_pairs(classes).join(sizes, [*key, "edges_a"]).groupBy(*key, F.col("edges_b").alias("edges"))
+    links = links.agg(F.coalesce(F.sum(F.when(F.col("changed") == 0, F.col("n"))), F.lit(0)).alias("n_exact"), F.coalesce(F.sum(F.when(F.col("changed") > 0, F.col("n"))), F.lit(0)).alias("n_near"))
+    other = classes.filter(F.col("split") != TRAINING).join(links, [*key, "edges"])
+    return other.select("fault_id", "split", "source_set", F.sha2(F.concat_ws("|", "root", "fault", F.array_join("edges", ",")), 256).alias("class_id"), "n_exact", "n_near")
+
+
 def overlap_report(scenarios: DataFrame) -> DataFrame:
-    """Overlapping evaluation scenarios and pairs for each split and source set."""
-    rows = cross_split_overlaps(scenarios)
-    return rows.groupBy("split", "source_set").agg(F.countDistinct("other_id").alias("n_overlapping"), F.countDistinct(F.when(F.col("kind") == "exact", F.col("other_id"))).alias("n_exact"), F.count(F.lit(1)).alias("n_pairs"))
+    """Overlapping evaluation scenarios and pairs for each split and source set, counted by class."""
+    rows = overlap_classes(scenarios)
+    return rows.groupBy("split", "source_set").agg(F.count(F.lit(1)).alias("n_overlapping"), F.count_if(F.col("n_exact") > 0).alias("n_exact"), F.sum(F.col("n_exact") + F.col("n_near")).alias("n_pairs"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.mixing import Mixture
 from tidegauge.llm.nearest import nearest_windows
-from tidegauge.llm.overlap import cross_split_overlaps, overlap_report
+from tidegauge.llm.overlap import cross_split_overlaps, overlap_classes, overlap_report
 from tidegauge.llm.quantiles import day_lists, percentiles
 from tidegauge.llm.spam import spam_documents, spam_shares
 from tidegauge.llm.tokenize import encode_corpus
@@ -25,6 +25,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.least("training_id", "other_id").alias("fault_id_a"), F.greatest("training_id", "other_id").alias("fault_id_b"))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation scenarios that overlap with the training split, by class, with their numbers of links."""
+    return overlap_classes(load(spark, d, "scenarios"))
+
+
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps counted for each split and source set."""
     return overlap_report(load(spark, d, "scenarios"))
@@ -73,7 +78,7 @@ pairs AS (
   WHERE len(a.edges) - len(list_intersect(a.edges, b.edges)) <= 1 AND len(b.edges) - len(list_intersect(a.edges, b.edges)) <= 1)
 """
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES = {"p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_classes": p3_classes, "p3_report": p3_report, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares}
 
 def _ranked(where: str, keys: str) -> str:
     """Percentiles by rank ceil(n * p / 1000) over the rows that count."""
@@ -94,6 +99,12 @@ UNION ALL
 SELECT 'all', NULL, NULL, n, p50, p90, p95, p99, p999, 0 FROM {_ranked("true", "")}
 """,
     "p3_found": _SCENARIOS + "SELECT least(training_id, other_id) AS fault_id_a, greatest(training_id, other_id) AS fault_id_b FROM pairs",
+    "p3_classes": _SCENARIOS + """
+SELECT other_id AS fault_id, upper(replace(any_value(pairs.split), '-', '_')) AS split, any_value(pairs.source_set) AS source_set,
+       sha256(any_value(root) || '|' || upper(replace(any_value(fault), '-', '_')) || '|' || array_to_string(any_value(edges), ',')) AS class_id,
+       count(*) FILTER (WHERE exact) AS n_exact, count(*) FILTER (WHERE NOT exact) AS n_near
+FROM pairs JOIN shown ON fault_id = other_id GROUP BY other_id
+""",
     "p3_report": _SCENARIOS + """
 SELECT upper(replace(split, '-', '_')) AS split, source_set, count(DISTINCT other_id) AS n_overlapping,
        count(DISTINCT other_id) FILTER (WHERE exact) AS n_exact, count(*) AS n_pairs

@@ -1,11 +1,11 @@
 """Token ids of a whole corpus by a public byte-level BPE vocabulary.
 
-Method: corpus-level merge replay. The distinct words of the corpus are gathered once; an inverted
-index from token pair to the positions where it stands applies every merge in rank order to all of
-them, touching only the neighbours of a merged pair. Documents are then written in the ids of
-their words. The most frequent words are broadcast, at most ``TABLE_WORDS`` of at most
-``TABLE_CHARS`` characters; a document's other words are replayed where they occur, so no document
-is ever shuffled.
+Method: corpus-level merge replay. The words of the corpus are counted once; an inverted index from
+token pair to the positions where it stands applies every merge in rank order to all words of a
+table at once, touching only the neighbours of a merged pair. Documents are then written in the ids
+of their words. The table holds the most frequent words, at most ``TABLE_WORDS`` of at most
+``TABLE_CHARS`` characters, and is broadcast; every other word is replayed, in the same way, with the
+documents it occurs in, so no word is replayed twice in a task and no document is ever shuffled.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.plans.runtime import cut_lineage
-
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of this vocabulary.
@@ -148,26 +146,23 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield flush()
 
 
-def _replay_batches(path: str):
+def _replay_table(path: str):
+    """One replay over all words of the table, whose size is bounded."""
+
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = merge_replay(batch.column("word").to_pylist(), path)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
+        words = [w for batch in batches for w in batch.column("word").to_pylist()]
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(merge_replay(words, path), pa.binary())], names=["word", "ids"])
 
     return replay
 
 
 def word_table(docs: DataFrame, text: str, path: str) -> DataFrame:
-    """Each distinct coarse word of the corpus with its number of occurrences and its ids."""
+    """The words that are broadcast with their ids; their number and length are bounded whatever the corpus."""
     words = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_distinct_words, "word string, n bigint")
-    counted = words.groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.mapInArrow(_replay_batches(path), "word string, n bigint, ids binary")
-
-
-def _frequent(table: DataFrame) -> dict[str, bytes]:
-    """The words that are broadcast; their number and length are bounded whatever the corpus."""
-    rows = table.filter(F.length("word") <= TABLE_CHARS).orderBy(F.desc("n"), "word").limit(TABLE_WORDS).select("word", "ids").toArrow()
-    return dict(zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), strict=True))
+    counted = words.groupBy("word").agg(F.sum("n").alias("n")).filter(F.length("word") <= TABLE_CHARS)
+    frequent = counted.orderBy(F.desc("n"), "word").limit(TABLE_WORDS).select("word")
+    return frequent.repartition(1).mapInArrow(_replay_table(path), "word string, ids binary")
 
 
 def _encode_batches(shared, path: str, keep: list[str], lengths: bool):
@@ -201,8 +196,9 @@ def encode_corpus(docs: DataFrame, *, keep: list[str], text: str = "text", token
     """
     spark = docs.sparkSession
     path = os.path.join(tokenizers, vocabulary)
-    table = cut_lineage(word_table(docs, text, path))
-    shared = spark.sparkContext.broadcast(_frequent(table))
+    rows = word_table(docs, text, path).toArrow()
+    table = dict(zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), strict=True))
+    shared = spark.sparkContext.broadcast(table)
     src = docs.select(*keep, F.col(f"`{text}`").cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name in keep)
     return src.mapInArrow(_encode_batches(shared, path, keep, lengths), f"{kinds}, " + ("n_tokens bigint" if lengths else "ids array<int>"))

@@ -215,11 +215,29 @@ def test_raking_meets_the_marginals():
     rng = np.random.default_rng(0)
     cells = pd.DataFrame([(s, lang, t, float(rng.integers(50, 500))) for s in "ab" for lang in ("en", "de") for t in range(3)], columns=["source", "lang", "topic", "tokens"])
     cells["goal"], cells["max_repeats"] = cells["source"].map({"a": 700.0, "b": 900.0}), 5
-    w = rake(cells)
+    w, residual = rake(cells)
     got = (w * cells["tokens"]).groupby(cells["source"]).sum()
     assert got["a"] == pytest.approx(700) and got["b"] == pytest.approx(900) and w.between(0, 5).all()
     lang = (w * cells["tokens"]).groupby(cells["lang"]).sum() / 1600
-    assert lang["en"] == pytest.approx(cells.loc[cells.lang == "en", "tokens"].sum() / cells["tokens"].sum(), abs=0.01)
+    assert lang["en"] == pytest.approx(cells.loc[cells.lang == "en", "tokens"].sum() / cells["tokens"].sum(), abs=1e-6)
+    assert residual < 1e-5
+
+
+def test_what_raking_cannot_meet_is_reported():
+    import pandas as pd
+
+    # Language en is in source a only, whose goal is small: its marginal is out of reach.
+    cells = pd.DataFrame([("a", "en", "x", 500.0, 10.0, 5), ("b", "de", "x", 500.0, 900.0, 5)], columns=["source", "lang", "topic", "tokens", "goal", "max_repeats"])
+    w, residual = rake(cells)
+    assert (w * cells["tokens"]).tolist() == pytest.approx([10.0, 900.0]) and residual == pytest.approx((455 - 10) / 910)
+
+
+def test_topics_of_a_small_share_are_raked_as_one(spark):
+    from tidegauge.llm.mixing import LEAST_SHARE, OTHER, _classes
+
+    rows = [("big", 10_000), ("mid", 100), ("tiny", int(10_000 * LEAST_SHARE) - 2), ("none", 0)]
+    got = {r.n_tokens: r.topic for r in _classes(spark.createDataFrame(rows, "topic string, n_tokens bigint"), "topic").collect()}
+    assert got == {10_000: "big", 100: "mid", int(10_000 * LEAST_SHARE) - 2: OTHER, 0: OTHER}
 
 
 def test_empty_mix(spark):

@@ -204,8 +204,8 @@ def test_replicates_of_a_large_key_are_spread(spark, monkeypatch):
     whole = diverge.permutation_test(df, ["k"], 3000).first().p_value
     monkeypatch.setattr(diverge, "CELLS", 8100)
     parts = diverge.spread(diverge._sides(df, ["k"]), 3000, F.size("xs") + F.size("ys")).collect()
-    assert len(parts) == 12 and sum(n for p in parts for _, n in diverge.replicate_blocks(3000, 81, 42, p.part, p.parts)) == 3000
-    assert 0 < whole < 1
+    assert len(parts) == 12 and sum(len(reps) for p in parts for reps in diverge.replicate_blocks(3000, 81, p.part, p.parts)) == 3000
+    assert 0 < whole < 1 and diverge.permutation_test(df, ["k"], 3000).first().p_value == whole  # however it is spread
 
 
 def test_registered_counts_of_resampling(spark, monkeypatch):
@@ -219,7 +219,51 @@ def test_registered_counts_of_resampling(spark, monkeypatch):
     for f in (reference.d6_permutation, reference.d6_wall_times, reference.d7_bootstrap, reference_more.e5_bootstrap, reference_more.e20_complete):
         f(spark, d)
     assert seen == {"permutation_test": [10_000, 10_000], "bootstrap_interval": [1000], "bootstrap_mean": [2000, 2000]}
-    assert {"p_value", "w1_low", "w1_high", "significant"} <= set(reference.d8_divergence(spark, d).columns)
+    assert {"p_value", "w1_low", "w1_high", "significant"} <= set(reference.d8_inference(spark, d).columns)
+
+
+def test_draws_are_even():
+    x = diverge.draws(42, np.arange(2000), 50)
+    share = np.bincount((x % np.uint64(50)).astype(int).ravel(), minlength=50) / x.size
+    assert np.abs(share - 0.02).max() < 0.002 and len(np.unique(x)) == x.size
+    first = np.argmin(x, axis=1)
+    assert np.abs(np.bincount(first, minlength=50) / 2000 - 0.02).max() < 0.012
+
+
+def test_divergence_without_a_floor(spark):
+    df = samples(spark, [1.0, 2.0], [4.0]).unionByName(samples(spark, [1.0], []).withColumn("k", F.lit("z")))
+    rows = {r.k: r for r in diverge.evaluate_divergence(df, ["k"], replicates=50).collect()}
+    one = next(r for k, r in rows.items() if k != "z")
+    assert one.w1 == pytest.approx(2.5) and one.exceeds and 0 < one.p_value <= 1
+    assert (rows["z"].w1, rows["z"].tv, rows["z"].exceeds, rows["z"].p_value, rows["z"].w1_high) == (0.0, 0.0, False, 1.0, 0.0)
+
+
+def test_simple_paths_and_lookups(spark):
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "a", "c"), (1, "c", "a"), (1, "c", "d"), (2, "a", "b")], "k int, src string, dst string")
+    pairs = spark.createDataFrame([(1, "a", "d"), (2, "a", "d"), (1, "a", "a")], "k int, src string, dst string")
+    assert {(r.k, "".join(r.path)) for r in graph.simple_paths(edges, ["k"], pairs).collect()} == {(1, "abcd"), (1, "acd")}
+    pag = spark.createDataFrame([("x", "y", "BIDIRECTED"), ("x", "y", "DIRECTED"), ("y", "z", "DIRECTED")], "src string, dst string, edge_type string")
+    ask = spark.createDataFrame([("y", "x"), ("z", "y"), ("x", "z")], "a string, b string")
+    got = {(r.a, r.b): (r.has_edge, r.edge_types, r.hidden_cause) for r in graph.pair_lookup(pag, [], ask).collect()}
+    assert got == {("y", "x"): (True, "x>y:BIDIRECTED,x>y:DIRECTED", True), ("z", "y"): (True, "y>z:DIRECTED", False), ("x", "z"): (False, None, False)}
+
+
+def test_evidence_of_probes_and_definitive_rank(spark):
+    inc = spark.createDataFrame([(1, 0.0, 400.0)], "incident_id bigint, t_start double, t_end double")
+    probes = spark.createDataFrame([("a", 200_000, 300_000), ("a", 200_000, 300_000), ("a", 390_000, 390_000), ("b", 500_000, 600_000)], "service_id string, applied_ms bigint, ended_ms bigint")
+    inside = detect.in_incident(probes, "applied_ms", inc)
+    assert inside.count() == 3
+    rows = [(1, s, k * 10_000, 10_000, (90.0 if s == "b" and 20 <= k < 30 else 50.0) + k % 3) for s in "ab" for k in range(40)]
+    series = spark.createDataFrame(rows, "incident_id bigint, service_id string, t_start_ms bigint, delta_ms bigint, value double")
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    got = detect.probe_samples(series, inside, edges)
+    assert {(r.side, r.idx // 10_000) for r in got.collect()} == {("base", k) for k in range(20)} | {("post", k) for k in range(20, 30)}
+    hit = diverge.evaluate_divergence(got, ["incident_id", "src", "dst"]).filter("exceeds")
+    dev = spark.createDataFrame([(1, s, k * 10_000, 10_000, 9.0 if k >= 20 + (s == "b") else 0.5) for s in "ab" for k in range(40)], "incident_id bigint, service_id string, t_start_ms bigint, delta_ms bigint, z double")
+    ranked = {r.service_id: r for r in detect.rank_divergence(dev, edges, hit.select("incident_id", "src", "dst"), bidirected=spark.createDataFrame([("b", "z")], "a string, b string")).collect()}
+    assert ranked["a"].confidence == "DEFINITIVE" and ranked["a"].r4 and ranked["b"].identifiability == "NOT_IDENTIFIABLE"
+    other = hit.select(F.lit(7).cast("bigint").alias("incident_id"), "src", "dst")
+    assert {r.confidence for r in detect.rank_divergence(dev, edges, other).collect()} == {"CANDIDATE", "NONE"}
 
 
 def test_posterior_update_by_hand(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions import epoch_ms
 from tidegauge.operators.graph import closure, node_degrees
 from tidegauge.plans.runtime import cut_lineage
 
@@ -58,6 +59,33 @@ def precedence(diverging: DataFrame, delta_ms: int) -> DataFrame:
     return diverging.withColumn("_first", F.min("t_star_ms").over(incident)).withColumn("r2", F.col("_first") >= F.col("t_star_ms") - 0.01 * delta_ms).withColumn("n_ties", F.count(F.lit(1)).over(near) - 1).drop("_first")
 
 
+def in_incident(events: DataFrame, time: str, incidents: DataFrame) -> DataFrame:
+    """Events with the incident whose time they fall in; others are left out.
+
+    ``time`` is in ms. Incidents meet events by block of about 35 minutes, so no event meets all incidents.
+    """
+    span = incidents.select("incident_id", epoch_ms("t_start").alias("_from"), epoch_ms("t_end").alias("_to")).filter("_from < _to")
+    span = span.withColumn("_block", F.explode(F.expr("sequence(shiftright(_from, 21), shiftright(_to, 21))")))
+    rows = events.withColumn("_block", F.shiftright(time, 21))
+    return rows.join(span, "_block").filter((F.col(time) >= F.col("_from")) & (F.col(time) < F.col("_to"))).drop("_block", "_from", "_to")
+
+
+def probe_samples(series: DataFrame, probes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Values of the services called by a probed one before its first probe (base) and during probes (post).
+
+    ``series``: incident_id, service_id, t_start_ms, delta_ms, value; ``probes``: incident_id, service_id,
+    applied_ms, ended_ms; ``edges``: src, dst. A window is during a probe if it overlaps it; later windows
+    outside probes are on neither side. Columns: incident_id, src, dst, idx, side, value.
+    """
+    spans = probes.filter("ended_ms > applied_ms").select("incident_id", F.col("service_id").alias("src"), "applied_ms", "ended_ms").distinct()
+    spans = spans.groupBy("incident_id", "src").agg(F.min("applied_ms").alias("_first"), F.collect_set(F.struct("applied_ms", "ended_ms")).alias("_spans"))
+    called = spans.join(edges.select("src", "dst").distinct(), "src")
+    rows = called.join(series.filter("value is not null").withColumnRenamed("service_id", "dst"), ["incident_id", "dst"])
+    during = F.exists("_spans", lambda x: (F.col("t_start_ms") < x["ended_ms"]) & (F.col("t_start_ms") + F.col("delta_ms") > x["applied_ms"]))
+    side = F.when(during, "post").when(F.col("t_start_ms") + F.col("delta_ms") <= F.col("_first"), "base")
+    return rows.select("incident_id", "src", "dst", F.col("t_start_ms").alias("idx"), side.alias("side"), "value").filter("side is not null")
+
+
 def rank_divergence(dev: DataFrame, edges: DataFrame, evidence: DataFrame | None = None, *, theta: float = THETA, persist: int = PERSIST, delta_ms: int = 10_000, hops: int | None = None, bidirected: DataFrame | None = None) -> DataFrame:
     """Earliest-divergence ranking of the services of each incident by rules R1 to R4.
 
@@ -65,11 +93,12 @@ def rank_divergence(dev: DataFrame, edges: DataFrame, evidence: DataFrame | None
     R3 another diverging service is reached from it, or it is a leaf that an upstream service
     diverging no earlier reaches; R4 an edge on its shortest path has evidence. All four are
     DEFINITIVE, the first three CANDIDATE, else NONE. ``edges``: src, dst; ``evidence``: src, dst
-    (over its threshold); ``bidirected``: a, b.
+    (over its threshold) and, where it is of one incident, incident_id; ``bidirected``: a, b. Ways are
+    followed from diverging services only.
     """
     # A few rows an incident, read five times below.
     found = cut_lineage(precedence(persistent_divergence(dev, theta, persist), delta_ms))
-    reach = closure(edges, [], hops).select("src", "dst", "depth", "path")
+    reach = closure(edges, [], hops, found.select(F.col("service_id").alias("src")).distinct()).select("src", "dst", "depth", "path")
     nodes = node_degrees(edges, [])
     a = found.select("incident_id", F.col("service_id").alias("src"), F.col("t_star_ms").alias("_ta"))
     b = found.select("incident_id", F.col("service_id").alias("dst"), F.col("t_star_ms").alias("_tb"))
@@ -85,7 +114,8 @@ def rank_divergence(dev: DataFrame, edges: DataFrame, evidence: DataFrame | None
     rows = rows.withColumn("r3", F.col("_down").isNotNull() | leaf).withColumn("path", F.coalesce("_down", F.when(leaf, F.col("_up"))))
     if evidence is not None:
         hops_of = rows.filter("path is not null").select(*KEY, F.explode(F.expr("transform(sequence(1, size(path) - 1), i -> struct(path[i - 1] as src, path[i] as dst))")).alias("e")).select(*KEY, "e.src", "e.dst")
-        shown = hops_of.join(evidence.select("src", "dst").distinct(), ["src", "dst"]).select(*KEY).distinct().withColumn("r4", F.lit(True))
+        on = [c for c in ("incident_id", "src", "dst") if c in evidence.columns]
+        shown = hops_of.join(evidence.select(*on).distinct(), on).select(*KEY).distinct().withColumn("r4", F.lit(True))
         rows = rows.join(shown, KEY, "left").withColumn("r4", F.coalesce("r4", F.lit(False)))
     else:
         rows = rows.withColumn("r4", F.lit(False))

@@ -54,14 +54,26 @@ def grade(n_base: str = "n_base", n_post: str = "n_post"):
 CELLS, TASKS = 1_000_000, 12
 
 
-def replicate_blocks(replicates: int, n: int, seed: int, part: int = 0, parts: int = 1) -> Iterator[tuple[np.random.Generator, int]]:
-    """Generator and number of replicates of each block of at most ``CELLS`` cells of a part.
+_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
-    Blocks depend on n alone, so a draw is the same however rows are partitioned.
+
+def draws(seed: int, replicates: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit number for each (replicate, place) that depends on these and the seed only.
+
+    The finalizer of splitmix64 over a linear form, so SQL can draw the same.
     """
+    with np.errstate(over="ignore"):
+        x = np.uint64(seed) * _ODD[0] + replicates.astype(np.uint64)[:, None] * _ODD[1] + np.arange(n, dtype=np.uint64)[None, :] * _ODD[2]
+        x = (x ^ (x >> np.uint64(30))) * _ODD[1]
+        x = (x ^ (x >> np.uint64(27))) * _ODD[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def replicate_blocks(replicates: int, n: int, part: int = 0, parts: int = 1) -> Iterator[np.ndarray]:
+    """Numbers of the replicates of each block of at most ``CELLS`` cells of a part."""
     rows = max(1, CELLS // n)
     for block in range(part, math.ceil(replicates / rows), parts):
-        yield np.random.default_rng([seed, block]), min(rows, replicates - block * rows)
+        yield np.arange(block * rows, min(replicates, (block + 1) * rows))
 
 
 def spread(df: DataFrame, replicates: int, size: Column) -> DataFrame:
@@ -109,7 +121,7 @@ def permutation_test(samples: DataFrame, key: list[str], replicates: int, seed:
     """
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, gaps = None, None
+        last, label = None, None
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
@@ -123,18 +135,15 @@ def permutation_test(samples: DataFrame, key: list[str], replicates: int, seed:
                 seen = float(_area(ca, upto - ca, na, nb, width))
                 least, hits, drawn = seen - 1e-9 * max(1.0, seen), 0, 0
                 whole = r.parts == 1 and replicates * n <= CELLS
-                if whole and last == (na, nb):
-                    hits, drawn = int((gaps @ width >= least).sum()), replicates
-                else:
-                    for rng, rows in replicate_blocks(replicates, n, seed, r.part, r.parts):
-                        label = np.zeros((rows, n), np.int8)
-                        label[:, :na] = 1
-                        rng.permuted(label, axis=1, out=label)
-                        c = np.cumsum(label[:, :-1], axis=1, dtype=np.int32)
-                        g = np.abs(c / na - (upto - c) / nb)
-                        hits, drawn = hits + int((g @ width >= least).sum()), drawn + rows
-                        if whole:
-                            last, gaps = (na, nb), g
+                for reps in replicate_blocks(replicates, n, r.part, r.parts):
+                    if not whole or last != (na, nb):
+                        # The places with the least numbers are labelled base.
+                        label = np.zeros((len(reps), n), np.int8)
+                        np.put_along_axis(label, np.argpartition(draws(seed, reps, n), na - 1, axis=1)[:, :na], 1, axis=1)
+                        last = (na, nb) if whole else None
+                    c = np.cumsum(label[:, order[:-1]], axis=1, dtype=np.int32)
+                    hits += int((_area(c, upto - c, na, nb, width) >= least).sum())
+                    drawn += len(reps)
                 out.append((*(getattr(r, k) for k in key), hits, drawn))
             yield pd.DataFrame(out, columns=[*key, "_hits", "_drawn"])
 
@@ -147,10 +156,11 @@ def bootstrap_interval(samples: DataFrame, key: list[str], replicates: int, seed
     """Percentile interval of W1 over resamples of both sides, each drawn for itself."""
 
     def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def upto(rng: np.random.Generator, rows: int, n: int) -> np.ndarray:
+        def upto(side: int, reps: np.ndarray, n: int) -> np.ndarray:
             # How often the first 0, 1, .. n values of a side were drawn.
-            draws = rng.integers(0, n, (rows, n)) + np.arange(rows)[:, None] * n
-            counts = np.bincount(draws.ravel(), minlength=rows * n).reshape(rows, n)
+            rows = len(reps)
+            taken = (draws(seed + side, reps, n) % np.uint64(n)).astype(np.int64) + np.arange(rows)[:, None] * n
+            counts = np.bincount(taken.ravel(), minlength=rows * n).reshape(rows, n)
             return np.concatenate([np.zeros((rows, 1), np.int64), np.cumsum(counts, axis=1)], axis=1)
 
         for pdf in batches:
@@ -159,7 +169,7 @@ def bootstrap_interval(samples: DataFrame, key: list[str], replicates: int, seed
                 a, b = np.asarray(r.xs), np.asarray(r.ys)
                 v = np.sort(np.concatenate([a, b]))
                 ia, ib = np.searchsorted(a, v[:-1], "right"), np.searchsorted(b, v[:-1], "right")
-                w = [_area(upto(rng, rows, len(a))[:, ia], upto(rng, rows, len(b))[:, ib], len(a), len(b), np.diff(v)) for rng, rows in replicate_blocks(replicates, len(v), seed, r.part, r.parts)]
+                w = [_area(upto(1, reps, len(a))[:, ia], upto(2, reps, len(b))[:, ib], len(a), len(b), np.diff(v)) for reps in replicate_blocks(replicates, len(v), r.part, r.parts)]
                 out.append((*(getattr(r, k) for k in key), np.concatenate(w)))
             yield pd.DataFrame(out, columns=[*key, "_w"])
 
@@ -185,6 +195,22 @@ def divergence(samples: DataFrame, key: list[str], *, replicates: int = 0, resam
     return rows.withColumn("significant", F.col("p_value") < ALPHA) if replicates else rows
 
 
+def evaluate_divergence(samples: DataFrame, key: list[str], *, replicates: int = 0, seed: int = 42) -> DataFrame:
+    """W1, total variation and threshold without a floor of sample size, for evaluation.
+
+    A key that lacks a side has 0 for both distances, does not exceed and, with ``replicates``, has
+    p-value 1 and an interval of 0. ``exceeds`` is W1 > threshold.
+    """
+    keys = samples.select(*key).distinct()
+    rows = keys.join(wasserstein(samples, key), key, "left").join(iqr_threshold(samples, key), key, "left").join(total_variation(samples, key), key, "left")
+    zeros = {"n_base": 0, "n_post": 0, "w1": 0.0, "theta": 0.0, "tv": 0.0}
+    rows = rows.fillna(zeros).withColumn("exceeds", (F.col("n_base") > 0) & (F.col("w1") > F.col("theta")))
+    if replicates:
+        rows = rows.join(permutation_test(samples, key, replicates, seed), key, "left").join(bootstrap_interval(samples, key, replicates, seed), key, "left")
+        rows = rows.fillna({"p_value": 1.0, "w1_low": 0.0, "w1_high": 0.0})
+    return rows
+
+
 def type_one_rate(tests: DataFrame) -> DataFrame:
     """Share of null trials that reject, and whether it is within three standard errors of alpha."""
     bound = ALPHA + 3 * math.sqrt(ALPHA * (1 - ALPHA))

@@ -77,14 +77,14 @@ def bootstrap_mean(scores: DataFrame, key: list[str], replicates: int, seed: int
 
     A worker holds the scores of one key, 8 bytes each; the replicates of a large key are spread over tasks.
     """
-    from tidegauge.operators.diverge import percentile_interval, replicate_blocks, spread
+    from tidegauge.operators.diverge import draws, percentile_interval, replicate_blocks, spread
 
     def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
                 x = np.asarray(r.xs)
-                means = [x[rng.integers(0, len(x), (rows, len(x)))].mean(axis=1) for rng, rows in replicate_blocks(replicates, len(x), seed, r.part, r.parts)]
+                means = [x[(draws(seed, reps, len(x)) % np.uint64(len(x))).astype(np.int64)].mean(axis=1) for reps in replicate_blocks(replicates, len(x), r.part, r.parts)]
                 out.append((*(getattr(r, k) for k in key), np.concatenate(means)))
             yield pd.DataFrame(out, columns=[*key, "_w"])
 

@@ -15,14 +15,17 @@ def path_edges(scenarios: DataFrame) -> DataFrame:
     return e.filter("src is not null and dst is not null and src <> dst").distinct()
 
 
-def closure(edges: DataFrame, key: list[str], hops: int | None = None) -> DataFrame:
+def closure(edges: DataFrame, key: list[str], hops: int | None = None, sources: DataFrame | None = None) -> DataFrame:
     """Reachable pairs with the shortest path, the least of equal ones; within ``hops`` edges if given.
 
+    With ``sources`` (``key``, src) only the pairs that begin at one of them.
+
     Frontier joins: each round extends only the pairs first reached in the round before, until there
     are none, so cycles end. Columns: ``key``, src, dst, depth, path (nodes).
     """
     step = edges.select(*key, F.col("src").alias("_mid"), F.col("dst").alias("_to")).distinct()
-    reached = edges.filter("src <> dst").select(*key, "src", "dst").distinct().select(*key, "src", "dst", F.lit(1).alias("depth"), F.array("src", "dst").alias("path"))
+    begin = edges if sources is None else edges.join(sources, [*key, "src"], "left_semi")
+    reached = begin.filter("src <> dst").select(*key, "src", "dst").distinct().select(*key, "src", "dst", F.lit(1).alias("depth"), F.array("src", "dst").alias("path"))
     reached = front = cut_lineage(reached) if hops is None or hops > 1 else reached
     depth = 1
     while hops is None or depth < hops:
@@ -36,6 +39,34 @@ def closure(edges: DataFrame, key: list[str], hops: int | None = None) -> DataFr
     return reached
 
 
+def simple_paths(edges: DataFrame, key: list[str], pairs: DataFrame) -> DataFrame:
+    """All ways without a repeated node between each pair (``key``, src, dst): ``key``, src, dst, path.
+
+    Their number grows exponentially with the graph: meant for small graphs, such as one scenario's own.
+    """
+    step = edges.select(*key, F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct()
+    front = cut_lineage(pairs.select(*key, "src", "dst").distinct().filter("src <> dst").select("*", F.col("src").alias("_at"), F.array("src").alias("path")))
+    found = front.filter("false").select(*key, "src", "dst", "path")
+    while not front.isEmpty():
+        nxt = front.join(step, [*key, "_at"]).filter(~F.array_contains("path", F.col("_to")))
+        nxt = cut_lineage(nxt.select(*key, "src", "dst", F.col("_to").alias("_at"), F.concat("path", F.array("_to")).alias("path")))
+        found = found.unionByName(nxt.filter("_at = dst").select(*key, "src", "dst", "path"))
+        front = nxt.filter("_at <> dst")
+    return found
+
+
+def pair_lookup(pag: DataFrame, key: list[str], pairs: DataFrame) -> DataFrame:
+    """What a partial ancestral graph says of each pair (``key``, a, b), whichever way its edges are kept.
+
+    Columns: has_edge, edge_types (sorted, as src>dst:TYPE) and hidden_cause (a bidirected edge).
+    """
+    both = pag.select(*key, F.col("src").alias("a"), F.col("dst").alias("b"), "src", "dst", "edge_type")
+    both = both.unionByName(pag.select(*key, F.col("dst").alias("a"), F.col("src").alias("b"), "src", "dst", "edge_type")).distinct()
+    kinds = both.groupBy(*key, "a", "b").agg(F.array_join(F.array_sort(F.collect_set(F.concat("src", F.lit(">"), "dst", F.lit(":"), "edge_type"))), ",").alias("edge_types"), F.max((F.col("edge_type") == "BIDIRECTED").cast("int")).alias("_h"))
+    rows = pairs.select(*key, "a", "b").distinct().join(kinds, [*key, "a", "b"], "left")
+    return rows.select(*key, "a", "b", F.col("edge_types").isNotNull().alias("has_edge"), "edge_types", (F.coalesce("_h", F.lit(0)) == 1).alias("hidden_cause"))
+
+
 def node_degrees(edges: DataFrame, key: list[str]) -> DataFrame:
     """In- and out-degree of each node; a leaf has no way out."""
     ends = edges.select(*key, F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(*key, F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))

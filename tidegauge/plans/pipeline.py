@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators import align, causal, detect, diverge, graph, select
+from tidegauge.operators.intervals import valid_interventions
 from tidegauge.plans.runtime import cut_lineage, load
 
 
@@ -65,9 +66,28 @@ class Analysis:
         series = rows.select("incident_id", F.col("t_start_ms").alias("time"), F.col("service_id").alias("variable"), F.coalesce(held, F.lit(0.0)).alias("value"))
         return cut_lineage(causal.discover(series, ["incident_id"]))
 
+    @cached_property
+    def evidence(self) -> DataFrame:
+        """Calls (incident_id, src, dst) whose callee moved by more than its threshold while the caller was probed.
+
+        Windows during probes are few, so the comparison has no floor of sample size.
+        """
+        records = valid_interventions(load(self.spark, self.folder, "interventions"))
+        probes = records.filter("applied_ms is not null and destination_service is not null and coalesce(status, '') not in ('PENDING', 'FAILED')")
+        probes = detect.in_incident(probes.withColumnRenamed("destination_service", "service_id"), "applied_ms", self.incidents)
+        samples = cut_lineage(detect.probe_samples(self.series, probes, self.edges))
+        found = diverge.evaluate_divergence(samples, ["incident_id", "src", "dst"])
+        return cut_lineage(found.select("incident_id", "src", "dst", "n_base", "n_post", "w1", "theta", "exceeds"))
+
+    @cached_property
+    def hidden(self) -> DataFrame:
+        """Pairs with a hidden common cause in the scenarios' oracle graphs."""
+        pag = causal.pag_from_paths(self.scenarios).filter("edge_type = 'BIDIRECTED'")
+        return pag.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+
     @property
     def ranked(self) -> DataFrame:
-        return detect.rank_divergence(self.deviations, self.edges)
+        return detect.rank_divergence(self.deviations, self.edges, self.evidence.filter("exceeds").select("incident_id", "src", "dst"), bidirected=self.hidden)
 
     @property
     def samples(self) -> DataFrame:

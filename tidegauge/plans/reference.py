@@ -12,7 +12,7 @@ from tidegauge.functions import norm_label, norm_name
 from tidegauge.operators import align, causal, detect, diverge, evaluate, graph, guard, methods, select, simulate
 from tidegauge.plans.pipeline import Analysis
 from tidegauge.plans.reference_sql import SQL
-from tidegauge.plans.runtime import load
+from tidegauge.plans.runtime import cut_lineage, load
 from tidegauge.sources import telemetry
 
 __all__ = ["QUERIES", "SQL"]
@@ -73,7 +73,8 @@ def s8_split(spark: SparkSession, d: str) -> DataFrame:
 def _positions(df: DataFrame, by: str) -> DataFrame:
     """Global positions from 0 without a global window: sorted partitions plus their offsets."""
     parts = df.repartitionByRange(F.col(by)).sortWithinPartitions(by).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    parts = parts.withColumn("_in", F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33))
+    # Ranges are sampled, so rows and offsets must read the same ones.
+    parts = cut_lineage(parts).withColumn("_in", F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33))
     counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(F.lit(1))))
@@ -174,7 +175,12 @@ def a5_precedence(spark: SparkSession, d: str) -> DataFrame:
 
 def a12_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Earliest-divergence ranking of every incident: the flagship."""
-    return Analysis(spark, d).ranked.select(*KEY, "t_star_ms", "run_length", "n_ties", "r2", "r3", "r4", "confidence", "boundary_limited", "rank", "path")
+    return Analysis(spark, d).ranked.select(*KEY, "t_star_ms", "run_length", "n_ties", "r2", "r3", "r4", "confidence", "boundary_limited", "identifiability", "rank", "path")
+
+
+def a8_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Calls whose callee is compared before and during probes of the caller."""
+    return _with_rounded(Analysis(spark, d).evidence, "w1", "theta", dp=6)
 
 
 def a13_latency(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +223,7 @@ def g8_skeleton(spark: SparkSession, d: str) -> DataFrame:
 def g10_subgraph(spark: SparkSession, d: str) -> DataFrame:
     a = Analysis(spark, d)
     scores = a.scores.select(*KEY, F.round("max_z", 2).alias("score"))
-    return graph.anomaly_subgraph(scores, a.edges)
+    return graph.anomaly_subgraph(scores, a.edges, a.hidden)
 
 
 def g12_degrees(spark: SparkSession, d: str) -> DataFrame:
@@ -245,6 +251,13 @@ def d4_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d8_divergence(spark: SparkSession, d: str) -> DataFrame:
+    """Both halves of each series compared: distances, grade and threshold."""
+    rows = diverge.divergence(cut_lineage(Analysis(spark, d).samples), KEY)
+    return _with_rounded(rows, "theta", "w1", "tv", dp=8).select(*KEY, "n_base", "n_post", "grade", "theta", "w1", "tv", "exceeds", "note")
+
+
+def d8_inference(spark: SparkSession, d: str) -> DataFrame:
+    """The same with p-values of 1,000 permutations and intervals of 200 resamples."""
     rows = _with_rounded(Analysis(spark, d).divergence, "theta", "w1", "tv", "p_value", "w1_low", "w1_high", dp=8)
     return rows.select(*KEY, "n_base", "n_post", "grade", "theta", "w1", "tv", "p_value", "w1_low", "w1_high", "exceeds", "significant", "note")
 
@@ -378,7 +391,7 @@ def c1_services(spark: SparkSession, d: str) -> DataFrame:
 def c2_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Correlation of each pair of metrics over all services."""
     a = Analysis(spark, d)
-    series = a.aligned.select(*KEY, F.col("t_start_ms").alias("time"), F.col("metric_name").alias("variable"), "value").filter("value < 1e6")
+    series = a.aligned.select(*KEY, F.col("t_start_ms").alias("time"), F.col("metric_name").alias("variable"), "value")
     pairs = causal.moments(series, KEY).groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")))
     return causal.correlations(pairs).select("a", "b", "n", (F.round("r", 3) + 0.0).alias("r"))
 
@@ -538,9 +551,9 @@ def s9_fault_series(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     s2_counter_rate, s2_histogram_quantile, s3_s4_responses, s5_parse, s8_split, s9_fault_series, s12_oracle_pag, s16_manifest, s18_guard, s19_secrets, s21_phrases, s22_last_wins,
     t1_grid, t2_last_in_window, t3_bounded_fill, t4_report, t5_last_delivery, t8_lag_alarms, t9_within, t10_wide, t11_fill_zero, t12_complete, t13_baseline,
-    a1_scores, a3_anomalous, a4_persistence, a5_precedence, a12_ranking, a13_latency,
+    a1_scores, a3_anomalous, a4_persistence, a5_precedence, a8_evidence, a12_ranking, a13_latency,
     g1_time_sliced, g2_collapse, g3_closure, g4_scenario_paths, g6_depth, g8_skeleton, g10_subgraph, g12_degrees, g14_blast,
-    d1_wasserstein, d3_variation, d4_threshold, d6_permutation, d6_wall_times, d7_bootstrap, d8_divergence,
+    d1_wasserstein, d3_variation, d4_threshold, d6_permutation, d6_wall_times, d7_bootstrap, d8_divergence, d8_inference,
     l1_entropy, l2_posterior, l3_costs, l6_selection, l7_random_selection, l8_distinct, l9_expected_entropy, l10_edges, l11_posterior_update,
     i1_precision, i4_clean_windows, i7_dispatch, i11_cascade, v1_violations,
     c1_discovery, c1_services, c2_correlation, c9_identify,

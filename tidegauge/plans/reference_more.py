@@ -142,7 +142,22 @@ def d10_monotone(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (s6_mock, s7_generated, s23_gate, t7_windows, g7_directed, g13_propagation, c10_backdoor, l13_stopping, i2_bands, i3_isolation, i6_turns, i12_latch, b5_oracle, b6_unavailable, e2_tiers, e5_bootstrap, e12_confirmatory, e16_validation, e20_complete, d10_monotone)}
 
-_DRAW = "('0x' || substr(md5('42:' || rep || ':' || i), 1, 8))::BIGINT % n"
+_FULL = "18446744073709551616::UHUGEINT"
+
+
+def _times(x: str, c: int) -> str:
+    return f"((({x})::UHUGEINT * {c}::UHUGEINT) % {_FULL})::UBIGINT"
+
+
+def _draw(seed: int, rep: str, i: str) -> str:
+    """The 64-bit number of (replicate, place): the finalizer of splitmix64 over a linear form."""
+    a, b, c = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+    x = f"(({seed}::UHUGEINT * {a}::UHUGEINT % {_FULL} + {rep}::UHUGEINT * {b}::UHUGEINT % {_FULL} + {i}::UHUGEINT * {c}::UHUGEINT % {_FULL}) % {_FULL})::UBIGINT"
+    x = f"(SELECT {_times('xor(u, u >> 30)', b)} FROM (SELECT {x} AS u))"
+    x = f"(SELECT {_times('xor(u, u >> 27)', c)} FROM (SELECT {x} AS u))"
+    return f"(SELECT xor(u, u >> 31) FROM (SELECT {x} AS u))"
+
+
 _BY_METRIC = sql.ALIGNED + """,
 means AS (SELECT metric_name AS method_id, CASE WHEN incident_id % 2 = 0 THEN 'base' ELSE 'post' END AS side, incident_id || '/' || service_id AS idx, round(avg(v), 3) AS v
           FROM aligned WHERE v IS NOT NULL GROUP BY metric_name, incident_id, service_id)"""
@@ -157,6 +172,45 @@ def _w1(table: str, keys: str) -> str:
     WINDOW o AS (PARTITION BY {keys} ORDER BY v), u AS (PARTITION BY {keys} ORDER BY v ROWS UNBOUNDED PRECEDING)) GROUP BY {keys}"""
 
 
+def _permuted(table: str, key: list[str], replicates: int) -> str:
+    """``tested``: permutation p-value of W1 for each key of a table of (key, side, v)."""
+    k = ", ".join(key)
+    same = " AND ".join(f"n.{c} = s.{c}" for c in key)
+    return f"""
+perm_r AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY side, v) - 1 AS i, count(*) FILTER (WHERE side = 'base') OVER (PARTITION BY {k}) AS na FROM {table}),
+perm_h AS (SELECT {k}, rep, v, na, {_draw(42, 'rep', 'i')} AS h FROM perm_r CROSS JOIN range(0, {replicates}) t(rep)),
+perm_many AS (SELECT {k}, rep, v, CASE WHEN row_number() OVER (PARTITION BY {k}, rep ORDER BY h) <= na THEN 'base' ELSE 'post' END AS side FROM perm_h),
+perm_w AS ({_w1('perm_many', k + ', rep')}), perm_seen AS ({_w1(table, k)}),
+tested AS (SELECT {', '.join('n.' + c for c in key)}, (count(*) FILTER (WHERE n.w >= s.w - 1e-9 * greatest(1, s.w)) + 1) / (count(*) + 1) AS p_value FROM perm_w n JOIN perm_seen s ON {same} GROUP BY ALL)"""
+
+
+def _resampled(table: str, key: list[str], replicates: int) -> str:
+    """``boot``: interval of W1 over resamples of both sides for each key of a table of (key, side, v)."""
+    k = ", ".join(key)
+    return f"""
+boot_r AS (SELECT *, row_number() OVER (PARTITION BY {k}, side ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY {k}, side) AS n FROM {table}),
+boot_d AS (SELECT {k}, side, rep, (CASE WHEN side = 'base' THEN {_draw(43, 'rep', 'i')} ELSE {_draw(44, 'rep', 'i')} END % n)::BIGINT AS i FROM boot_r CROSS JOIN range(0, {replicates}) t(rep)),
+boot_v AS (SELECT {k}, side, rep, v FROM boot_d JOIN boot_r USING ({k}, side, i)),
+boot_w AS ({_w1('boot_v', k + ', rep')}),
+boot AS (SELECT {k}, quantile_cont(w, 0.025) AS low, quantile_cont(w, 0.975) AS high FROM boot_w GROUP BY {k})"""
+
+
+def _boot_mean() -> str:
+    return f"""
+mean_r AS (SELECT method, hit_1::INT::DOUBLE AS score, row_number() OVER (PARTITION BY method ORDER BY hit_1::INT) - 1 AS i, count(*) OVER (PARTITION BY method) AS n FROM judged),
+mean_d AS (SELECT method, rep, ({_draw(42, 'rep', 'i')} % n)::BIGINT AS i FROM mean_r CROSS JOIN range(0, 2000) t(rep)),
+mean_m AS (SELECT method, rep, avg(score) AS m FROM mean_d JOIN mean_r USING (method, i) GROUP BY ALL),
+boot AS (SELECT method, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM mean_m GROUP BY method)"""
+
+
+def _attribution() -> str:
+    return "attribution AS (" + sql.SQL["e1_attribution"].split(sql.RESULTS)[1] + ")"
+
+
+def _cost() -> str:
+    return "cost AS (SELECT method, avg(total_ed_s) AS mean_ed_s, quantile_cont(total_ed_s, 0.5) AS median_ed_s, sum(total_ed_s) AS sum_ed_s, max(total_ed_s) AS max_ed_s, avg(total_ed_s) / 600 AS mean_budget_share FROM results GROUP BY method)"
+
+
 SQL = {
     "s7_generated": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{s}', {n}, {e})" for t, s, n, e in (
         ("NETWORK_LATENCY", "DEVELOPMENT", 2, 4), ("NETWORK_LATENCY", "VALIDATION", 1, 2), ("PACKET_LOSS", "DEVELOPMENT", 2, 2), ("PACKET_LOSS", "VALIDATION", 1, 1),
@@ -202,26 +256,28 @@ SELECT 'ORACLE' AS method, fault_id AS incident_id, coalesce(services, '') AS se
   CAST(NULL AS DOUBLE) AS latency_s, 0.0::DOUBLE AS total_ed_s FROM once LEFT JOIN best USING (fault_id)""",
     "b6_unavailable": "SELECT 'SAGE_CHAOS' AS method, incident_id, '' AS services, true AS abstained, 'NOT_IMPLEMENTED' AS abstention_reason, CAST(NULL AS DOUBLE) AS latency_s, 0.0::DOUBLE AS total_ed_s FROM (SELECT DISTINCT incident_id FROM incidents)",
     "e2_tiers": f"""
-SELECT count(*) AS n, 0 AS n_definitive, count(*) FILTER (WHERE confidence = 'CANDIDATE') AS n_candidate, count(*) FILTER (WHERE confidence = 'NONE') AS n_none,
-  round(avg(r2::INT), 6) AS rate_r2, round(avg(r3::INT), 6) AS rate_r3, 0.0::DOUBLE AS rate_r4 FROM ({sql.SQL['a12_ranking']})""",
-    "e5_bootstrap": f"""
-WITH {sql.RESULTS}, r AS (SELECT method, hit_1::INT::DOUBLE AS score, row_number() OVER (PARTITION BY method ORDER BY hit_1::INT, fault_id) - 1 AS i, count(*) OVER (PARTITION BY method) AS n FROM judged),
-draws AS (SELECT method, rep, {_DRAW} AS j FROM r CROSS JOIN range(1, 21) t(rep)),
-m AS (SELECT d.method, rep, avg(score) AS m FROM draws d JOIN r ON r.method = d.method AND r.i = d.j GROUP BY ALL)
-SELECT method, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY method""",
+SELECT count(*) AS n, count(*) FILTER (WHERE confidence = 'DEFINITIVE') AS n_definitive, count(*) FILTER (WHERE confidence = 'CANDIDATE') AS n_candidate, count(*) FILTER (WHERE confidence = 'NONE') AS n_none,
+  round(avg(r2::INT), 6) AS rate_r2, round(avg(r3::INT), 6) AS rate_r3, round(avg(r4::INT), 6) AS rate_r4 FROM ({sql.SQL['a12_ranking']})""",
+    "e5_bootstrap": f"WITH {sql.RESULTS}, {_boot_mean()} SELECT method, round(low, 6) AS low, round(high, 6) AS high FROM boot",
+    "e20_complete": f"""
+WITH {sql.RESULTS}, {_boot_mean()}, {_attribution()}, {_cost()}
+SELECT a.method, n, raw_p1, raw_p3, conditional_p1, coverage, abstention_rate, false_rate, correct_abstention, mean_latency_s, median_latency_s,
+  round(mean_ed_s, 4) AS mean_ed_s, round(median_ed_s, 4) AS median_ed_s, round(sum_ed_s, 4) AS sum_ed_s, round(max_ed_s, 4) AS max_ed_s, round(mean_budget_share, 4) AS mean_budget_share, round(low, 4) AS low, round(high, 4) AS high
+FROM attribution a JOIN cost USING (method) JOIN boot USING (method)""",
     "e16_validation": f"""
 WITH {sql.RESULTS} SELECT method, round(avg(hit_1::INT) FILTER (WHERE NOT confounded), 6) AS plain_p1, round(avg(abstained::INT) FILTER (WHERE confounded), 6) AS confounded_handled,
   round(avg((NOT hit_1 AND NOT abstained)::INT) FILTER (WHERE NOT confounded), 6) AS false_attribution FROM judged GROUP BY method""",
-    "d6_permutation": f"""
-WITH {_BY_METRIC}, r AS (SELECT *, row_number() OVER (PARTITION BY method_id ORDER BY side, v, idx) AS i, count(*) FILTER (WHERE side = 'base') OVER (PARTITION BY method_id) AS na FROM means),
-many AS (SELECT method_id, rep, v, CASE WHEN row_number() OVER (PARTITION BY method_id, rep ORDER BY md5('42:' || rep || ':' || i), i) <= na THEN 'base' ELSE 'post' END AS side FROM r CROSS JOIN range(1, 21) t(rep)),
-null_w AS ({_w1('many', 'method_id, rep')}), seen AS ({_w1('means', 'method_id')})
-SELECT n.method_id, round((count(*) FILTER (WHERE n.w >= s.w - 1e-9) + 1) / (count(*) + 1), 6) AS p_value FROM null_w n JOIN seen s USING (method_id) GROUP BY n.method_id""",
-    "d7_bootstrap": f"""
-WITH {_BY_METRIC}, r AS (SELECT *, row_number() OVER (PARTITION BY method_id, side ORDER BY v, idx) - 1 AS i, count(*) OVER (PARTITION BY method_id, side) AS n FROM means),
-draws AS (SELECT method_id, side, rep, {_DRAW} AS j FROM r CROSS JOIN range(1, 21) t(rep)),
-drawn AS (SELECT d.method_id, d.side, d.rep, r.v FROM draws d JOIN r ON r.method_id = d.method_id AND r.side = d.side AND r.i = d.j),
-w AS ({_w1('drawn', 'method_id, rep')})
-SELECT method_id, round(quantile_cont(w, 0.025), 4) AS w1_low, round(quantile_cont(w, 0.975), 4) AS w1_high FROM w GROUP BY method_id""",
+    "d6_permutation": f"WITH {_BY_METRIC}, {_permuted('means', ['method_id'], 10_000)} SELECT method_id, round(p_value, 6) AS p_value FROM tested",
+    "d7_bootstrap": f"WITH {_BY_METRIC}, {_resampled('means', ['method_id'], 1000)} SELECT method_id, round(low, 4) AS w1_low, round(high, 4) AS w1_high FROM boot",
+    "d8_inference": f"""
+WITH {sql.SAMPLES}, graded AS (
+  SELECT *, least(n_base, n_post) AS n, CASE WHEN least(n_base, n_post) < 20 THEN 'INSUFFICIENT' WHEN least(n_base, n_post) < 50 THEN 'CANDIDATE' ELSE 'RELIABLE' END AS grade
+  FROM w1 JOIN theta USING (incident_id, service_id) JOIN tv USING (incident_id, service_id)),
+big AS (SELECT s.incident_id, s.service_id, s.side, s.v, s.idx FROM samples s JOIN graded USING (incident_id, service_id) WHERE n >= 20),
+{_permuted('big', ['incident_id', 'service_id'], 1000)}, {_resampled('big', ['incident_id', 'service_id'], 200)}
+SELECT incident_id, service_id, n_base, n_post, grade, round(theta, 8) AS theta, CASE WHEN n >= 20 THEN round(w1, 8) END AS w1, CASE WHEN n >= 20 THEN round(tv, 8) END AS tv,
+  round(p_value, 8) AS p_value, round(low, 8) AS w1_low, round(high, 8) AS w1_high, CASE WHEN n >= 20 THEN w1 > theta END AS exceeds, p_value < 0.05 AS significant,
+  CASE WHEN n >= 20 AND n < 30 THEN 'wide interval' WHEN n >= 30 AND n < 50 THEN 'directional only' END AS note
+FROM graded LEFT JOIN tested USING (incident_id, service_id) LEFT JOIN boot USING (incident_id, service_id)""",
     "d10_monotone": f"WITH {sql.SAMPLES} SELECT true AS monotone, count(*) AS n_cases FROM (SELECT DISTINCT incident_id, service_id FROM samples)",
 }

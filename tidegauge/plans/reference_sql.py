@@ -85,6 +85,30 @@ tv AS (
     SELECT incident_id, service_id, CASE WHEN hi > lo THEN least(floor((v - lo) / (hi - lo) * 100), 99) ELSE 0 END AS cell,
            abs(count(*) FILTER (WHERE side = 'base') / any_value(ends.na) - count(*) FILTER (WHERE side = 'post') / any_value(ends.nb)) AS d
     FROM samples JOIN ends USING (incident_id, service_id) GROUP BY ALL) GROUP BY ALL)"""
+#: Comparison of callees before and during probes of their callers.
+EVIDENCE = f"""
+last_record AS (
+  SELECT {NAME.format('destination_service')} AS src, CAST(round(t_applied * 1000) AS BIGINT) AS applied,
+         CAST(round(coalesce(CASE WHEN isfinite(t_rolled_back) THEN t_rolled_back END, t_applied + lease_s) * 1000) AS BIGINT) AS ended
+  FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ingested_at DESC) AS rn FROM interventions)
+  WHERE (rn = 1 OR record_id IS NULL) AND isfinite(t_applied) AND destination_service IS NOT NULL AND coalesce({LABEL.format('status')}, '') NOT IN ('PENDING', 'FAILED')),
+probes AS (SELECT DISTINCT incident_id, src, applied, ended FROM last_record JOIN grid ON applied >= s AND applied < e WHERE ended > applied),
+first_probe AS (SELECT incident_id, src, min(applied) AS first FROM probes GROUP BY ALL),
+compared AS (
+  SELECT f.incident_id, f.src, edges.dst, a.t, a.v, CASE WHEN EXISTS (SELECT 1 FROM probes p WHERE p.incident_id = f.incident_id AND p.src = f.src AND a.t < p.ended AND a.t + a.w > p.applied) THEN 'post'
+         WHEN a.t + a.w <= f.first THEN 'base' END AS side
+  FROM first_probe f JOIN edges ON edges.src = f.src JOIN aligned a ON a.incident_id = f.incident_id AND a.service_id = edges.dst AND a.metric_name = 'lat_p99' AND a.v IS NOT NULL),
+sides AS (SELECT *, count(*) FILTER (WHERE side = 'base') OVER k AS na, count(*) FILTER (WHERE side = 'post') OVER k AS nb FROM compared WHERE side IS NOT NULL WINDOW k AS (PARTITION BY incident_id, src, dst)),
+side_steps AS (
+  SELECT incident_id, src, dst, na, nb, lead(v) OVER o - v AS width, count(*) FILTER (WHERE side = 'base') OVER u / na - count(*) FILTER (WHERE side = 'post') OVER u / nb AS gap
+  FROM sides WHERE na > 0 AND nb > 0 WINDOW o AS (PARTITION BY incident_id, src, dst ORDER BY v), u AS (PARTITION BY incident_id, src, dst ORDER BY v ROWS UNBOUNDED PRECEDING)),
+side_w AS (SELECT incident_id, src, dst, any_value(na) AS n_base, any_value(nb) AS n_post, coalesce(sum(abs(gap) * width), 0) AS w1 FROM side_steps GROUP BY incident_id, src, dst),
+side_theta AS (SELECT incident_id, src, dst, 0.1::DOUBLE * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS theta FROM sides WHERE side = 'base' GROUP BY ALL),
+evidence AS (
+  SELECT incident_id, src, dst, coalesce(n_base, 0) AS n_base, coalesce(n_post, 0) AS n_post, coalesce(w1, 0) AS w1, coalesce(theta, 0) AS theta, coalesce(n_base > 0 AND w1 > coalesce(theta, 0), false) AS exceeds
+  FROM (SELECT DISTINCT incident_id, src, dst FROM sides) LEFT JOIN side_w USING (incident_id, src, dst) LEFT JOIN side_theta USING (incident_id, src, dst))"""
+HIDDEN = f"""
+hidden AS (SELECT DISTINCT {NAME.format('causal_path[1][1]')} AS a, {NAME.format('causal_path[1][2]')} AS b FROM scenarios WHERE confounded AND len(causal_path) > 0 AND causal_path[1][1] IS NOT NULL AND causal_path[1][2] IS NOT NULL)"""
 LATEST = f"""
 latest AS (
   SELECT record_id, {NAME.format('destination_service')} AS destination_service, {LABEL.format('status')} AS status, latency_ms, precision_achieved, rollback_attempts,
@@ -214,7 +238,7 @@ FROM readings JOIN grid USING (incident_id) WHERE isfinite(collection_lag_s) AND
 WITH {DIVERGING} SELECT incident_id, service_id, t_star_ms, min(t_star_ms) OVER (PARTITION BY incident_id) >= t_star_ms - 100 AS r2,
   count(*) OVER (PARTITION BY incident_id ORDER BY t_star_ms RANGE BETWEEN 5000 PRECEDING AND 5000 FOLLOWING) - 1 AS n_ties FROM diverging""",
     "a12_ranking": f"""
-WITH RECURSIVE {CLOSURE}, {DIVERGING.strip()},
+WITH RECURSIVE {CLOSURE}, {DIVERGING.strip()}, {EVIDENCE}, {HIDDEN},
 nodes AS (SELECT node, bool_and(o = 0) AS is_leaf FROM (SELECT src AS node, 1 AS o FROM edges UNION ALL SELECT dst, 0 FROM edges) GROUP BY node),
 met AS (
   SELECT a.incident_id, a.service_id AS src, b.service_id AS dst, a.t_star_ms AS ta, b.t_star_ms AS tb, path
@@ -231,9 +255,14 @@ facts AS (
   LEFT JOIN up USING (incident_id, service_id) LEFT JOIN reached USING (incident_id, service_id)),
 ruled AS (
   SELECT *, any_earlier = 0 OR k >= earlier AS r2, down IS NOT NULL OR (coalesce(is_leaf, false) AND up IS NOT NULL) AS r3,
-         coalesce(down, CASE WHEN is_leaf THEN up END) AS chosen FROM facts)
-SELECT incident_id, service_id, t_star_ms, run_length, n_ties, r2, r3, false AS r4, CASE WHEN r2 AND r3 THEN 'CANDIDATE' ELSE 'NONE' END AS confidence, is_leaf IS NULL AS boundary_limited,
-  row_number() OVER (PARTITION BY incident_id ORDER BY CASE WHEN r2 AND r3 THEN 1 ELSE 2 END, t_star_ms, score DESC, service_id) AS rank, array_to_string(chosen, '>') AS path FROM ruled""",
+         coalesce(down, CASE WHEN is_leaf THEN up END) AS chosen FROM facts),
+steps_of AS (SELECT incident_id, service_id, chosen[i] AS src, chosen[i + 1] AS dst FROM (SELECT incident_id, service_id, chosen, unnest(range(1, len(chosen))) AS i FROM ruled WHERE chosen IS NOT NULL)),
+shown AS (SELECT DISTINCT incident_id, service_id, true AS r4 FROM steps_of JOIN evidence USING (incident_id, src, dst) WHERE exceeds),
+tiered AS (SELECT ruled.*, coalesce(r4, false) AS r4, CASE WHEN r2 AND r3 AND coalesce(r4, false) THEN 'DEFINITIVE' WHEN r2 AND r3 THEN 'CANDIDATE' ELSE 'NONE' END AS confidence FROM ruled LEFT JOIN shown USING (incident_id, service_id))
+SELECT incident_id, service_id, t_star_ms, run_length, n_ties, r2, r3, r4, confidence, is_leaf IS NULL AS boundary_limited,
+  CASE WHEN service_id IN (SELECT a FROM hidden UNION SELECT b FROM hidden) THEN 'NOT_IDENTIFIABLE' ELSE 'IDENTIFIABLE' END AS identifiability,
+  row_number() OVER (PARTITION BY incident_id ORDER BY CASE confidence WHEN 'DEFINITIVE' THEN 0 WHEN 'CANDIDATE' THEN 1 ELSE 2 END, t_star_ms, score DESC, service_id) AS rank, array_to_string(chosen, '>') AS path FROM tiered""",
+    "a8_evidence": f"WITH {PATHS}, {DEVIATIONS.strip()}, {EVIDENCE} SELECT incident_id, src, dst, n_base, n_post, round(w1, 6) AS w1, round(theta, 6) AS theta, exceeds FROM evidence",
     "a13_latency": f"WITH {DIVERGING} SELECT incident_id, round((min(t_star_ms) - any_value(s)) / 1000, 3) AS latency_s FROM diverging JOIN grid USING (incident_id) GROUP BY incident_id",
     "g1_time_sliced": f"""
 WITH {PATHS}, {DEVIATIONS.strip()}, seen AS (SELECT incident_id, service_id, window_id FROM series WHERE v IS NOT NULL),
@@ -255,9 +284,10 @@ walk AS (
 SELECT fault_id, node, CASE WHEN max(depth) < any_value(n) THEN max(depth) END AS depth FROM walk JOIN sizes USING (fault_id) GROUP BY fault_id, node""",
     "g8_skeleton": f"WITH {PATHS} SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges",
     "g10_subgraph": f"""
-WITH {PATHS}, {DEVIATIONS.strip()}, rounded AS (SELECT incident_id, service_id, round(max_z, 2) AS score FROM scores),
+WITH {PATHS}, {DEVIATIONS.strip()}, {HIDDEN}, rounded AS (SELECT incident_id, service_id, round(max_z, 2) AS score FROM scores),
 seeds AS (SELECT incident_id, service_id FROM rounded WHERE score > 3),
-found AS (SELECT * FROM seeds UNION SELECT incident_id, src FROM seeds JOIN edges ON dst = service_id),
+near AS (SELECT * FROM seeds UNION SELECT incident_id, src FROM seeds JOIN edges ON dst = service_id),
+found AS (SELECT * FROM near UNION SELECT incident_id, b FROM near JOIN hidden ON a = service_id UNION SELECT incident_id, a FROM near JOIN hidden ON b = service_id),
 ranked AS (SELECT incident_id, service_id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY incident_id ORDER BY coalesce(score, 0) DESC, service_id DESC) AS rank,
            count(*) OVER (PARTITION BY incident_id) > 15 AS boundary_limited FROM found LEFT JOIN rounded USING (incident_id, service_id))
 SELECT * FROM ranked WHERE rank <= 15""",
@@ -320,8 +350,9 @@ SELECT rule, count(*) AS n FROM (
   UNION ALL SELECT 'lag_not_negative' FROM raw_metrics WHERE collection_lag_s < 0
   UNION ALL SELECT 'metric_known' FROM raw_metrics WHERE metric_name NOT IN ('lat_p99', 'lat_p50', 'err_rate', 'rps', 'cpu_pct', 'mem_pct')) GROUP BY rule""",
     "c2_correlation": f"""
-WITH {ALIGNED}, low AS (SELECT * FROM aligned WHERE v < 1e6)
-SELECT a.metric_name AS a, b.metric_name AS b, count(*) AS n, round(corr(a.v, b.v), 3) + 0.0::DOUBLE AS r FROM low a JOIN low b USING (incident_id, service_id, window_id) WHERE a.metric_name <= b.metric_name GROUP BY ALL""",
+WITH {ALIGNED}
+SELECT a.metric_name AS a, b.metric_name AS b, count(*) AS n, round(corr(a.v, b.v), 3) + 0.0::DOUBLE AS r FROM aligned a JOIN aligned b USING (incident_id, service_id, window_id)
+WHERE a.v IS NOT NULL AND b.v IS NOT NULL AND a.metric_name <= b.metric_name GROUP BY ALL""",
     "e1_attribution": f"""
 WITH {RESULTS} SELECT method, count(*) AS n, round(avg(hit_1::INT), 4) AS raw_p1, round(avg(hit_3::INT), 4) AS raw_p3, round(coalesce(avg(hit_1::INT) FILTER (WHERE NOT abstained), 0), 4) AS conditional_p1,
   round(avg((NOT abstained)::INT), 4) AS coverage, round(avg(abstained::INT), 4) AS abstention_rate, round(avg((NOT abstained AND NOT hit_1)::INT), 4) AS false_rate,

@@ -237,7 +237,9 @@ def _search_key(key: list[str], alpha: float):
         names = sorted(set(pdf["a"]) | set(pdf["b"]))
         at = {v: i for i, v in enumerate(names)}
         out = []
-        if 2 <= len(names) <= MAX_VARIABLES:
+        if len(names) > MAX_VARIABLES:
+            out.append((*(pdf[k].iloc[0] for k in key), None, None, "TOO_MANY_VARIABLES", None))
+        elif len(names) >= 2:
             corr = np.eye(len(names))
             for r in pdf.itertuples():
                 if r.r == r.r and r.r is not None:
@@ -256,8 +258,9 @@ def _search_key(key: list[str], alpha: float):
 def discover(series: DataFrame, key: list[str], *, alpha: float = ALPHA) -> DataFrame:
     """Edges of the partial ancestral graph of each key: src, dst, edge_type, confidence.
 
-    A key of fewer than two variables or more than ``MAX_VARIABLES`` has none; prune it first. A
-    worker holds one key's k x k correlations, never its readings.
+    A key of fewer than two variables has none; one of more than ``MAX_VARIABLES`` has a single row of
+    type TOO_MANY_VARIABLES without ends: prune it first. A worker holds one key's k x k
+    correlations, never its readings.
     """
     stats = correlations(moments(series, key))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema if f.name in key)
@@ -303,6 +306,9 @@ def identify(pag: DataFrame, pairs: DataFrame, key: list[str], hops: int | None
     direct = sure.withColumn("_direct", F.lit(True))
     middle = sure.withColumnRenamed("dst", "_m").join(sure.withColumnRenamed("src", "_m"), [*key, "_m"]).groupBy(*key, "src", "dst").agg(F.array_join(F.array_sort(F.collect_set("_m")), ",").alias("mediators"))
     parents = sure.groupBy(*key, F.col("dst").alias("src")).agg(F.array_join(F.array_sort(F.collect_set("src")), ",").alias("parents"))
+    # A parent that is also a descendant cannot be adjusted for; the empty set is taken then.
+    turned = sure.select(*key, F.col("src").alias("_p"), F.col("dst").alias("src")).join(way.select(*key, "src", F.col("dst").alias("_p")), [*key, "src", "_p"], "left_semi").select(*key, "src").distinct()
+    parents = parents.join(turned, [*key, "src"], "left_anti")
     hidden_pairs = pag.filter("edge_type = 'BIDIRECTED'")
     either = hidden_pairs.select(*key, "src", "dst").unionByName(hidden_pairs.select(*key, F.col("dst").alias("src"), F.col("src").alias("dst")))
     instrument = sure.withColumnRenamed("src", "_iv").withColumnRenamed("dst", "src").join(ask, [*key, "src"]).join(either.withColumnRenamed("src", "_iv"), [*key, "_iv", "dst"], "left_anti").groupBy(*key, "src", "dst").agg(F.min("_iv").alias("instrument"))

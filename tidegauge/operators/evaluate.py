@@ -58,7 +58,9 @@ def tier_summary(ranked: DataFrame) -> DataFrame:
 
 def runtime_metrics(log: DataFrame) -> DataFrame:
     """Pipeline times of each method from its stage log, once for each record_no, and its slowest stage."""
-    once = log.groupBy("record_no").agg(F.max(F.struct("ingested_at", "run_id", "method_id", "stage_name", "wall_time_s", "memory_mb")).alias("r")).select("r.*")
+    cols = ["ingested_at", "run_id", "method_id", "stage_name", "wall_time_s", "memory_mb"]
+    once = log.filter("record_no is not null").groupBy("record_no").agg(F.max(F.struct(*cols)).alias("r")).select("r.*")
+    once = once.unionByName(log.filter("record_no is null").select(*cols))  # rows without a number each count
     once = once.filter("method_id is not null and wall_time_s >= 0 and not isnan(wall_time_s)").withColumn("stage_name", F.lower(F.trim("stage_name")))
     runs = once.groupBy("method_id", "run_id").agg(F.sum("wall_time_s").alias("total_s"), F.max("memory_mb").alias("peak_mb"))
     total = runs.groupBy("method_id").agg(F.count(F.lit(1)).alias("n_runs"), F.avg("total_s").alias("mean_s"), F.percentile("total_s", 0.5).alias("median_s"), F.percentile("total_s", 0.95).alias("p95_s"), F.max("total_s").alias("max_s"), F.max("peak_mb").alias("max_peak_mb"))
@@ -146,6 +148,71 @@ def binomial_greater(k: int, n: int, p0: float = 0.7) -> float:
     return binomial_sf(k, n, p0)
 
 
+def paired(x: DataFrame, y: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
+    """Values of two sides of each key paired by place in order, cut to the shorter side: key, place, x, y."""
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(order, value))
+    a = x.select(*key, place.alias("place"), F.col(value).alias("x"))
+    return a.join(y.select(*key, place.alias("place"), F.col(value).alias("y")), [*key, "place"])
+
+
+def _p_column(f, *columns: str):
+    """A p-value for each row of a small table of statistics, computed in the worker."""
+    return F.pandas_udf(lambda *xs: pd.Series([f(*row) for row in zip(*xs, strict=True)], dtype=float), "double")(*columns)
+
+
+def wilcoxon_pvalues(ranks: DataFrame) -> DataFrame:
+    """``ranks`` of :func:`signed_ranks` with the one-sided p-value ``p``."""
+
+    def p_of(w: float, n: int, z: float, tied: bool) -> float:
+        return wilcoxon_greater(w, int(n), None if z is None or z != z else z, bool(tied))
+
+    return ranks.withColumn("p", _p_column(p_of, "w_plus", "n", "z", "tied"))
+
+
+def binomial_pvalues(counts: DataFrame, p0: float = 0.7) -> DataFrame:
+    """``counts`` (k successes of n) with P(X >= k) as ``p``."""
+    return counts.withColumn("p", _p_column(lambda k, n: binomial_greater(int(k), int(n), p0), "k", "n"))
+
+
+def equivalence_tests(pairs: DataFrame, key: list[str], margin: float) -> DataFrame:
+    """Two one-sided tests of the mean difference of x and y against a margin; ``equivalent`` under 0.05."""
+    d = pairs.select(*key, (F.col("x") - F.col("y")).alias("d")).filter("d is not null and not isnan(d)")
+    s = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("sd")).filter("n >= 2")
+    p = _p_column(lambda m, sd, n: equivalence(m, sd, int(n), margin), "mean", "sd", "n")
+    return s.withColumn("p", p).withColumn("equivalent", F.col("p") < 0.05)
+
+
+def cliffs_interval(pairs: DataFrame, key: list[str], replicates: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Percentile interval of Cliff's delta over resamples of both sides, each drawn for itself.
+
+    A worker holds the values of one key, 8 bytes each; the replicates of a large key are spread over tasks.
+    """
+    from tidegauge.operators.diverge import draws, percentile_interval, replicate_blocks, spread
+
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                x, y = np.asarray(r.xs), np.asarray(r.ys)
+                under, upto = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+                deltas = []
+                for reps in replicate_blocks(replicates, len(x) + len(y), r.part, r.parts):
+                    i = (draws(seed + 1, reps, len(x)) % np.uint64(len(x))).astype(np.int64)
+                    j = (draws(seed + 2, reps, len(y)) % np.uint64(len(y))).astype(np.int64)
+                    for a, b in zip(i, j, strict=True):
+                        # How many of the drawn y lie under and not over each x, from how often each y was drawn.
+                        c = np.concatenate([[0], np.cumsum(np.bincount(b, minlength=len(y)))])
+                        deltas.append(float((c[under[a]] - (len(y) - c[upto[a]])).sum()) / (len(x) * len(y)))
+                out.append((*(getattr(r, k) for k in key), np.array(deltas)))
+            yield pd.DataFrame(out, columns=[*key, "_w"])
+
+    sides = [F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.col(c).cast("double")))).alias(n) for c, n in (("x", "xs"), ("y", "ys"))]
+    held = pairs.groupBy(*key).agg(*sides).filter("size(xs) > 0 and size(ys) > 0")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema if f.name in key)
+    parts = spread(held, replicates, F.size("xs") + F.size("ys")).mapInPandas(resample, f"{kinds}, _w array<double>")
+    return percentile_interval(parts, key, level, "low", "high")
+
+
 def holm(pvalues: DataFrame, family: list[str], alpha: float = 0.05) -> DataFrame:
     """Threshold alpha / (m - rank + 1) of each p-value of a family."""
     m = F.count(F.lit(1)).over(Window.partitionBy(*family))

@@ -55,6 +55,11 @@ def simple_paths(edges: DataFrame, key: list[str], pairs: DataFrame) -> DataFram
     return found
 
 
+def directed_part(pag: DataFrame, key: list[str]) -> DataFrame:
+    """Edges of a partial ancestral graph that lead somewhere: DIRECTED and PARTIALLY_DIRECTED, each once."""
+    return pag.filter(F.col("edge_type").isin("DIRECTED", "PARTIALLY_DIRECTED")).select(*key, "src", "dst").distinct()
+
+
 def pair_lookup(pag: DataFrame, key: list[str], pairs: DataFrame) -> DataFrame:
     """What a partial ancestral graph says of each pair (``key``, a, b), whichever way its edges are kept.
 

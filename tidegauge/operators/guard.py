@@ -132,6 +132,55 @@ def failure_summary(failures: DataFrame) -> DataFrame:
     return rows.select("run_id", "primary_code", (F.size(F.array_except("_codes", F.array(*(F.lit(c) for c in ABSTENTIONS)))) == 0).alias("is_abstention"))
 
 
+def five_checks(records: DataFrame, margin_ms: int = 60_000) -> DataFrame:
+    """The five validity checks of each valid record, and whether all hold.
+
+    ``records``: record_id, destination_service, status, applied_ms, ended_ms, rolled_back,
+    latency_ms, precision_achieved, isolation_verified. Precision as in :func:`precision_check`; the
+    window is clean if no other record of the service begins within the margin of the start; no
+    record of the service overlaps in time; recovery is confirmed by a rollback time and a status
+    other than FAILED. A missing isolation flag does not hold. Neighbours are found over windows in
+    time, not by pairing records.
+    """
+    rows = records.filter("applied_ms is not null and destination_service is not null")
+    verdict = precision_check(rows.withColumn("ingested_at", F.lit(None))).select("record_id", (F.col("verdict") == "VERIFIED").alias("precision_check"))
+    order = Window.partitionBy("destination_service").orderBy("applied_ms", "record_id")
+    near = Window.partitionBy("destination_service").orderBy("applied_ms").rangeBetween(-margin_ms, margin_ms)
+    end = F.greatest(F.coalesce("ended_ms", "applied_ms"), F.col("applied_ms"))
+    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.lead("applied_ms").over(order)
+    rows = rows.withColumn("clean_window", F.count(F.lit(1)).over(near) == 1)
+    rows = rows.withColumn("concurrent_event_free", (before.isNull() | (before <= F.col("applied_ms"))) & (after.isNull() | (after >= end)))
+    rows = rows.withColumn("recovery_confirmed", F.col("rolled_back") & (F.coalesce("status", F.lit("")) != "FAILED"))
+    rows = rows.withColumn("isolation_verified", F.coalesce("isolation_verified", F.lit(False))).join(verdict, "record_id")
+    names = ["precision_check", "clean_window", "concurrent_event_free", "recovery_confirmed", "isolation_verified"]
+    whole = F.col(names[0])
+    for n in names[1:]:
+        whole = whole & F.col(n)
+    return rows.select("record_id", *names, whole.alias("valid"))
+
+
+#: Least measure by which a fault counts as injected.
+VERIFIED_FROM = {"NETWORK_LATENCY": 0.5, "SERVICE_DEGRADATION": 50.0, "RESOURCE_CONTENTION": 40.0}
+
+
+def verify_fault(rows: DataFrame) -> DataFrame:
+    """Whether an injected fault shows in its measure. ``rows``: any columns with fault, expected, measured.
+
+    Latency counts from half of what was expected (none expected counts as 0), CPU from 50 and memory
+    from 40 per cent; drops and queue must be over 0; a dependency must not answer (measured 1). Without
+    a measure, or for other faults, it is not confirmed.
+    """
+    m, fault = F.col("measured"), F.col("fault")
+    ok = (
+        F.when(fault == "NETWORK_LATENCY", m >= F.coalesce("expected", F.lit(0.0)) * VERIFIED_FROM["NETWORK_LATENCY"])
+        .when(fault.isin("PACKET_LOSS", "QUEUEING", "DEPENDENCY_FAILURE"), m > 0)
+        .when(fault == "SERVICE_DEGRADATION", m >= VERIFIED_FROM["SERVICE_DEGRADATION"])
+        .when(fault == "RESOURCE_CONTENTION", m >= VERIFIED_FROM["RESOURCE_CONTENTION"])
+    )
+    return rows.withColumn("confirmed", F.coalesce(ok, F.lit(False)))
+
+
 def valid_latest(interventions: DataFrame) -> DataFrame:
     """The latest delivery of each record with the fields that checks need."""
     cols = ["ingested_at", "destination_service", "source_service", "status", "applied_ms", "rollback_attempts", "latency_ms", "precision_achieved"]

@@ -6,9 +6,14 @@ abstention_reason, latency_s and total_ed_s, one row for each incident.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators.align import first_half_baseline
 from tidegauge.operators.detect import detection_latency
 from tidegauge.operators.graph import propagation_scores
 from tidegauge.plans.runtime import cut_lineage
@@ -84,20 +89,111 @@ def ochiai(events: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.coalesce(F.col("n_af") / F.when(below > 0, below), F.lit(0.0)))
 
 
-def page_rank(edges: DataFrame, weights: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+#: Trees of an isolation forest, rows of each, and rows of the sample they are drawn from.
+TREES, TREE_ROWS, FOREST_ROWS = 100, 256, 20_000
+
+
+class IsolationForest:
+    """Random splits that set a row apart: the fewer a row needs, the more isolated it is."""
+
+    def __init__(self, x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 42) -> None:
+        rng = np.random.default_rng(seed)
+        self.rows = min(rows, len(x))
+        self.deepest = max(1, int(np.ceil(np.log2(max(self.rows, 2)))))
+        # A tree is arrays of (feature, cut, left child, length): a leaf has feature -1 and its mean path length.
+        self.trees = [self._grow(x[rng.choice(len(x), self.rows, replace=False)], rng) for _ in range(trees)] if len(x) else []
+
+    @staticmethod
+    def mean_length(n: int) -> float:
+        """Mean length of an unsuccessful search among n rows."""
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
+
+    def _grow(self, x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+        feature, cut, child, length = [], [], [], []
+        open_ = [(x, 0)]
+        at = 0
+        while at < len(open_):
+            part, depth = open_[at]
+            at += 1
+            spread = np.ptp(part, axis=0) if len(part) else np.zeros(x.shape[1])
+            usable = np.flatnonzero(spread > 0)
+            if depth >= self.deepest or len(part) < 2 or not len(usable):
+                feature.append(-1)
+                cut.append(0.0)
+                child.append(-1)
+                length.append(depth + self.mean_length(len(part)))
+                continue
+            f = int(rng.choice(usable))
+            c = rng.uniform(part[:, f].min(), part[:, f].max())
+            feature.append(f)
+            cut.append(c)
+            child.append(len(open_))
+            length.append(0.0)
+            open_ += [(part[part[:, f] <= c], depth + 1), (part[part[:, f] > c], depth + 1)]
+        return np.array(feature), np.array(cut), np.array(child), np.array(length)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """2^-(mean length / expected length): near 1 for isolated rows, under 0.5 for ordinary ones."""
+        if not self.trees or not len(x):
+            return np.zeros(len(x))
+        total = np.zeros(len(x))
+        for feature, cut, child, length in self.trees:
+            node = np.zeros(len(x), np.int64)
+            for _ in range(self.deepest):
+                inner = feature[node] >= 0
+                f = np.where(inner, feature[node], 0)
+                node = np.where(inner, child[node] + (x[np.arange(len(x)), f] > cut[node]), node)
+            total += length[node]
+        return 2.0 ** -(total / len(self.trees) / max(self.mean_length(self.rows), 1e-9))
+
+
+def isolation_forest(incidents: DataFrame, aligned: DataFrame, metrics: list[str]) -> DataFrame:
+    """Services of each incident by their most isolated window.
+
+    A window is the deviations of its metrics from the baseline of their source, within [-10, 10], 0
+    where there is none. The forest is fitted on at most ``FOREST_ROWS`` windows of the first halves,
+    drawn by hash; every window is scored.
+    """
+    z = aligned.join(first_half_baseline(aligned).select("incident_id", "service_id", "metric_name", "mean", "std"), ["incident_id", "service_id", "metric_name"], "left")
+    off = (F.col("value") - F.col("mean")) / F.when(F.col("std") > 0, F.col("std"))
+    z = z.select("incident_id", "service_id", "window_id", "metric_name", F.least(F.greatest(off, F.lit(-10.0)), F.lit(10.0)).alias("z"))
+    cells = [F.coalesce(F.max(F.when(F.col("metric_name") == m, F.col("z"))), F.lit(0.0)).alias(m) for m in metrics]
+    rows = cut_lineage(z.groupBy("incident_id", "service_id", "window_id").agg(*cells))
+    half = rows.groupBy("incident_id").agg((F.max("window_id") / 2).alias("_half"))
+    drawn = rows.join(half, "incident_id").filter(F.col("window_id") < F.col("_half"))
+    drawn = drawn.orderBy(F.xxhash64("incident_id", "service_id", "window_id"), "service_id").limit(FOREST_ROWS).select(*metrics).toPandas()
+    shared = rows.sparkSession.sparkContext.broadcast(IsolationForest(drawn.to_numpy(float)))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["incident_id", "service_id"]].assign(score=shared.value.score(pdf[metrics].to_numpy(float)))
+
+    scored = rows.mapInPandas(score, "incident_id bigint, service_id string, score double").groupBy("incident_id", "service_id").agg(F.max("score").alias("score"))
+    return _output("ISOLATION", incidents, _ranked(scored, [F.desc("score"), F.col("service_id")]), "NO_DATA")
+
+
+def page_rank(edges: DataFrame, weights: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-9, rounds: int = 1000) -> DataFrame:
     """Personalized PageRank against the direction of calls, restarting at anomalous services.
 
-    ``edges``: src, dst; ``weights``: service_id, weight. Services without a way out restart.
+    ``edges``: src, dst; ``weights``: service_id, weight. Services without a way out restart. Rounds
+    go on until all scores together change by no more than ``tolerance``; the error is then at most
+    ``tolerance`` * damping / (1 - damping).
     """
     total = weights.agg(F.sum("weight").alias("_t"))
     base = weights.crossJoin(F.broadcast(total)).select("service_id", F.when(F.col("_t") > 0, F.col("weight") / F.col("_t")).otherwise(0.0).alias("base"))
     base = cut_lineage(base)
     back = edges.select(F.col("dst").alias("service_id"), F.col("src").alias("_to")).distinct()
-    back = cut_lineage(back)
-    out = back.groupBy("service_id").agg(F.count(F.lit(1)).alias("_deg"))
-    rank = base.withColumn("score", F.col("base"))
+    degree = back.groupBy("service_id").agg(F.count(F.lit(1)).alias("_deg"))
+    back = cut_lineage(back.join(degree, "service_id"))
+    ends = cut_lineage(base.select("service_id").join(back.select("service_id").distinct(), "service_id", "left_anti").withColumn("_end", F.lit(True)))
+    rank = base.select("service_id", "base", F.col("base").alias("score"))
     for _ in range(rounds):
-        shared = rank.join(out, "service_id").join(back, "service_id").groupBy(F.col("_to").alias("service_id")).agg(F.sum(F.col("score") / F.col("_deg")).alias("_in"))
-        lost = rank.join(out, "service_id", "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("_lost"))
-        rank = cut_lineage(base.join(shared, "service_id", "left").crossJoin(F.broadcast(lost)).select("service_id", "base", ((1 - damping) * F.col("base") + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") * F.col("base"))).alias("score")))
+        shared = rank.join(back, "service_id").groupBy(F.col("_to").alias("service_id")).agg(F.sum(F.col("score") / F.col("_deg")).alias("_in"))
+        lost = rank.join(ends, "service_id").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("_lost"))
+        new = (1 - damping) * F.col("base") + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") * F.col("base"))
+        rows = rank.join(shared, "service_id", "left").crossJoin(F.broadcast(lost))
+        rank = cut_lineage(rows.select("service_id", "base", new.alias("score"), F.abs(new - F.col("score")).alias("_change")))
+        if (rank.agg(F.sum("_change")).first()[0] or 0.0) <= tolerance:
+            break
+        rank = rank.drop("_change")
     return rank.select("service_id", "score")

@@ -80,6 +80,42 @@ MODELS = {
 }
 
 
+#: Generators of the discovery checks: model and the variables that are seen (U is hidden).
+GENERATORS = {
+    "chain": (Model({"X": ({}, 0.0, 1.0), "Y": ({"X": 0.8}, 0.0, 0.5), "Z": ({"Y": 0.8}, 0.0, 0.5)}), ["X", "Y", "Z"]),
+    "latent": (Model({"U": ({}, 0.0, 1.0), "X": ({"U": 0.8}, 0.0, 0.5), "Y": ({"U": 0.8}, 0.0, 0.5)}), ["X", "Y"]),
+    "collider": (Model({"X": ({}, 0.0, 1.0), "Y": ({}, 0.0, 1.0), "Z": ({"X": 0.8, "Y": 0.8}, 0.0, 0.5)}), ["X", "Y", "Z"]),
+    "mediated": (Model({"X": ({}, 0.0, 1.0), "M": ({"X": 0.8}, 0.0, 0.5), "Y": ({"M": 0.8}, 0.0, 0.5)}), ["X", "M", "Y"]),
+    "ambiguous": (Model({"A": ({}, 0.0, 1.0), "B": ({"A": 0.7}, 0.0, 0.5), "C": ({"A": 0.7}, 0.0, 0.5), "D": ({"B": 0.7, "C": 0.7}, 0.0, 0.5)}), ["A", "B", "C", "D"]),
+}
+
+
+def generated_series(spark: SparkSession, n: int = 500) -> DataFrame:
+    """Long rows (model, time, variable, value) of what is seen of every generator."""
+    out = None
+    for name, (model, seen) in GENERATORS.items():
+        rows = model.sample(spark, n).select(F.lit(name).alias("model"), F.col("id").alias("time"), F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).alias("value")) for v in seen))).alias("s")).select("model", "time", "s.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def oracle_series(scenarios: DataFrame, seed: int = 0) -> DataFrame:
+    """Metric of each scenario from its root and path alone, three minutes around the injection.
+
+    Before it N(0, 10); after it N(50, 5) at the root, N(40, 5) at a target of the path from as many
+    steps after it as its last place in the path (not its distance), N(0, 10) elsewhere. Noise depends on
+    (seed, scenario, service, step). Columns: fault_id, service_id, time, value.
+    """
+    once = scenarios.filter("fault_id is not null and injected_at_t is not null").groupBy("fault_id").agg(F.max(F.struct(F.col("injected_at_t").alias("t"), norm_name("root_cause_service").alias("root"), F.col("seed").alias("s"), F.transform("affected_services", norm_name).alias("services"), "causal_path")).alias("r")).select("fault_id", "r.*")
+    delays = once.select("fault_id", F.posexplode("causal_path").alias("i", "e")).select("fault_id", norm_name(F.col("e")[1]).alias("service_id"), "i").groupBy("fault_id", "service_id").agg(((F.max("i") + 1) * STEP).alias("delay"))
+    rows = once.select("fault_id", "t", "root", "s", F.explode(F.array_distinct(F.array_append("services", F.col("root")))).alias("service_id")).filter("service_id is not null")
+    rows = rows.join(delays, ["fault_id", "service_id"], "left").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(17))))
+    after = F.col("k") * STEP - 60.0
+    noise = normal_draw(F.concat_ws(":", F.lit(seed) + F.coalesce("s", F.lit(0)), "fault_id", "service_id", "k"))
+    hit = F.when((after >= 0) & (F.col("service_id") == F.col("root")), 50.0).when((after >= 0) & (after >= F.col("delay")), 40.0)
+    return rows.select("fault_id", "service_id", (F.col("t") + after).alias("time"), F.when(hit.isNotNull(), hit + 5.0 * noise).otherwise(10.0 * noise).alias("value"))
+
+
 def queue_length(arrivals: Column, service: Column) -> Column:
     """Mean number in an M/M/1 system, utilization held within [0.01, 0.99]."""
     rho = F.least(F.greatest(arrivals / service, F.lit(0.01)), F.lit(0.99))
@@ -98,7 +134,8 @@ def fault_series(scenarios: DataFrame, depths: DataFrame) -> DataFrame:
     with the latency factor times 0.9^d (at least 1) and 0.8^d of the errors. Confounded scenarios
     hit only the root. Columns: fault_id, service_id, time, lat_p99, err_rate, cpu_pct.
     """
-    once = scenarios.select("fault_id", norm_name("root_cause_service").alias("root"), norm_label("fault_type").alias("fault"), "injected_at_t", "expected_recovery_t", "confounded", F.transform("affected_services", norm_name).alias("services")).filter("fault_id is not null and injected_at_t is not null and expected_recovery_t is not null").dropDuplicates(["fault_id"])
+    once = scenarios.select("fault_id", norm_name("root_cause_service").alias("root"), norm_label("fault_type").alias("fault"), "injected_at_t", "expected_recovery_t", "confounded", F.transform("affected_services", norm_name).alias("services")).filter("fault_id is not null and injected_at_t is not null and expected_recovery_t is not null")
+    once = once.groupBy("fault_id").agg(F.max(F.struct(*(c for c in once.columns if c != "fault_id"))).alias("r")).select("fault_id", "r.*")
     rows = once.select("*", F.explode("services").alias("service_id")).drop("services").dropDuplicates(["fault_id", "service_id"])
     rows = rows.join(depths, ["fault_id", "service_id"], "left").withColumn("depth", F.when(F.col("service_id") == F.col("root"), 0).otherwise(F.coalesce("depth", F.lit(3))))
     rows = rows.withColumn("_k", F.explode(F.expr(f"sequence(0, cast(ceil((expected_recovery_t + 120.0) / {STEP}) as int) - 1)")))

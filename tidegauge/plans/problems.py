@@ -39,7 +39,8 @@ def p4_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_streams(spark: SparkSession, d: str) -> DataFrame:
     """The grid in the form of aligned streams."""
-    return grid_streams(load(spark, d, "raw_metrics"), load(spark, d, "incidents"))
+    rows = grid_streams(load(spark, d, "raw_metrics"), load(spark, d, "incidents"))
+    return rows.withColumn("values", F.transform("values", lambda v: F.round(v, 3)))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -127,6 +128,13 @@ FROM both_kinds GROUP BY destination_service, interface
     "p4_found": _GRID + """
 SELECT incident_id, service_id, metric_name, window_id FROM windows
 LEFT JOIN sums USING (incident_id, service_id, metric_name, window_id) WHERE coalesce(n_readings, 0) = 0
+""",
+    "p4_streams": _GRID + """,
+valued AS (
+  SELECT incident_id, service_id, metric_name, window_id,
+         round(CASE WHEN n_readings > 0 THEN CASE WHEN s0 * s2 - s1 * s1 > 1e-9::DOUBLE * s0 * s0 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END END, 3) AS value
+  FROM windows LEFT JOIN sums USING (incident_id, service_id, metric_name, window_id))
+SELECT incident_id, service_id, metric_name, list(window_id ORDER BY window_id) AS window_ids, list(value ORDER BY window_id) AS "values", count(*) - count(value) AS n_missing, 0 AS n_imputed FROM valued GROUP BY ALL
 """,
     "p4_windows": _GRID + """
 SELECT incident_id, service_id, metric_name, window_id, coalesce(n_readings, 0) AS n_readings,

@@ -37,7 +37,7 @@ def s3_s4_responses(spark: SparkSession, d: str) -> DataFrame:
     pairs = raw.groupBy("incident_id", "service_id", "metric_name").agg(F.collect_list(F.array(F.col("ts").cast("string"), F.col("value_str"))).alias("values"))
     body = F.to_json(F.struct(F.lit("success").alias("status"), F.struct(F.lit("matrix").alias("resultType"), F.array(F.struct(F.create_map(F.lit("job"), F.col("service_id")).alias("metric"), F.col("values"))).alias("result")).alias("data")))
     series = telemetry.series_of(pairs.select("incident_id", "service_id", "metric_name", body.alias("body")), ["incident_id", "service_id", "metric_name"])
-    return series.groupBy("incident_id", "service_id", "metric_name").agg(F.count(F.lit(1)).alias("n_times"))
+    return series.groupBy("incident_id", "service_id", "metric_name").agg(F.count(F.lit(1)).alias("n_times"), F.round(F.sum(F.when(F.abs("value") < 1e6, F.col("value"))), 3).alias("sum_value"))
 
 
 def s2_counter_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +86,7 @@ def s12_oracle_pag(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s16_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return telemetry.manifest(load(spark, d, "services"), "service_id").select("service_id", F.length("sha256").alias("n_hex"))
+    return telemetry.manifest(load(spark, d, "services"), "service_id")
 
 
 def s18_guard(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +94,10 @@ def s18_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s19_secrets(spark: SparkSession, d: str) -> DataFrame:
-    return telemetry.secret_scan(load(spark, d, "documents"), "doc_id", "text")
+    """Configurations that name a secret: those of services without a number of replicas, or with many, do."""
+    word = F.when(F.col("replicas").isNull(), "api_key").when(F.col("replicas") > 4, "Token").when(F.col("replicas") == 1, "private_KEY password")
+    config = F.to_json(F.struct("service_id", "replicas", word.alias("uses")))
+    return telemetry.secret_scan(load(spark, d, "services").select("service_id", config.alias("config")), "service_id", "config")
 
 
 def s21_phrases(spark: SparkSession, d: str) -> DataFrame:
@@ -397,9 +400,12 @@ def c2_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c9_identify(spark: SparkSession, d: str) -> DataFrame:
-    """Identifiability of every edge of every scenario's oracle graph."""
+    """Identifiability of every ordered pair of nodes of every scenario's oracle graph."""
     pag = causal.pag_from_paths(load(spark, d, "scenarios"))
-    return causal.identify(pag, pag.filter("edge_type = 'DIRECTED'").select("fault_id", "src", "dst"), ["fault_id"]).groupBy("status", "method").agg(F.count(F.lit(1)).alias("n"))
+    nodes = pag.select("fault_id", F.explode(F.array("src", "dst")).alias("src")).distinct()
+    # A scenario's own few nodes.
+    pairs = nodes.join(nodes.withColumnRenamed("src", "dst"), "fault_id").filter("src <> dst")
+    return causal.identify(pag, pairs, ["fault_id"])
 
 
 # Evaluation
@@ -444,23 +450,32 @@ def e7_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
     return _with_rounded(evaluate.signed_ranks(_pairs(spark, d).withColumns({"x": F.round("x", 3), "y": F.round("y", 3)}).select("metric_name", "x", "y"), ["metric_name"]), "z", dp=4).select("metric_name", "n", "w_plus", "z", "tied")
 
 
+def e7_pvalues(spark: SparkSession, d: str) -> DataFrame:
+    """One-sided signed-rank p-value of each metric."""
+    ranks = evaluate.signed_ranks(_pairs(spark, d).select("metric_name", "x", "y"), ["metric_name"])
+    return evaluate.wilcoxon_pvalues(ranks).select("metric_name", "n", "w_plus", (F.round("p", 6) + 0.0).alias("p"))
+
+
 def _pvalues(spark: SparkSession, d: str) -> DataFrame:
-    log = load(spark, d, "stage_log").filter("method_id is not null")
-    return log.groupBy(F.col("method_id").alias("family"), F.lower(F.trim("stage_name")).alias("hypothesis")).agg((1.0 / F.countDistinct("record_no")).alias("p"))
+    """P-value of each method and stage that more than 70 per cent of its records take under a second."""
+    log = load(spark, d, "stage_log").filter("record_no is not null").groupBy("record_no").agg(F.max(F.struct("ingested_at", "method_id", norm_name("stage_name").alias("stage"), "wall_time_s")).alias("r")).select("r.*")
+    log = log.filter("method_id is not null and stage is not null and wall_time_s >= 0 and wall_time_s < double('inf')")
+    counts = log.groupBy(F.col("method_id").alias("family"), F.col("stage").alias("hypothesis")).agg(F.count_if(F.col("wall_time_s") < 1.0).alias("k"), F.count(F.lit(1)).alias("n"))
+    return evaluate.binomial_pvalues(counts).withColumn("p", F.round("p", 9) + 0.0)
 
 
 def e10_holm(spark: SparkSession, d: str) -> DataFrame:
-    return _with_rounded(evaluate.holm(_pvalues(spark, d), ["family"]), "p", "threshold", dp=9)
+    return _with_rounded(evaluate.holm(_pvalues(spark, d).drop("k", "n"), ["family"]), "p", "threshold", dp=7)
 
 
 def e11_bh(spark: SparkSession, d: str) -> DataFrame:
-    return _with_rounded(evaluate.benjamini_hochberg(_pvalues(spark, d), ["family"]), "p", "adjusted", dp=9)
+    return _with_rounded(evaluate.benjamini_hochberg(_pvalues(spark, d).drop("k", "n"), ["family"]), "p", "adjusted", dp=7)
 
 
 def e14_power(spark: SparkSession, d: str) -> DataFrame:
     """Power for the scenarios at hand and the number needed."""
     n = load(spark, d, "scenarios").select("fault_id").distinct().count()
-    return spark.createDataFrame([(n, evaluate.power_of(n), evaluate.required_n())], "n bigint, power double, required_n int")
+    return spark.createDataFrame([(n, round(evaluate.power_of(n), 6), evaluate.required_n())], "n bigint, power double, required_n int")
 
 
 def e17_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -517,27 +532,13 @@ def b7_page_rank(spark: SparkSession, d: str) -> DataFrame:
     a = Analysis(spark, d)
     services = load(spark, d, "services").select("service_id")
     weights = services.join(detect.over_threshold(a.scores).groupBy("service_id").agg(F.count(F.lit(1)).cast("double").alias("weight")), "service_id", "left").fillna(0.0)
-    return _with_rounded(methods.page_rank(a.edges, weights, 5), "score", dp=6)
+    return _with_rounded(methods.page_rank(a.edges, weights), "score", dp=6)
 
 
 def _listed(out: DataFrame) -> DataFrame:
     return out.select("method", "incident_id", F.array_join(F.transform("top_candidates", lambda c: c["service"]), ",").alias("services"), "abstained", "abstention_reason", F.round("latency_s", 3).alias("latency_s"), "total_ed_s")
 
 
-def m3_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Means of each model's outcome, observed and under intervention."""
-    parts = []
-    for name in ("chain", "mediated", "confounder"):
-        model = simulate.MODELS[name]
-        for kind, m in (("observed", model), ("do", model.do(X=2.0))):
-            s = m.sample(spark, 2000)
-            parts.append(s.agg(F.round(F.avg("Y"), 6).alias("mean_y"), F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("model"), F.lit(kind).alias("kind"), "mean_y", "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def s9_fault_series(spark: SparkSession, d: str) -> DataFrame:
     """Deterministic metric series of every scenario, summed up by scenario."""
     sc = load(spark, d, "scenarios")
@@ -557,7 +558,7 @@ QUERIES = {f.__name__: f for f in (
     l1_entropy, l2_posterior, l3_costs, l6_selection, l7_random_selection, l8_distinct, l9_expected_entropy, l10_edges, l11_posterior_update,
     i1_precision, i4_clean_windows, i7_dispatch, i11_cascade, v1_violations,
     c1_discovery, c1_services, c2_correlation, c9_identify,
-    e1_attribution, e3_runtime, e4_cost, e6_cliffs, e7_wilcoxon, e10_holm, e11_bh, e14_power, e17_counts, e18_latency_cdf, e19_repeatability, e21_report,
-    b1_observational, b2_random, b3_one_shot, b4_sieve, b7_threshold, b7_page_rank, m3_sample,
+    e1_attribution, e3_runtime, e4_cost, e6_cliffs, e7_wilcoxon, e7_pvalues, e10_holm, e11_bh, e14_power, e17_counts, e18_latency_cdf, e19_repeatability, e21_report,
+    b1_observational, b2_random, b3_one_shot, b4_sieve, b7_threshold, b7_page_rank,
 )}
 

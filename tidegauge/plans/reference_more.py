@@ -109,9 +109,9 @@ def e5_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 def e12_confirmatory(spark: SparkSession, d: str) -> DataFrame:
     """One-sided signed-rank p-values of each metric with Holm's thresholds."""
-    ranks = evaluate.signed_ranks(base._pairs(spark, d), ["metric_name"]).collect()  # one row a metric
-    rows = [("H", r.metric_name, evaluate.wilcoxon_greater(r.w_plus, r.n, r.z, r.tied)) for r in ranks]
-    return evaluate.holm(spark.createDataFrame(rows, "family string, hypothesis string, p double"), ["family"])
+    tests = evaluate.wilcoxon_pvalues(evaluate.signed_ranks(base._pairs(spark, d).select("metric_name", "x", "y"), ["metric_name"]))
+    out = evaluate.holm(tests.select(F.lit("H").alias("family"), F.col("metric_name").alias("hypothesis"), "p"), ["family"])
+    return out.select("family", "hypothesis", (F.round("p", 6) + 0.0).alias("p"), F.round("threshold", 9).alias("threshold"), "rejected")
 
 
 def e16_validation(spark: SparkSession, d: str) -> DataFrame:

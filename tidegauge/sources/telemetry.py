@@ -77,9 +77,9 @@ def normal_draw(name):
     return F.sqrt(-2.0 * F.ln(uniform_draw(F.concat(name, F.lit("/a"))))) * F.cos(2.0 * F.pi() * uniform_draw(F.concat(name, F.lit("/b"))))
 
 
-def scenario_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each scenario of files of the form {split, n_scenarios, scenarios}."""
-    return spark.read.schema(SCENARIO).json(path, multiLine=True).select(F.explode("scenarios").alias("s")).select("s.*")
+def scenario_files(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """One row for each scenario of files of the form {split, n_scenarios, scenarios}; or one such document a line."""
+    return spark.read.schema(SCENARIO).json(path, multiLine=multi_line).select(F.explode("scenarios").alias("s")).select("s.*")
 
 
 def without_held_out(scenarios: DataFrame, *, token: bool = False) -> DataFrame:

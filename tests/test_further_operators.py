@@ -76,7 +76,7 @@ def test_isolated_rows_score_higher():
 
 def test_isolation_ranks_the_odd_service(spark):
     rng = np.random.default_rng(4)
-    rows = [(1, s, m, k, (90.0 if s == "bad" and k > 20 else 50.0) + float(rng.normal())) for s in ("a", "bad", "c") for m in ("lat_p99", "rps") for k in range(60)]
+    rows = [(1, s, m, k, (90.0 if s == "bad" and k > 35 else 50.0) + float(rng.normal())) for s in ("a", "bad", "c") for m in ("lat_p99", "rps") for k in range(60)]
     aligned = spark.createDataFrame(rows, "incident_id bigint, service_id string, metric_name string, window_id bigint, value double")
     out = {r.incident_id: r for r in methods.isolation_forest(spark.createDataFrame([(1,), (2,)], "incident_id bigint"), aligned, ["lat_p99", "rps"]).collect()}
     assert out[1].top_candidates[0].service == "bad" and out[2].abstained and out[2].abstention_reason == "NO_DATA"

@@ -104,7 +104,7 @@ def oracle_series(scenarios: DataFrame, seed: int = 0) -> DataFrame:
 
     Before it N(0, 10); after it N(50, 5) at the root, N(40, 5) at a target of the path from as many
     steps after it as its last place in the path (not its distance), N(0, 10) elsewhere. Noise depends on
-    (seed, scenario, service, step). Columns: fault_id, service_id, time, value.
+    (seed, scenario, service, step). Columns: fault_id, service_id, window_id (the step), time, value.
     """
     once = scenarios.filter("fault_id is not null and injected_at_t is not null").groupBy("fault_id").agg(F.max(F.struct(F.col("injected_at_t").alias("t"), norm_name("root_cause_service").alias("root"), F.col("seed").alias("s"), F.transform("affected_services", norm_name).alias("services"), "causal_path")).alias("r")).select("fault_id", "r.*")
     delays = once.select("fault_id", F.posexplode("causal_path").alias("i", "e")).select("fault_id", norm_name(F.col("e")[1]).alias("service_id"), "i").groupBy("fault_id", "service_id").agg(((F.max("i") + 1) * STEP).alias("delay"))
@@ -113,7 +113,7 @@ def oracle_series(scenarios: DataFrame, seed: int = 0) -> DataFrame:
     after = F.col("k") * STEP - 60.0
     noise = normal_draw(F.concat_ws(":", F.lit(seed) + F.coalesce("s", F.lit(0)), "fault_id", "service_id", "k"))
     hit = F.when((after >= 0) & (F.col("service_id") == F.col("root")), 50.0).when((after >= 0) & (after >= F.col("delay")), 40.0)
-    return rows.select("fault_id", "service_id", (F.col("t") + after).alias("time"), F.when(hit.isNotNull(), hit + 5.0 * noise).otherwise(10.0 * noise).alias("value"))
+    return rows.select("fault_id", "service_id", F.col("k").cast("bigint").alias("window_id"), (F.col("t") + after).alias("time"), F.when(hit.isNotNull(), hit + 5.0 * noise).otherwise(10.0 * noise).alias("value"))
 
 
 def queue_length(arrivals: Column, service: Column) -> Column:

@@ -13,6 +13,7 @@ from tidegauge.operators import align, causal, detect, diverge, evaluate, graph,
 from tidegauge.plans.pipeline import Analysis
 from tidegauge.plans.reference_sql import SQL
 from tidegauge.plans.runtime import cut_lineage, load
+from tidegauge.plans.trials import Trials
 from tidegauge.sources import telemetry
 
 __all__ = ["QUERIES", "SQL"]
@@ -412,14 +413,8 @@ def c9_identify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    """Results of two simple methods on every scenario: services by name, and by number of edges out."""
-    s = load(spark, d, "scenarios").filter("fault_id is not null").dropDuplicates(["fault_id"]).select("fault_id", norm_name("root_cause_service").alias("truth"), F.coalesce("confounded", F.lit(False)).alias("confounded"), F.array_sort(F.array_distinct(F.transform("affected_services", norm_name))).alias("names"), "injected_at_t", "expected_recovery_t")
-    deg = graph.node_degrees(graph.path_edges(load(spark, d, "scenarios")), ["fault_id"])
-    ranked = deg.groupBy("fault_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("out_degree")).alias("o"), F.col("node").alias("service")))).alias("c"))
-    by_degree = s.join(ranked, "fault_id").select(F.lit("DEGREE").alias("method"), "fault_id", "truth", "confounded", F.transform("c", lambda x: F.struct(x["service"].alias("service"), (-x["o"]).cast("double").alias("score"))).alias("top_candidates"), F.col("confounded").alias("abstained"), "injected_at_t", "expected_recovery_t")
-    by_name = s.select(F.lit("NAME").alias("method"), "fault_id", "truth", "confounded", F.transform("names", lambda x: F.struct(x.alias("service"), F.lit(1.0).alias("score"))).alias("top_candidates"), F.lit(False).alias("abstained"), "injected_at_t", "expected_recovery_t")
-    rows = by_degree.unionByName(by_name)
-    return rows.select("method", "fault_id", "truth", "confounded", F.lit(False).alias("not_identifiable"), "top_candidates", "abstained", F.col("injected_at_t").alias("latency_s"), F.round(F.col("expected_recovery_t") - F.col("injected_at_t"), 3).alias("total_ed_s"))
+    """Every comparison method on every scenario."""
+    return Trials(spark, d).results
 
 
 def e1_attribution(spark: SparkSession, d: str) -> DataFrame:

@@ -257,17 +257,6 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 
-def _unit(name: str) -> str:
-    """Uniform number that depends on a name only."""
-    return f"((('0x' || substr(md5({name}), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)"
-
-
-def normal_of(name: str) -> str:
-    """Standard normal number that depends on a name only (Box-Muller)."""
-    first, second = _unit(name + " || '/a'"), _unit(name + " || '/b'")
-    return f"(sqrt(-2 * ln({first})) * cos(2 * pi() * {second}))"
-
-
 def _model_sql() -> str:
     parts = []
     for name, model in simulate.MODELS.items():
@@ -276,7 +265,7 @@ def _model_sql() -> str:
             for v in m.order():
                 parents, constant, scale = m.equations[v]
                 label = f"'42:{v}:' || id"
-                noise = f" + {scale}::DOUBLE * {normal_of(label)}" if scale else ""
+                noise = f" + {scale}::DOUBLE * {sql.normal_of(label)}" if scale else ""
                 value = f"{constant}::DOUBLE{noise}" + "".join(f" + {c}::DOUBLE * {q}" for q, c in parents.items())
                 table = f"(SELECT *, {value} AS {v} FROM {table})"
             for v in m.order():
@@ -321,7 +310,7 @@ o AS (SELECT *, coalesce(lag(le) OVER w, 0) AS lo, coalesce(lag(n) OVER w, 0) AS
 hit AS (SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY le) AS rn FROM o WHERE n >= 0.99::DOUBLE * total AND total > 0)
 SELECT metric_name, round(CASE WHEN isinf(le) THEN lo WHEN n > below THEN lo + (le - lo) * (0.99::DOUBLE * total - below) / (n - below) ELSE le END, 6) AS quantile FROM hit WHERE rn = 1""",
     "s3_rejected": "SELECT CASE WHEN replicas IS NULL THEN 'malformed' ELSE 'status' END AS reason, count(*) AS n FROM services WHERE replicas IS NULL OR replicas % 2 = 1 GROUP BY ALL",
-    "s6_mock": f"SELECT service_id, count(*) AS n, round(avg(50 + 5 * {normal_of(chr(39) + '42:' + chr(39) + ' || service_id || ' + chr(39) + ':' + chr(39) + ' || k')}), 6) AS mean FROM (SELECT DISTINCT service_id FROM services) CROSS JOIN range(30) t(k) GROUP BY service_id",
+    "s6_mock": f"SELECT service_id, count(*) AS n, round(avg(50 + 5 * {sql.normal_of(chr(39) + '42:' + chr(39) + ' || service_id || ' + chr(39) + ':' + chr(39) + ' || k')}), 6) AS mean FROM (SELECT DISTINCT service_id FROM services) CROSS JOIN range(30) t(k) GROUP BY service_id",
     "s9_fault_series": f"""
 WITH RECURSIVE {sql.PATHS}, {sql.OWN_REACH},
 once AS (SELECT DISTINCT ON (fault_id) fault_id, {sql.NAME.format('root_cause_service')} AS root, {sql.LABEL.format('fault_type')} AS fault, injected_at_t AS t0, expected_recovery_t AS t1, coalesce(confounded, false) AS confounded, affected_services
@@ -335,15 +324,7 @@ cells AS (
   FROM (SELECT *, unnest(range(0, ceil((t1 + 120) / 10)::BIGINT)) AS k FROM deep) LEFT JOIN effects ON f = fault)
 SELECT fault_id, count(*) AS n, round(max(CASE WHEN hit THEN 50 * greatest(1, lat * power(0.9::DOUBLE, depth)) ELSE 50 END), 3) AS max_lat,
   round(sum(CASE WHEN hit THEN least(1, 0.001::DOUBLE + err * power(0.8::DOUBLE, depth)) ELSE 0.001::DOUBLE END), 3) AS sum_err FROM cells GROUP BY fault_id""",
-    "s11_oracle_metrics": f"""
-WITH once AS (SELECT DISTINCT ON (fault_id) fault_id, injected_at_t AS t0, {sql.NAME.format('root_cause_service')} AS root, coalesce(seed, 0) AS s, affected_services, causal_path FROM scenarios WHERE fault_id IS NOT NULL AND injected_at_t IS NOT NULL),
-delays AS (SELECT fault_id, {sql.NAME.format('e[2]')} AS service, (max(i) + 1) * 10 AS delay FROM (SELECT fault_id, unnest(causal_path) AS e, unnest(range(len(causal_path))) AS i FROM once) GROUP BY ALL),
-svc AS (SELECT DISTINCT fault_id, root, s, service FROM (SELECT fault_id, root, s, unnest(list_append(list_transform(affected_services, lambda x: {sql.NAME.format('x')}), root)) AS service FROM once WHERE affected_services IS NOT NULL) WHERE service IS NOT NULL),
-cells AS (
-  SELECT svc.fault_id, svc.service, k * 10 - 60 AS after, root, delay, {normal_of("s || ':' || svc.fault_id || ':' || svc.service || ':' || k")} AS noise
-  FROM svc LEFT JOIN delays USING (fault_id, service) CROSS JOIN range(18) t(k)),
-series AS (SELECT *, CASE WHEN after >= 0 AND service = root THEN 50 + 5 * noise WHEN after >= 0 AND after >= delay THEN 40 + 5 * noise ELSE 10 * noise END AS value FROM cells)
-SELECT fault_id, service AS service_id, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS peak FROM series GROUP BY ALL""",
+    "s11_oracle_metrics": f"WITH {sql.ORACLE} SELECT fault_id, service AS service_id, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS peak FROM oracle_series GROUP BY ALL",
     "s14_scenario_files": f"SELECT {sql.LABEL.format('split')} AS split, count(DISTINCT fault_id) AS n, CAST(sum(coalesce(len(causal_path), 0)) AS BIGINT) AS n_edges FROM (SELECT DISTINCT * EXCLUDE (source_set, observable_by_rift) FROM scenarios WHERE fault_id IS NOT NULL) GROUP BY ALL",
     "s17_tables": "SELECT namespace, count(*) AS n, CAST(sum(replicas) AS BIGINT) AS replicas FROM services GROUP BY namespace",
     "s20_results": "SELECT method_id AS experiment, CASE WHEN n_scenarios % 2 = 0 THEN 'LIVE' ELSE 'SYNTHETIC' END AS category, n_scenarios FROM runtime_metrics",

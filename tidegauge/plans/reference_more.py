@@ -258,14 +258,14 @@ SELECT 'ORACLE' AS method, fault_id AS incident_id, coalesce(services, '') AS se
     "e2_tiers": f"""
 SELECT count(*) AS n, count(*) FILTER (WHERE confidence = 'DEFINITIVE') AS n_definitive, count(*) FILTER (WHERE confidence = 'CANDIDATE') AS n_candidate, count(*) FILTER (WHERE confidence = 'NONE') AS n_none,
   round(avg(r2::INT), 6) AS rate_r2, round(avg(r3::INT), 6) AS rate_r3, round(avg(r4::INT), 6) AS rate_r4 FROM ({sql.SQL['a12_ranking']})""",
-    "e5_bootstrap": f"WITH {sql.RESULTS}, {_boot_mean()} SELECT method, round(low, 6) AS low, round(high, 6) AS high FROM boot",
+    "e5_bootstrap": f"WITH RECURSIVE {sql.RESULTS}, {_boot_mean()} SELECT method, round(low, 6) AS low, round(high, 6) AS high FROM boot",
     "e20_complete": f"""
-WITH {sql.RESULTS}, {_boot_mean()}, {_attribution()}, {_cost()}
+WITH RECURSIVE {sql.RESULTS}, {_boot_mean()}, {_attribution()}, {_cost()}
 SELECT a.method, n, raw_p1, raw_p3, conditional_p1, coverage, abstention_rate, false_rate, correct_abstention, mean_latency_s, median_latency_s,
   round(mean_ed_s, 4) AS mean_ed_s, round(median_ed_s, 4) AS median_ed_s, round(sum_ed_s, 4) AS sum_ed_s, round(max_ed_s, 4) AS max_ed_s, round(mean_budget_share, 4) AS mean_budget_share, round(low, 4) AS low, round(high, 4) AS high
 FROM attribution a JOIN cost USING (method) JOIN boot USING (method)""",
     "e16_validation": f"""
-WITH {sql.RESULTS} SELECT method, round(avg(hit_1::INT) FILTER (WHERE NOT confounded), 6) AS plain_p1, round(avg(abstained::INT) FILTER (WHERE confounded), 6) AS confounded_handled,
+WITH RECURSIVE {sql.RESULTS} SELECT method, round(avg(hit_1::INT) FILTER (WHERE NOT confounded), 6) AS plain_p1, round(avg(abstained::INT) FILTER (WHERE confounded), 6) AS confounded_handled,
   round(avg((NOT hit_1 AND NOT abstained)::INT) FILTER (WHERE NOT confounded), 6) AS false_attribution FROM judged GROUP BY method""",
     "d6_permutation": f"WITH {_BY_METRIC}, {_permuted('means', ['method_id'], 10_000)} SELECT method_id, round(p_value, 6) AS p_value FROM tested",
     "d7_bootstrap": f"WITH {_BY_METRIC}, {_resampled('means', ['method_id'], 1000)} SELECT method_id, round(low, 4) AS w1_low, round(high, 4) AS w1_high FROM boot",

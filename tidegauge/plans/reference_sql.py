@@ -161,18 +161,93 @@ SELECT '{method}' AS method, incident_id, coalesce(services, '') AS services, se
   CAST(NULL AS DOUBLE) AS latency_s, coalesce(n_steps, 0) * 30.0::DOUBLE AS total_ed_s FROM (SELECT DISTINCT incident_id FROM incidents) LEFT JOIN best USING (incident_id) LEFT JOIN ends USING (incident_id)"""
 
 
-RESULTS = PATHS + f""",
-once AS (SELECT DISTINCT ON (fault_id) * FROM scenarios WHERE fault_id IS NOT NULL),
+#: Tables of the ranking over diverging, scores, edges, reach, evidence and hidden, and the ranking itself.
+RANKING = """
+nodes AS (SELECT node, bool_and(o = 0) AS is_leaf FROM (SELECT src AS node, 1 AS o FROM edges UNION ALL SELECT dst, 0 FROM edges) GROUP BY node),
+met AS (
+  SELECT a.incident_id, a.service_id AS src, b.service_id AS dst, a.t_star_ms AS ta, b.t_star_ms AS tb, path
+  FROM diverging a JOIN reach ON a.service_id = reach.src JOIN diverging b ON b.incident_id = a.incident_id AND b.service_id = reach.dst),
+down AS (SELECT DISTINCT ON (incident_id, src) incident_id, src AS service_id, path AS down FROM met ORDER BY incident_id, src, tb, dst),
+reached AS (SELECT incident_id, src AS service_id, count(*) FILTER (WHERE tb < ta - 100) AS k FROM met GROUP BY ALL),
+up AS (SELECT DISTINCT ON (incident_id, dst) incident_id, dst AS service_id, path AS up FROM met WHERE ta >= tb - 10 ORDER BY incident_id, dst, ta, src),
 facts AS (
-  SELECT fault_id, {NAME.format('root_cause_service')} AS truth, coalesce(confounded, false) AS confounded,
-         list_sort(list_distinct(list_transform(affected_services, lambda x: {NAME.format('x')}))) AS names,
-         injected_at_t AS latency_s, round(expected_recovery_t - injected_at_t, 3) AS total_ed_s FROM once),
-degrees AS (SELECT fault_id, node, sum(o) AS o FROM (SELECT fault_id, src AS node, 1 AS o FROM path_edges UNION ALL SELECT fault_id, dst, 0 FROM path_edges) GROUP BY ALL),
+  SELECT d.*, nodes.is_leaf, down, up, coalesce(k, 0) AS k,
+         (SELECT count(*) FROM diverging o JOIN nodes n ON n.node = o.service_id WHERE o.incident_id = d.incident_id AND o.t_star_ms < d.t_star_ms - 100) AS earlier,
+         (SELECT count(*) FROM diverging o WHERE o.incident_id = d.incident_id AND o.t_star_ms < d.t_star_ms - 100) AS any_earlier,
+         (SELECT count(*) FROM diverging o WHERE o.incident_id = d.incident_id AND abs(o.t_star_ms - d.t_star_ms) <= 5000) - 1 AS n_ties, s.max_z AS score
+  FROM diverging d JOIN scores s USING (incident_id, service_id) LEFT JOIN nodes ON node = d.service_id LEFT JOIN down USING (incident_id, service_id)
+  LEFT JOIN up USING (incident_id, service_id) LEFT JOIN reached USING (incident_id, service_id)),
+ruled AS (
+  SELECT *, any_earlier = 0 OR k >= earlier AS r2, down IS NOT NULL OR (coalesce(is_leaf, false) AND up IS NOT NULL) AS r3,
+         coalesce(down, CASE WHEN is_leaf THEN up END) AS chosen FROM facts),
+steps_of AS (SELECT incident_id, service_id, chosen[i] AS src, chosen[i + 1] AS dst FROM (SELECT incident_id, service_id, chosen, unnest(range(1, len(chosen))) AS i FROM ruled WHERE chosen IS NOT NULL)),
+shown AS (SELECT DISTINCT incident_id, service_id, true AS r4 FROM steps_of JOIN evidence USING (incident_id, src, dst) WHERE exceeds),
+tiered AS (SELECT ruled.*, coalesce(r4, false) AS r4, CASE WHEN r2 AND r3 AND coalesce(r4, false) THEN 'DEFINITIVE' WHEN r2 AND r3 THEN 'CANDIDATE' ELSE 'NONE' END AS confidence FROM ruled LEFT JOIN shown USING (incident_id, service_id))"""
+RANKED = """
+SELECT incident_id, service_id, t_star_ms, run_length, n_ties, r2, r3, r4, confidence, is_leaf IS NULL AS boundary_limited,
+  CASE WHEN service_id IN (SELECT a FROM hidden UNION SELECT b FROM hidden) THEN 'NOT_IDENTIFIABLE' ELSE 'IDENTIFIABLE' END AS identifiability,
+  row_number() OVER (PARTITION BY incident_id ORDER BY CASE confidence WHEN 'DEFINITIVE' THEN 0 WHEN 'CANDIDATE' THEN 1 ELSE 2 END, t_star_ms, score DESC, service_id) AS rank, array_to_string(chosen, '>') AS path FROM tiered"""
+
+
+def unit_of(name: str) -> str:
+    """Uniform number that depends on a name only."""
+    return f"((('0x' || substr(md5({name}), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)"
+
+
+def normal_of(name: str) -> str:
+    """Standard normal number that depends on a name only (Box-Muller)."""
+    first, second = unit_of(name + " || '/a'"), unit_of(name + " || '/b'")
+    return f"(sqrt(-2 * ln({first})) * cos(2 * pi() * {second}))"
+
+
+#: Oracle metrics of every scenario.
+ORACLE = f"""
+oracle_once AS (SELECT DISTINCT ON (fault_id) fault_id, injected_at_t AS t0, {NAME.format('root_cause_service')} AS root, coalesce(seed, 0) AS s, affected_services, causal_path FROM scenarios WHERE fault_id IS NOT NULL AND injected_at_t IS NOT NULL),
+delays AS (SELECT fault_id, {NAME.format('e[2]')} AS service, (max(i) + 1) * 10 AS delay FROM (SELECT fault_id, unnest(causal_path) AS e, unnest(range(len(causal_path))) AS i FROM oracle_once) GROUP BY ALL),
+oracle_svc AS (SELECT DISTINCT fault_id, root, s, service FROM (SELECT fault_id, root, s, unnest(list_append(list_transform(affected_services, lambda x: {NAME.format('x')}), root)) AS service FROM oracle_once WHERE affected_services IS NOT NULL) WHERE service IS NOT NULL),
+oracle_cells AS (
+  SELECT o.fault_id, o.service, k, k * 10 - 60 AS after, root, delay, {normal_of("s || ':' || o.fault_id || ':' || o.service || ':' || k")} AS noise
+  FROM oracle_svc o LEFT JOIN delays USING (fault_id, service) CROSS JOIN range(18) t(k)),
+oracle_series AS (SELECT *, CASE WHEN after >= 0 AND service = root THEN 50 + 5 * noise WHEN after >= 0 AND after >= delay THEN 40 + 5 * noise ELSE 10 * noise END AS value FROM oracle_cells)"""
+_TRIAL_SCORES = """
+series AS (SELECT fault_id AS incident_id, service AS service_id, k AS window_id, k * 10000 AS t, 10000 AS w, value AS v FROM oracle_series),
+baseline AS (SELECT incident_id, service_id, avg(v) AS mean, stddev_samp(v) + 1e-9 AS std FROM series WHERE window_id < 6 GROUP BY ALL),
+dev AS (SELECT series.*, abs(v - mean) / std AS z FROM series JOIN baseline USING (incident_id, service_id)),
+scores AS (SELECT incident_id, service_id, max(z) AS max_z, avg(z) AS mean_z, count(*) AS n FROM dev GROUP BY ALL)"""
+
+
+def _trial_probes(method: str, order: str) -> str:
+    return f"""
+trial_{method.lower()} AS (WITH RECURSIVE {folded(order)[len(COSTS):].lstrip(',')},
+  best AS (SELECT incident_id, list(service_id ORDER BY rn) AS services FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY p DESC, service_id) AS rn FROM costs) JOIN ends USING (incident_id) WHERE rn <= 5 AND n_steps > 0 GROUP BY incident_id)
+  SELECT '{method}' AS method, incident_id, services, CAST(NULL AS DOUBLE) AS latency_s, n_steps * 30.0::DOUBLE AS total_ed_s FROM ends LEFT JOIN best USING (incident_id))"""
+
+
+#: Every method on every scenario: ``results`` and, with hits, ``judged``.
+RESULTS = f"""
+{CLOSURE}, {ORACLE}, {_TRIAL_SCORES}{DIVERGING[len(DEVIATIONS):]},
+evidence AS (SELECT NULL::VARCHAR AS incident_id, NULL::VARCHAR AS src, NULL::VARCHAR AS dst, false AS exceeds WHERE false), hidden AS (SELECT NULL::VARCHAR AS a, NULL::VARCHAR AS b WHERE false),
+{RANKING}, trial_ranked AS ({RANKED}){COSTS.split(DEVIATIONS.strip())[1]},
+{_trial_probes('RANDOM', "md5('42:' || incident_id || ':' || service_id)")}, {_trial_probes('ONE_SHOT', 'utility DESC, service_id')},
+obs AS (SELECT r.*, mean_z, bool_or(confidence <> 'NONE') OVER (PARTITION BY incident_id) AS sure, row_number() OVER (PARTITION BY incident_id ORDER BY mean_z DESC, service_id) AS place FROM trial_ranked r JOIN scores USING (incident_id, service_id)),
+obs_kept AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY mean_z DESC, service_id) AS rn FROM obs WHERE CASE WHEN sure THEN confidence <> 'NONE' ELSE place <= 3 END),
+gains AS (SELECT a.incident_id, a.service_id, sum(power(0.5::DOUBLE, depth * (depth + 1) / 2) * b.max_z) AS g FROM scores a JOIN reach ON reach.src = a.service_id AND depth <= 5 JOIN scores b ON b.incident_id = a.incident_id AND b.service_id = reach.dst GROUP BY ALL),
+sieve AS (SELECT s.incident_id, s.service_id, row_number() OVER (PARTITION BY s.incident_id ORDER BY max_z + coalesce(g, 0) DESC, s.service_id) AS rn FROM scores s LEFT JOIN gains USING (incident_id, service_id) WHERE max_z > 3),
+alerts AS (SELECT incident_id, service_id, row_number() OVER (PARTITION BY incident_id ORDER BY t, service_id) AS rn FROM (SELECT incident_id, service_id, min(t) AS t FROM dev WHERE z > 3 GROUP BY incident_id, service_id)),
+facts_of AS (SELECT fault_id, any_value({NAME.format('root_cause_service')}) AS truth, bool_or(coalesce(confounded, false)) AS confounded FROM scenarios WHERE fault_id IS NOT NULL GROUP BY fault_id),
+known AS (SELECT s.incident_id, s.service_id, row_number() OVER (PARTITION BY s.incident_id ORDER BY CASE WHEN s.service_id = f.truth THEN 0 ELSE 1 END, s.service_id) AS rn FROM scores s JOIN facts_of f ON f.fault_id = s.incident_id),
+listed AS (
+  SELECT 'OBS' AS method, incident_id, service_id, rn FROM obs_kept UNION ALL SELECT 'SIEVE', * FROM sieve UNION ALL SELECT 'THRESHOLD', * FROM alerts UNION ALL SELECT 'ORACLE', * FROM known),
+everyone AS (SELECT DISTINCT incident_id FROM series),
+plain AS (
+  SELECT m.method, e.incident_id, l.services, CASE WHEN m.method = 'OBS' AND l.services IS NOT NULL THEN (SELECT min(t_star_ms) / 1000 FROM trial_ranked r WHERE r.incident_id = e.incident_id) END AS latency_s, 0.0::DOUBLE AS total_ed_s
+  FROM everyone e CROSS JOIN (VALUES ('OBS'), ('SIEVE'), ('THRESHOLD'), ('ORACLE'), ('SAGE_CHAOS')) m(method)
+  LEFT JOIN (SELECT method, incident_id, list(service_id ORDER BY rn) AS services FROM listed WHERE rn <= 5 GROUP BY ALL) l ON l.method = m.method AND l.incident_id = e.incident_id),
+probed AS (SELECT m.method, e.incident_id, p.services, p.latency_s, coalesce(p.total_ed_s, 0) AS total_ed_s FROM everyone e CROSS JOIN (VALUES ('RANDOM'), ('ONE_SHOT')) m(method)
+  LEFT JOIN (SELECT * FROM trial_random UNION ALL SELECT * FROM trial_one_shot) p ON p.method = m.method AND p.incident_id = e.incident_id),
 results AS (
-  SELECT 'DEGREE' AS method, fault_id, truth, confounded, services, confounded AS abstained, latency_s, total_ed_s
-  FROM facts JOIN (SELECT fault_id, list(node ORDER BY o DESC, node) AS services FROM degrees GROUP BY fault_id) USING (fault_id)
-  UNION ALL
-  SELECT 'NAME', fault_id, truth, confounded, names, false, latency_s, total_ed_s FROM facts),
+  SELECT method, incident_id AS fault_id, truth, confounded, coalesce(services, []) AS services, services IS NULL AS abstained, latency_s, total_ed_s
+  FROM (SELECT * FROM plain UNION ALL SELECT * FROM probed) JOIN facts_of ON fault_id = incident_id),
 judged AS (
   SELECT *, coalesce(NOT abstained AND services[1] = truth, false) AS hit_1, coalesce(NOT abstained AND list_contains(services[1:3], truth), false) AS hit_3 FROM results)"""
 RUNS = """
@@ -241,31 +316,7 @@ FROM readings JOIN grid USING (incident_id) WHERE isfinite(collection_lag_s) AND
     "a5_precedence": f"""
 WITH {DIVERGING} SELECT incident_id, service_id, t_star_ms, min(t_star_ms) OVER (PARTITION BY incident_id) >= t_star_ms - 100 AS r2,
   count(*) OVER (PARTITION BY incident_id ORDER BY t_star_ms RANGE BETWEEN 5000 PRECEDING AND 5000 FOLLOWING) - 1 AS n_ties FROM diverging""",
-    "a12_ranking": f"""
-WITH RECURSIVE {CLOSURE}, {DIVERGING.strip()}, {EVIDENCE}, {HIDDEN},
-nodes AS (SELECT node, bool_and(o = 0) AS is_leaf FROM (SELECT src AS node, 1 AS o FROM edges UNION ALL SELECT dst, 0 FROM edges) GROUP BY node),
-met AS (
-  SELECT a.incident_id, a.service_id AS src, b.service_id AS dst, a.t_star_ms AS ta, b.t_star_ms AS tb, path
-  FROM diverging a JOIN reach ON a.service_id = reach.src JOIN diverging b ON b.incident_id = a.incident_id AND b.service_id = reach.dst),
-down AS (SELECT DISTINCT ON (incident_id, src) incident_id, src AS service_id, path AS down FROM met ORDER BY incident_id, src, tb, dst),
-reached AS (SELECT incident_id, src AS service_id, count(*) FILTER (WHERE tb < ta - 100) AS k FROM met GROUP BY ALL),
-up AS (SELECT DISTINCT ON (incident_id, dst) incident_id, dst AS service_id, path AS up FROM met WHERE ta >= tb - 10 ORDER BY incident_id, dst, ta, src),
-facts AS (
-  SELECT d.*, nodes.is_leaf, down, up, coalesce(k, 0) AS k,
-         (SELECT count(*) FROM diverging o JOIN nodes n ON n.node = o.service_id WHERE o.incident_id = d.incident_id AND o.t_star_ms < d.t_star_ms - 100) AS earlier,
-         (SELECT count(*) FROM diverging o WHERE o.incident_id = d.incident_id AND o.t_star_ms < d.t_star_ms - 100) AS any_earlier,
-         (SELECT count(*) FROM diverging o WHERE o.incident_id = d.incident_id AND abs(o.t_star_ms - d.t_star_ms) <= 5000) - 1 AS n_ties, s.max_z AS score
-  FROM diverging d JOIN scores s USING (incident_id, service_id) LEFT JOIN nodes ON node = d.service_id LEFT JOIN down USING (incident_id, service_id)
-  LEFT JOIN up USING (incident_id, service_id) LEFT JOIN reached USING (incident_id, service_id)),
-ruled AS (
-  SELECT *, any_earlier = 0 OR k >= earlier AS r2, down IS NOT NULL OR (coalesce(is_leaf, false) AND up IS NOT NULL) AS r3,
-         coalesce(down, CASE WHEN is_leaf THEN up END) AS chosen FROM facts),
-steps_of AS (SELECT incident_id, service_id, chosen[i] AS src, chosen[i + 1] AS dst FROM (SELECT incident_id, service_id, chosen, unnest(range(1, len(chosen))) AS i FROM ruled WHERE chosen IS NOT NULL)),
-shown AS (SELECT DISTINCT incident_id, service_id, true AS r4 FROM steps_of JOIN evidence USING (incident_id, src, dst) WHERE exceeds),
-tiered AS (SELECT ruled.*, coalesce(r4, false) AS r4, CASE WHEN r2 AND r3 AND coalesce(r4, false) THEN 'DEFINITIVE' WHEN r2 AND r3 THEN 'CANDIDATE' ELSE 'NONE' END AS confidence FROM ruled LEFT JOIN shown USING (incident_id, service_id))
-SELECT incident_id, service_id, t_star_ms, run_length, n_ties, r2, r3, r4, confidence, is_leaf IS NULL AS boundary_limited,
-  CASE WHEN service_id IN (SELECT a FROM hidden UNION SELECT b FROM hidden) THEN 'NOT_IDENTIFIABLE' ELSE 'IDENTIFIABLE' END AS identifiability,
-  row_number() OVER (PARTITION BY incident_id ORDER BY CASE confidence WHEN 'DEFINITIVE' THEN 0 WHEN 'CANDIDATE' THEN 1 ELSE 2 END, t_star_ms, score DESC, service_id) AS rank, array_to_string(chosen, '>') AS path FROM tiered""",
+    "a12_ranking": f"WITH RECURSIVE {CLOSURE}, {DIVERGING.strip()}, {EVIDENCE}, {HIDDEN}, {RANKING} {RANKED}",
     "a8_evidence": f"WITH {PATHS}, {DEVIATIONS.strip()}, {EVIDENCE} SELECT incident_id, src, dst, n_base, n_post, round(w1, 6) AS w1, round(theta, 6) AS theta, exceeds FROM evidence",
     "a13_latency": f"WITH {DIVERGING} SELECT incident_id, round((min(t_star_ms) - any_value(s)) / 1000, 3) AS latency_s FROM diverging JOIN grid USING (incident_id) GROUP BY incident_id",
     "g1_time_sliced": f"""
@@ -358,7 +409,7 @@ WITH {ALIGNED}
 SELECT a.metric_name AS a, b.metric_name AS b, count(*) AS n, round(corr(a.v, b.v), 3) + 0.0::DOUBLE AS r FROM aligned a JOIN aligned b USING (incident_id, service_id, window_id)
 WHERE a.v IS NOT NULL AND b.v IS NOT NULL AND a.metric_name <= b.metric_name GROUP BY ALL""",
     "e1_attribution": f"""
-WITH {RESULTS} SELECT method, count(*) AS n, round(avg(hit_1::INT), 4) AS raw_p1, round(avg(hit_3::INT), 4) AS raw_p3, round(coalesce(avg(hit_1::INT) FILTER (WHERE NOT abstained), 0), 4) AS conditional_p1,
+WITH RECURSIVE {RESULTS} SELECT method, count(*) AS n, round(avg(hit_1::INT), 4) AS raw_p1, round(avg(hit_3::INT), 4) AS raw_p3, round(coalesce(avg(hit_1::INT) FILTER (WHERE NOT abstained), 0), 4) AS conditional_p1,
   round(avg((NOT abstained)::INT), 4) AS coverage, round(avg(abstained::INT), 4) AS abstention_rate, round(avg((NOT abstained AND NOT hit_1)::INT), 4) AS false_rate,
   round(coalesce(avg(abstained::INT) FILTER (WHERE confounded), 0), 4) AS correct_abstention, round(avg(latency_s) FILTER (WHERE NOT abstained), 4) AS mean_latency_s,
   round(quantile_cont(latency_s, 0.5) FILTER (WHERE NOT abstained), 4) AS median_latency_s, round(sum(total_ed_s), 4) AS total_ed_s FROM judged GROUP BY method""",
@@ -367,7 +418,7 @@ WITH {RUNS} SELECT method_id, count(*) AS n_runs, round(avg(total_s), 3) AS mean
   round(max(total_s), 3) AS max_s, max(peak_mb) AS max_peak_mb, any_value(stage_name) AS bottleneck_stage
 FROM totals JOIN (SELECT method_id, arg_max(stage_name, m) AS stage_name FROM (SELECT method_id, stage_name, avg(wall_time_s) AS m FROM stages GROUP BY ALL) GROUP BY ALL) USING (method_id) GROUP BY method_id""",
     "e4_cost": f"""
-WITH {RESULTS} SELECT method, round(avg(total_ed_s), 3) AS mean_ed_s, round(quantile_cont(total_ed_s, 0.5), 3) AS median_ed_s, round(sum(total_ed_s), 3) AS sum_ed_s, round(max(total_ed_s), 3) AS max_ed_s,
+WITH RECURSIVE {RESULTS} SELECT method, round(avg(total_ed_s), 3) AS mean_ed_s, round(quantile_cont(total_ed_s, 0.5), 3) AS median_ed_s, round(sum(total_ed_s), 3) AS sum_ed_s, round(max(total_ed_s), 3) AS max_ed_s,
   round(avg(total_ed_s) / 600, 3) AS mean_budget_share FROM results GROUP BY method""",
     "e6_cliffs": f"""
 WITH {PAIRS}, sides AS (SELECT metric_name, x AS v, 1 AS side FROM pairs UNION ALL SELECT metric_name, y, 0 FROM pairs),
@@ -390,7 +441,7 @@ SELECT family, hypothesis, round(p, 7) AS p, round(least(1, min(p * m / r) OVER
 WITH s AS (SELECT DISTINCT fault_id, {LABEL.format('fault_type')} AS fault_type, {LABEL.format('split')} AS split FROM scenarios WHERE fault_type IS NOT NULL)
 SELECT coalesce(fault_type, 'TOTAL') AS fault_type, count(*) FILTER (WHERE split = 'DEVELOPMENT') AS development, count(*) FILTER (WHERE split = 'VALIDATION') AS validation,
   count(*) FILTER (WHERE split = 'HELD_OUT_TEST') AS held_out_test, count(*) AS total FROM s GROUP BY ROLLUP (fault_type)""",
-    "e18_latency_cdf": f"WITH {RESULTS} SELECT DISTINCT method, latency_s, round(cume_dist() OVER (PARTITION BY method ORDER BY latency_s), 6) AS share FROM results WHERE NOT abstained AND latency_s IS NOT NULL",
+    "e18_latency_cdf": f"WITH RECURSIVE {RESULTS} SELECT DISTINCT method, latency_s, round(cume_dist() OVER (PARTITION BY method ORDER BY latency_s), 6) AS share FROM results WHERE NOT abstained AND latency_s IS NOT NULL",
     "e19_repeatability": """
 WITH once AS (SELECT method_id, wall_time_s FROM (SELECT *, row_number() OVER (PARTITION BY record_no ORDER BY method_id DESC, wall_time_s DESC) AS rn FROM stage_log WHERE method_id IS NOT NULL AND isfinite(wall_time_s) AND wall_time_s >= 0) WHERE rn = 1)
 SELECT method_id, count(*) AS n, round(avg(wall_time_s), 3) AS mean, round(quantile_cont(wall_time_s, 0.5), 3) AS median, round(stddev_samp(wall_time_s), 3) AS sd, round(quantile_cont(wall_time_s, 0.75) - quantile_cont(wall_time_s, 0.25), 3) AS iqr FROM once GROUP BY method_id""",

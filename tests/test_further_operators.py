@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import causal, evaluate, graph, guard, methods, simulate
 from tidegauge.operators.methods import IsolationForest
+from tidegauge.plans.runtime import running_totals
+from tidegauge.sources.registry import experiment_settings, read_registry
 
 
 def test_five_checks(spark):
@@ -126,3 +128,23 @@ def test_runs_without_a_number_each_count(spark):
     log = spark.createDataFrame([(None, "r1", "m", "s", 1.0, 5.0), (None, "r1", "m", "s", 2.0, 6.0), (1, "r2", "m", "s", 4.0, 1.0), (1, "r2", "m", "s", 4.0, 1.0)], "record_no bigint, run_id string, method_id string, stage_name string, wall_time_s double, memory_mb double")
     r = evaluate.runtime_metrics(log.withColumn("ingested_at", F.lit(0))).first()
     assert r.n_runs == 2 and r.max_s == 4.0 and r.mean_s == pytest.approx(3.5)
+
+
+def test_running_totals_over_ranges(spark):
+    rng = np.random.default_rng(6)
+    rows = [("hot" if i % 3 else None, int(v), int(rng.integers(1, 9))) for i, v in enumerate(rng.permutation(400))] + [("one", 5, 2)]
+    df = spark.createDataFrame(rows, "k string, v int, n int").repartition(7)
+    got = {(r.k, r.v): r.n_before for r in running_totals(df, ["k"], "v", ["n"]).collect()}
+    assert got == {(k, v): sum(m for j, w, m in rows if j == k and w < v) for k, v, _ in rows}
+    assert running_totals(df.filter("false"), ["k"], "v", ["n"]).count() == 0
+
+
+def test_registry(tmp_path):
+    (tmp_path / "r.json").write_text('{"experiments": {"E1": {"seed": 3}}}')
+    (tmp_path / "none.json").write_text("")
+    assert experiment_settings(str(tmp_path / "r.json"), "E1") == {"seed": 3} and read_registry(str(tmp_path / "none.json")) == {}
+    with pytest.raises(KeyError, match="E1"):
+        experiment_settings(str(tmp_path / "r.json"), "E2")
+    pytest.importorskip("yaml")
+    (tmp_path / "r.yaml").write_text("experiments:\n  E1:\n    seed: 4\n")
+    assert experiment_settings(str(tmp_path / "r.yaml"), "E1") == {"seed": 4}

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.special import binomial_sf, normal_cdf, normal_quantile, signed_rank_sf, t_sf
+from tidegauge.plans.runtime import running_totals
 
 
 def _share(cond, of=None):
@@ -56,6 +57,27 @@ def tier_summary(ranked: DataFrame) -> DataFrame:
     return ranked.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("confidence") == t).alias(f"n_{t.lower()}") for t in ("DEFINITIVE", "CANDIDATE", "NONE")), *(rate(r).alias(f"rate_{r}") for r in ("r2", "r3", "r4")))
 
 
+def grouped_percentiles(df: DataFrame, key: list[str], value: str, names: dict[str, float]) -> DataFrame:
+    """Exact percentiles of each key, interpolated linearly, whatever the size of a key: ``key`` and ``names``.
+
+    NULL and NaN values do not count; a key without others has no row. Keys must not be NULL.
+    """
+    counts = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*key, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = counts.groupBy(*key).agg(F.sum("_n").alias("_all"))
+    rows = running_totals(counts, key, "_v", ["_n"]).join(whole, key)
+
+    def at(place: Column) -> Column:
+        here = (F.col("_n_before") <= place) & (place < F.col("_n_before") + F.col("_n"))
+        return F.max(F.when(here, F.col("_v")))
+
+    out = []
+    for name, q in names.items():
+        place = (F.col("_all") - 1) * F.lit(q)
+        lo, hi = at(F.floor(place)), at(F.ceil(place))
+        out.append((lo + (hi - lo) * F.max(place - F.floor(place))).alias(name))
+    return rows.groupBy(*key).agg(*out)
+
+
 def runtime_metrics(log: DataFrame) -> DataFrame:
     """Pipeline times of each method from its stage log, once for each record_no, and its slowest stage."""
     cols = ["ingested_at", "run_id", "method_id", "stage_name", "wall_time_s", "memory_mb"]
@@ -63,10 +85,12 @@ def runtime_metrics(log: DataFrame) -> DataFrame:
     once = once.unionByName(log.filter("record_no is null").select(*cols))  # rows without a number each count
     once = once.filter("method_id is not null and wall_time_s >= 0 and not isnan(wall_time_s)").withColumn("stage_name", F.lower(F.trim("stage_name")))
     runs = once.groupBy("method_id", "run_id").agg(F.sum("wall_time_s").alias("total_s"), F.max("memory_mb").alias("peak_mb"))
-    total = runs.groupBy("method_id").agg(F.count(F.lit(1)).alias("n_runs"), F.avg("total_s").alias("mean_s"), F.percentile("total_s", 0.5).alias("median_s"), F.percentile("total_s", 0.95).alias("p95_s"), F.max("total_s").alias("max_s"), F.max("peak_mb").alias("max_peak_mb"))
+    total = runs.groupBy("method_id").agg(F.count(F.lit(1)).alias("n_runs"), F.avg("total_s").alias("mean_s"), F.max("total_s").alias("max_s"), F.max("peak_mb").alias("max_peak_mb"))
     stages = once.groupBy("method_id", "stage_name").agg(F.avg("wall_time_s").alias("_mean"))
     worst = stages.groupBy("method_id").agg(F.max(F.struct("_mean", "stage_name"))["stage_name"].alias("bottleneck_stage"))
-    return total.join(worst, "method_id")
+    middle = grouped_percentiles(runs, ["method_id"], "total_s", {"median_s": 0.5, "p95_s": 0.95})
+    out = total.join(middle, "method_id").join(worst, "method_id")
+    return out.select("method_id", "n_runs", "mean_s", "median_s", "p95_s", "max_s", "max_peak_mb", "bottleneck_stage")
 
 
 def cost_metrics(results: DataFrame, budget: float = 600.0) -> DataFrame:
@@ -102,9 +126,8 @@ def cliffs_delta(pairs: DataFrame, key: list[str]) -> DataFrame:
     ``pairs``: key, x, y. Magnitude by the usual bounds .147, .33, .474.
     """
     both = pairs.select(*key, F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("x").alias("v")), F.struct(F.lit(0).alias("side"), F.col("y").alias("v")))).alias("s")).select(*key, "s.*").filter("v is not null")
-    ties = both.groupBy(*key, "v").agg(F.sum("side").alias("_nx"), F.count(F.lit(1)).alias("_n"))
-    under = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ties.withColumn("_below", F.coalesce(F.sum(F.col("_n") - F.col("_nx")).over(under), F.lit(0)))
+    ties = both.groupBy(*key, "v").agg(F.sum("side").alias("_nx"), F.count(F.lit(1)).alias("_n")).withColumn("_ny", F.col("_n") - F.col("_nx"))
+    ranked = running_totals(ties, key, "v", ["_ny"]).withColumnRenamed("_ny_before", "_below")
     more = F.sum(F.col("_nx") * F.col("_below"))
     equal = F.sum(F.col("_nx") * (F.col("_n") - F.col("_nx")))
     nx, ny = F.sum("_nx"), F.sum(F.col("_n") - F.col("_nx"))
@@ -120,9 +143,7 @@ def signed_ranks(pairs: DataFrame, key: list[str]) -> DataFrame:
     """
     d = pairs.select(*key, (F.col("x") - F.col("y")).alias("_d")).filter("_d is not null and _d <> 0")
     ties = d.groupBy(*key, F.abs("_d").alias("_a")).agg(F.count(F.lit(1)).alias("_t"), F.count_if(F.col("_d") > 0).alias("_pos"))
-    under = Window.partitionBy(*key).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("_t").over(under), F.lit(0)) + (F.col("_t") + 1) / 2
-    rows = ties.withColumn("_rank", rank)
+    rows = running_totals(ties, key, "_a", ["_t"]).withColumn("_rank", F.col("_t_before") + (F.col("_t") + 1) / 2)
     out = rows.groupBy(*key).agg(F.sum("_t").alias("n"), F.sum(F.col("_rank") * F.col("_pos")).alias("w_plus"), F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("_ties"))
     mean = F.col("n") * (F.col("n") + 1) / 4
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("_ties") / 48
@@ -253,14 +274,18 @@ def type_by_split(scenarios: DataFrame) -> DataFrame:
 def latency_cdf(results: DataFrame) -> DataFrame:
     """Cumulative share of the latencies of each method, one row for each value."""
     rows = results.filter("not abstained and latency_s is not null").groupBy("method", "latency_s").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy("method").orderBy("latency_s").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("method", "latency_s", (F.sum("_n").over(upto) / F.sum("_n").over(Window.partitionBy("method"))).alias("share"))
+    whole = rows.groupBy("method").agg(F.sum("_n").alias("_all"))
+    upto = running_totals(rows, ["method"], "latency_s", ["_n"]).join(F.broadcast(whole), "method")  # one row a method
+    return upto.select("method", "latency_s", ((F.col("_n_before") + F.col("_n")) / F.col("_all")).alias("share"))
 
 
 def repeatability(runs: DataFrame, key: list[str], value: str) -> DataFrame:
     """Spread of a measure over repeated runs."""
     v = F.col(value)
-    return runs.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_samp(v).alias("sd"), (F.percentile(v, 0.75) - F.percentile(v, 0.25)).alias("iqr"))
+    rows = runs.filter(v.isNotNull() & ~F.isnan(v))
+    spread = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
+    quarters = grouped_percentiles(rows, key, value, {"_q1": 0.25, "median": 0.5, "_q3": 0.75})
+    return spread.join(quarters, key).select(*key, "n", "mean", "median", "sd", (F.col("_q3") - F.col("_q1")).alias("iqr"))
 
 
 def report_rows(methods: DataFrame, metrics: DataFrame, columns: list[str]) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import epoch_ms, norm_name, usable_number
-from tidegauge.plans.runtime import bounded_broadcast, cut_lineage
+from tidegauge.plans.runtime import bounded_broadcast, cut_lineage, running_totals
 
 SOURCE = ["incident_id", "service_id", "metric_name"]
 #: Weight of a new reading in the running mean and in the running scale.
@@ -42,7 +42,7 @@ CHUNK = 20_000
 #: Readings charted before a piece (the scale forgets at 0.95 a reading, the mean at 0.7) and after it.
 BEFORE, AFTER = 512, 64
 #: Width in ms of the time cells that pieces are made of.
-CELL_MS = 4096
+CELL_MS = 64
 #: Bins of an octave in the histograms that medians are taken from.
 OCTAVE = 1024
 #: Metrics that are shares of 1 or of 100; every metric is at least 0.
@@ -349,10 +349,8 @@ def _pieces(rows: DataFrame, long: DataFrame) -> DataFrame:
     """
     cell = F.expr(f"t div {CELL_MS}").alias("cell")
     rows = _join(rows, bounded_broadcast(long), "left_semi").select("*", cell)
-    upto = Window.partitionBy(*SOURCE).orderBy("cell")
-    # Of a source's cells, of which there is at most one for each CELL_MS of its time.
-    cells = rows.groupBy(*SOURCE, "cell").agg(F.count_distinct("t", "v").alias("n")).withColumn("end", F.sum("n").over(upto)).withColumn("begin", F.col("end") - F.col("n"))
-    cells = cells.withColumn("piece", F.expr(f"begin div {CHUNK}"))
+    cells = running_totals(rows.groupBy(*SOURCE, "cell").agg(F.count_distinct("t", "v").alias("n")), SOURCE, "cell", ["n"])
+    cells = cells.withColumn("begin", F.col("n_before")).withColumn("end", F.col("begin") + F.col("n")).withColumn("piece", F.expr(f"begin div {CHUNK}"))
     whole = Window.partitionBy(*SOURCE, "piece")
     cells = cells.withColumn("first", F.min("begin").over(whole)).withColumn("last", F.max("end").over(whole))
     # A cell is also charted for the pieces whose first reading is within BEFORE, or last within AFTER, of it.

@@ -55,6 +55,25 @@ def test_generated_structures_are_found(spark):
     assert set(edges["collider"]) == {frozenset("XZ"), frozenset("YZ")} and all(dst == "Z" for _, dst, _ in edges["collider"].values())
 
 
+def test_a_cycle_without_chords_is_undirected():
+    # A Gaussian field on a square: opposite corners are independent given the others.
+    precision = np.array([[1.0, 0.3, 0.0, 0.3], [0.3, 1.0, 0.3, 0.0], [0.0, 0.3, 1.0, 0.3], [0.3, 0.0, 0.3, 1.0]])
+    cov = np.linalg.inv(precision)
+    corr = cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
+    mark = causal.Search(corr, 5000).run()
+    assert {(i, j) for i in range(4) for j in range(4) if mark[i, j]} == {(i, (i + s) % 4) for i in range(4) for s in (1, 3)}
+    assert all(mark[i, j] == causal.TAIL for i in range(4) for j in range(4) if mark[i, j])
+
+
+def test_tails_behind_an_undirected_edge():
+    s = causal.Search(np.eye(3), 10)
+    s.mark[:] = 0
+    s.mark[0, 1], s.mark[1, 0], s.mark[1, 2], s.mark[2, 1] = causal.TAIL, causal.TAIL, causal.CIRCLE, causal.CIRCLE
+    assert s._selected() and s.mark[2, 1] == causal.TAIL and s.mark[1, 2] == causal.CIRCLE
+    s.mark[0, 1], s.mark[2, 1] = causal.CIRCLE, causal.CIRCLE  # a -o b o-o c, a and c apart
+    assert s._selected() and s.mark[2, 1] == causal.TAIL
+
+
 def test_too_many_variables_are_said(spark):
     rows = [(1, t, f"v{i:02d}", float((t * 7 + i * 3) % 11)) for t in range(6) for i in range(16)]
     got = causal.discover(spark.createDataFrame(rows, "k int, time int, variable string, value double"), ["k"]).collect()

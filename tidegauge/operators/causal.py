@@ -54,7 +54,7 @@ def fisher_z(corr: np.ndarray, n: int, i: int, j: int, given: tuple[int, ...]) -
 
 
 class Search:
-    """FCI on a correlation matrix: skeleton, colliders, possible-d-sep, orientation rules.
+    """FCI on a correlation matrix: skeleton, colliders, possible-d-sep, orientation rules R1 to R10.
 
     ``mark[i, j]`` is the mark at j of the edge between i and j, 0 where there is none.
     """
@@ -75,6 +75,9 @@ class Search:
             self._colliders()
             while self._rules():
                 pass
+            while self._selected():
+                while self._rules():
+                    pass
         return self.mark
 
     def _near(self, i: int) -> list[int]:
@@ -155,6 +158,41 @@ class Search:
                             changed |= self._set(d, b, ARROW)
         return changed | self._discriminate() | self._uncovered()
 
+    def _circle_ways(self, a: int, b: int) -> list[list[int]]:
+        """Uncovered ways of o-o edges from a to b that close a cycle without chords at a and b."""
+        m, out, front = self.mark, [], [[a]]
+        while front:
+            way = front.pop()
+            at = way[-1]
+            for v in self._near(at):
+                if v in way or m[v, at] != CIRCLE or m[at, v] != CIRCLE or (len(way) > 1 and m[way[-2], v]):
+                    continue
+                if v != b:
+                    front.append([*way, v])
+                elif len(way) > 2 and not m[a, at] and not m[way[1], b]:
+                    out.append([*way, v])
+        return out
+
+    def _selected(self) -> bool:
+        """Rules on selection: R5 undirected cycles, R6 and R7 tails behind them."""
+        m, changed = self.mark, False
+        for a, b in combinations(range(self.k), 2):
+            if m[a, b] == CIRCLE and m[b, a] == CIRCLE:
+                for way in self._circle_ways(a, b):
+                    for x, y in [*zip(way, way[1:], strict=False), (a, b)]:
+                        m[x, y] = m[y, x] = TAIL
+                    changed = True
+                    break
+        for b in range(self.k):
+            for a in self._near(b):
+                for c in self._near(b):
+                    if c == a or m[c, b] != CIRCLE:
+                        continue
+                    # R6: a - b o-* c: b -* c. R7: a -o b o-* c with a, c apart: b -* c.
+                    if m[b, a] == TAIL and (m[a, b] == TAIL or (m[a, b] == CIRCLE and not m[a, c])):
+                        changed |= self._set(c, b, TAIL)
+        return changed
+
     def _open_ways(self, a: int, c: int) -> list[list[int]]:
         """Uncovered ways from a to c on which no mark forbids the direction from a to c."""
         m, out, front = self.mark, [], [[a]]
@@ -302,7 +340,7 @@ def identify(pag: DataFrame, pairs: DataFrame, key: list[str], hops: int | None
     rows = mark(mark(rows, vague, "src", "_vague_src"), vague, "dst", "_vague_dst")
     sure = pag.filter("edge_type = 'DIRECTED'").select(*key, "src", "dst").distinct()
     loose = pag.filter("edge_type in ('DIRECTED', 'PARTIALLY_DIRECTED')").select(*key, "src", "dst").distinct()
-    way = closure(loose, key, hops).select(*key, "src", "dst").withColumn("_way", F.lit(True))
+    way = closure(loose, key, hops, paths=False).select(*key, "src", "dst").withColumn("_way", F.lit(True))
     direct = sure.withColumn("_direct", F.lit(True))
     middle = sure.withColumnRenamed("dst", "_m").join(sure.withColumnRenamed("src", "_m"), [*key, "_m"]).groupBy(*key, "src", "dst").agg(F.array_join(F.array_sort(F.collect_set("_m")), ",").alias("mediators"))
     parents = sure.groupBy(*key, F.col("dst").alias("src")).agg(F.array_join(F.array_sort(F.collect_set("src")), ",").alias("parents"))

@@ -93,19 +93,21 @@ def rank_divergence(dev: DataFrame, edges: DataFrame, evidence: DataFrame | None
     R3 another diverging service is reached from it, or it is a leaf that an upstream service
     diverging no earlier reaches; R4 an edge on its shortest path has evidence. All four are
     DEFINITIVE, the first three CANDIDATE, else NONE. ``edges``: src, dst; ``evidence``: src, dst
-    (over its threshold) and, where it is of one incident, incident_id; ``bidirected``: a, b. Ways are
+    (over its threshold); ``bidirected``: a, b. Edges and evidence that belong to an incident have its
+    incident_id too; a graph of its own for each incident is what keeps reachability small. Ways are
     followed from diverging services only.
     """
     # A few rows an incident, read five times below.
     found = cut_lineage(precedence(persistent_divergence(dev, theta, persist), delta_ms))
-    reach = closure(edges, [], hops, found.select(F.col("service_id").alias("src")).distinct()).select("src", "dst", "depth", "path")
-    nodes = node_degrees(edges, [])
+    key = [c for c in ("incident_id",) if c in edges.columns]
+    reach = closure(edges, key, hops, found.select(*key, F.col("service_id").alias("src")).distinct()).select(*key, "src", "dst", "depth", "path")
+    nodes = node_degrees(edges, key)
     a = found.select("incident_id", F.col("service_id").alias("src"), F.col("t_star_ms").alias("_ta"))
     b = found.select("incident_id", F.col("service_id").alias("dst"), F.col("t_star_ms").alias("_tb"))
-    pairs = a.join(reach, "src").join(b, ["incident_id", "dst"])
+    pairs = a.join(reach, [*key, "src"]).join(b, ["incident_id", "dst"])
     down = pairs.groupBy("incident_id", F.col("src").alias("service_id")).agg(F.min(F.struct("_tb", "dst", "path")).alias("_d"), F.count_if(F.col("_tb") < F.col("_ta") - 0.01 * delta_ms).alias("_earlier_reached")).select("incident_id", "service_id", F.col("_d.path").alias("_down"), "_earlier_reached")
     up = pairs.filter(F.col("_ta") >= F.col("_tb") - 10).groupBy("incident_id", F.col("dst").alias("service_id")).agg(F.min(F.struct("_ta", "src", "path")).alias("_u")).select("incident_id", "service_id", F.col("_u.path").alias("_up"))
-    known = found.join(nodes.select(F.col("node").alias("service_id"), "is_leaf"), "service_id", "left")
+    known = found.join(nodes.select(*key, F.col("node").alias("service_id"), "is_leaf"), [*key, "service_id"], "left")
     graph = Window.partitionBy("incident_id").orderBy("t_star_ms").rangeBetween(Window.unboundedPreceding, -(max(1, delta_ms // 100) + 1))
     known = known.withColumn("_earlier", F.count_if(F.col("is_leaf").isNotNull()).over(graph))
     rows = known.join(down, KEY, "left").join(up, KEY, "left")

@@ -15,24 +15,26 @@ def path_edges(scenarios: DataFrame) -> DataFrame:
     return e.filter("src is not null and dst is not null and src <> dst").distinct()
 
 
-def closure(edges: DataFrame, key: list[str], hops: int | None = None, sources: DataFrame | None = None) -> DataFrame:
+def closure(edges: DataFrame, key: list[str], hops: int | None = None, sources: DataFrame | None = None, *, paths: bool = True) -> DataFrame:
     """Reachable pairs with the shortest path, the least of equal ones; within ``hops`` edges if given.
 
-    With ``sources`` (``key``, src) only the pairs that begin at one of them.
-
+    With ``sources`` (``key``, src) only the pairs that begin at one of them; without ``paths`` no paths.
     Frontier joins: each round extends only the pairs first reached in the round before, until there
     are none, so cycles end. Columns: ``key``, src, dst, depth, path (nodes).
     """
     step = edges.select(*key, F.col("src").alias("_mid"), F.col("dst").alias("_to")).distinct()
     begin = edges if sources is None else edges.join(sources, [*key, "src"], "left_semi")
-    reached = begin.filter("src <> dst").select(*key, "src", "dst").distinct().select(*key, "src", "dst", F.lit(1).alias("depth"), F.array("src", "dst").alias("path"))
+    ends, way = [*key, "src", "dst"], [F.array("src", "dst").alias("path")] if paths else []
+    reached = begin.filter("src <> dst").select(*ends).distinct().select(*ends, F.lit(1).alias("depth"), *way)
     reached = front = cut_lineage(reached) if hops is None or hops > 1 else reached
     depth = 1
     while hops is None or depth < hops:
         depth += 1
-        nxt = front.withColumnRenamed("dst", "_mid").join(step, [*key, "_mid"]).filter("src <> _to").select(*key, "src", F.col("_to").alias("dst"), F.lit(depth).alias("depth"), F.concat("path", F.array("_to")).alias("path"))
-        nxt = nxt.groupBy(*key, "src", "dst").agg(F.min("path").alias("path")).select(*key, "src", "dst", F.lit(depth).alias("depth"), "path")
-        front = cut_lineage(nxt.join(reached.select(*key, "src", "dst"), [*key, "src", "dst"], "left_anti"))
+        longer = [F.concat("path", F.array("_to")).alias("path")] if paths else []
+        nxt = front.withColumnRenamed("dst", "_mid").join(step, [*key, "_mid"]).filter("src <> _to").select(*key, "src", F.col("_to").alias("dst"), *longer)
+        nxt = nxt.groupBy(*ends).agg(F.min("path").alias("path")) if paths else nxt.distinct()
+        nxt = nxt.select(*ends, F.lit(depth).alias("depth"), *(["path"] if paths else []))
+        front = cut_lineage(nxt.join(reached.select(*ends), ends, "left_anti"))
         if front.isEmpty():
             break
         reached = reached.unionByName(front)

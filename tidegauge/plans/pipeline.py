@@ -50,6 +50,13 @@ class Analysis:
         """Call graph: the distinct edges of all causal paths."""
         return cut_lineage(graph.path_edges(self.scenarios).select("src", "dst").distinct())
 
+    @cached_property
+    def incident_edges(self) -> DataFrame:
+        """Calls between services that were observed in the same incident: its own graph."""
+        seen = self.series.filter("value is not null").select("incident_id", "service_id").distinct()
+        calls = seen.withColumnRenamed("service_id", "src").join(self.edges, "src")
+        return cut_lineage(calls.join(seen.withColumnRenamed("service_id", "dst"), ["incident_id", "dst"]).select("incident_id", "src", "dst"))
+
     @cached_property
     def subgraph(self) -> DataFrame:
         """At most 15 services of each incident: the anomalous ones and their parents."""
@@ -87,7 +94,7 @@ class Analysis:
 
     @property
     def ranked(self) -> DataFrame:
-        return detect.rank_divergence(self.deviations, self.edges, self.evidence.filter("exceeds").select("incident_id", "src", "dst"), bidirected=self.hidden)
+        return detect.rank_divergence(self.deviations, self.incident_edges, self.evidence.filter("exceeds").select("incident_id", "src", "dst"), bidirected=self.hidden)
 
     @property
     def samples(self) -> DataFrame:
@@ -105,7 +112,7 @@ class Analysis:
     @cached_property
     def candidates(self) -> DataFrame:
         """Anomalous services with their initial belief and blast radius."""
-        reach = graph.closure(self.edges, [])
+        reach = graph.closure(self.edges, [], paths=False)
         n = self.edges.select(F.explode(F.array("src", "dst")).alias("s")).distinct().count()
         blast = graph.blast_radius(reach, [], n)
         hot = detect.over_threshold(self.scores).select("incident_id", "service_id", F.col("max_z").alias("score"))

@@ -212,7 +212,7 @@ def g3_closure(spark: SparkSession, d: str) -> DataFrame:
 
 def g4_scenario_paths(spark: SparkSession, d: str) -> DataFrame:
     """Reachable pairs inside each scenario's own path."""
-    reach = graph.closure(graph.path_edges(load(spark, d, "scenarios")), ["fault_id"])
+    reach = graph.closure(graph.path_edges(load(spark, d, "scenarios")), ["fault_id"], paths=False)
     return reach.groupBy("fault_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.max("depth").alias("max_depth"))
 
 
@@ -236,7 +236,7 @@ def g12_degrees(spark: SparkSession, d: str) -> DataFrame:
 
 def g14_blast(spark: SparkSession, d: str) -> DataFrame:
     a = Analysis(spark, d)
-    return _with_rounded(graph.blast_radius(graph.closure(a.edges, []), [], load(spark, d, "services").count()), "blast_radius")
+    return _with_rounded(graph.blast_radius(graph.closure(a.edges, [], paths=False), [], load(spark, d, "services").count()), "blast_radius")
 
 
 # Divergence
@@ -503,7 +503,7 @@ def b1_observational(spark: SparkSession, d: str) -> DataFrame:
 
 def b4_sieve(spark: SparkSession, d: str) -> DataFrame:
     a = Analysis(spark, d)
-    return _listed(methods.propagated(a.incidents, a.scores, graph.closure(a.edges, [])))
+    return _listed(methods.propagated(a.incidents, a.scores, graph.closure(a.edges, [], 5, paths=False)))
 
 
 def b3_one_shot(spark: SparkSession, d: str) -> DataFrame:
@@ -537,7 +537,7 @@ def _listed(out: DataFrame) -> DataFrame:
 def s9_fault_series(spark: SparkSession, d: str) -> DataFrame:
     """Deterministic metric series of every scenario, summed up by scenario."""
     sc = load(spark, d, "scenarios")
-    reach = graph.closure(graph.path_edges(sc), ["fault_id"])
+    reach = graph.closure(graph.path_edges(sc), ["fault_id"], paths=False)
     roots = sc.select("fault_id", norm_name("root_cause_service").alias("src")).distinct()
     depths = reach.join(roots, ["fault_id", "src"]).select("fault_id", F.col("dst").alias("service_id"), "depth")
     rows = simulate.fault_series(sc, depths)

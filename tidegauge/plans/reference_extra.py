@@ -111,7 +111,7 @@ def l12_structure(spark: SparkSession, d: str) -> DataFrame:
     ends = edges.groupBy("run_id").agg(F.min(F.struct("src", "dst")).alias("a"), F.max(F.struct("src", "dst")).alias("b"))
     first = ends.select("run_id", F.col("a.src").alias("source"), F.col("a.dst").alias("target"), F.lit(False).alias("exceeds"))
     last = ends.select("run_id", F.col("b.dst").alias("source"), F.col("b.src").alias("target"), F.lit(True).alias("exceeds"))
-    return select.update_structure(edges, first.unionByName(last), graph.closure(edges, ["run_id"]))
+    return select.update_structure(edges, first.unionByName(last), graph.closure(edges, ["run_id"], paths=False))
 
 
 # Records

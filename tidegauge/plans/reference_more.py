@@ -47,7 +47,7 @@ def g7_directed(spark: SparkSession, d: str) -> DataFrame:
 def g13_propagation(spark: SparkSession, d: str) -> DataFrame:
     a = Analysis(spark, d)
     seeds = a.scores.select(*KEY, F.round("max_z", 2).alias("score"))
-    return graph.propagation_scores(seeds, graph.closure(a.edges, [])).select(*KEY, F.round("propagated", 8).alias("propagated"))
+    return graph.propagation_scores(seeds, graph.closure(a.edges, [], 5, paths=False)).select(*KEY, F.round("propagated", 8).alias("propagated"))
 
 
 def c10_backdoor(spark: SparkSession, d: str) -> DataFrame:
@@ -228,7 +228,7 @@ SELECT src, dst, CAST(sum(a) AS BIGINT) AS n_directed, CAST(sum(b) AS BIGINT) AS
     "g13_propagation": f"""
 WITH RECURSIVE {sql.CLOSURE}, {sql.DEVIATIONS.strip()}, seeds AS (SELECT incident_id, service_id, round(max_z, 2) AS score FROM scores),
 gains AS (SELECT a.incident_id, a.service_id, sum(power(0.5::DOUBLE, depth * (depth + 1) / 2) * b.score) AS g
-          FROM seeds a JOIN reach ON reach.src = a.service_id JOIN seeds b ON b.incident_id = a.incident_id AND b.service_id = reach.dst GROUP BY ALL)
+          FROM seeds a JOIN reach ON reach.src = a.service_id AND depth <= 5 JOIN seeds b ON b.incident_id = a.incident_id AND b.service_id = reach.dst GROUP BY ALL)
 SELECT incident_id, service_id, round(score + coalesce(g, 0), 8) AS propagated FROM seeds LEFT JOIN gains USING (incident_id, service_id)""",
     "c10_backdoor": f"""
 WITH r AS (SELECT {sql.LABEL.format('fault_type')} AS fault, {sql.LABEL.format('split')} AS split, expected_recovery_t - injected_at_t AS y FROM (SELECT DISTINCT ON (fault_id) * FROM scenarios)

@@ -65,6 +65,17 @@ own_walk(fault_id, src, dst, depth) USING KEY (fault_id, src, dst) AS (
   SELECT w.fault_id, w.src, e.dst, min(w.depth) + 1 FROM own_walk w JOIN path_edges e ON e.fault_id = w.fault_id AND e.src = w.dst
   WHERE e.dst <> w.src AND NOT EXISTS (SELECT 1 FROM recurring.own_walk r WHERE r.fault_id = w.fault_id AND r.src = w.src AND r.dst = e.dst)
   GROUP BY w.fault_id, w.src, e.dst)"""
+#: Reachability in the graph of each incident, ``inc_edges``.
+INC_REACH = """
+inc_reach(incident_id, src, dst, depth, path) USING KEY (incident_id, src, dst) AS (
+  SELECT incident_id, src, dst, 1, [src, dst] FROM inc_edges
+  UNION
+  SELECT w.incident_id, w.src, e.dst, min(w.depth) + 1, min(list_append(w.path, e.dst)) FROM inc_reach w JOIN inc_edges e ON e.incident_id = w.incident_id AND e.src = w.dst
+  WHERE e.dst <> w.src AND NOT EXISTS (SELECT 1 FROM recurring.inc_reach r WHERE r.incident_id = w.incident_id AND r.src = w.src AND r.dst = e.dst)
+  GROUP BY w.incident_id, w.src, e.dst)"""
+OBSERVED = """
+observed AS (SELECT DISTINCT incident_id, service_id FROM series WHERE v IS NOT NULL),
+inc_edges AS (SELECT a.incident_id, src, dst FROM observed a JOIN edges ON src = a.service_id JOIN observed b ON b.incident_id = a.incident_id AND b.service_id = dst)"""
 SAMPLES = ALIGNED + """,
 samples AS (
   SELECT incident_id, service_id, CASE WHEN rn * 2 <= cnt THEN 'base' ELSE 'post' END AS side, rn AS idx, v FROM (
@@ -163,19 +174,19 @@ SELECT '{method}' AS method, incident_id, coalesce(services, '') AS services, se
 
 #: Tables of the ranking over diverging, scores, edges, reach, evidence and hidden, and the ranking itself.
 RANKING = """
-nodes AS (SELECT node, bool_and(o = 0) AS is_leaf FROM (SELECT src AS node, 1 AS o FROM edges UNION ALL SELECT dst, 0 FROM edges) GROUP BY node),
+nodes AS (SELECT incident_id, node, bool_and(o = 0) AS is_leaf FROM (SELECT incident_id, src AS node, 1 AS o FROM inc_edges UNION ALL SELECT incident_id, dst, 0 FROM inc_edges) GROUP BY incident_id, node),
 met AS (
   SELECT a.incident_id, a.service_id AS src, b.service_id AS dst, a.t_star_ms AS ta, b.t_star_ms AS tb, path
-  FROM diverging a JOIN reach ON a.service_id = reach.src JOIN diverging b ON b.incident_id = a.incident_id AND b.service_id = reach.dst),
+  FROM diverging a JOIN inc_reach r ON r.incident_id = a.incident_id AND r.src = a.service_id JOIN diverging b ON b.incident_id = a.incident_id AND b.service_id = r.dst),
 down AS (SELECT DISTINCT ON (incident_id, src) incident_id, src AS service_id, path AS down FROM met ORDER BY incident_id, src, tb, dst),
 reached AS (SELECT incident_id, src AS service_id, count(*) FILTER (WHERE tb < ta - 100) AS k FROM met GROUP BY ALL),
 up AS (SELECT DISTINCT ON (incident_id, dst) incident_id, dst AS service_id, path AS up FROM met WHERE ta >= tb - 10 ORDER BY incident_id, dst, ta, src),
 facts AS (
   SELECT d.*, nodes.is_leaf, down, up, coalesce(k, 0) AS k,
-         (SELECT count(*) FROM diverging o JOIN nodes n ON n.node = o.service_id WHERE o.incident_id = d.incident_id AND o.t_star_ms < d.t_star_ms - 100) AS earlier,
+         (SELECT count(*) FROM diverging o JOIN nodes n ON n.node = o.service_id AND n.incident_id = o.incident_id WHERE o.incident_id = d.incident_id AND o.t_star_ms < d.t_star_ms - 100) AS earlier,
          (SELECT count(*) FROM diverging o WHERE o.incident_id = d.incident_id AND o.t_star_ms < d.t_star_ms - 100) AS any_earlier,
          (SELECT count(*) FROM diverging o WHERE o.incident_id = d.incident_id AND abs(o.t_star_ms - d.t_star_ms) <= 5000) - 1 AS n_ties, s.max_z AS score
-  FROM diverging d JOIN scores s USING (incident_id, service_id) LEFT JOIN nodes ON node = d.service_id LEFT JOIN down USING (incident_id, service_id)
+  FROM diverging d JOIN scores s USING (incident_id, service_id) LEFT JOIN nodes ON node = d.service_id AND nodes.incident_id = d.incident_id LEFT JOIN down USING (incident_id, service_id)
   LEFT JOIN up USING (incident_id, service_id) LEFT JOIN reached USING (incident_id, service_id)),
 ruled AS (
   SELECT *, any_earlier = 0 OR k >= earlier AS r2, down IS NOT NULL OR (coalesce(is_leaf, false) AND up IS NOT NULL) AS r3,
@@ -227,6 +238,7 @@ trial_{method.lower()} AS (WITH RECURSIVE {folded(order)[len(COSTS):].lstrip(','
 RESULTS = f"""
 {CLOSURE}, {ORACLE}, {_TRIAL_SCORES}{DIVERGING[len(DEVIATIONS):]},
 evidence AS (SELECT NULL::VARCHAR AS incident_id, NULL::VARCHAR AS src, NULL::VARCHAR AS dst, false AS exceeds WHERE false), hidden AS (SELECT NULL::VARCHAR AS a, NULL::VARCHAR AS b WHERE false),
+inc_edges AS (SELECT fault_id AS incident_id, src, dst FROM path_edges), {INC_REACH},
 {RANKING}, trial_ranked AS ({RANKED}){COSTS.split(DEVIATIONS.strip())[1]},
 {_trial_probes('RANDOM', "md5('42:' || incident_id || ':' || service_id)")}, {_trial_probes('ONE_SHOT', 'utility DESC, service_id')},
 obs AS (SELECT r.*, mean_z, bool_or(confidence <> 'NONE') OVER (PARTITION BY incident_id) AS sure, row_number() OVER (PARTITION BY incident_id ORDER BY mean_z DESC, service_id) AS place FROM trial_ranked r JOIN scores USING (incident_id, service_id)),
@@ -316,7 +328,7 @@ FROM readings JOIN grid USING (incident_id) WHERE isfinite(collection_lag_s) AND
     "a5_precedence": f"""
 WITH {DIVERGING} SELECT incident_id, service_id, t_star_ms, min(t_star_ms) OVER (PARTITION BY incident_id) >= t_star_ms - 100 AS r2,
   count(*) OVER (PARTITION BY incident_id ORDER BY t_star_ms RANGE BETWEEN 5000 PRECEDING AND 5000 FOLLOWING) - 1 AS n_ties FROM diverging""",
-    "a12_ranking": f"WITH RECURSIVE {CLOSURE}, {DIVERGING.strip()}, {EVIDENCE}, {HIDDEN}, {RANKING} {RANKED}",
+    "a12_ranking": f"WITH RECURSIVE {PATHS}, {DIVERGING.strip()}, {EVIDENCE}, {HIDDEN}, {OBSERVED}, {INC_REACH}, {RANKING} {RANKED}",
     "a8_evidence": f"WITH {PATHS}, {DEVIATIONS.strip()}, {EVIDENCE} SELECT incident_id, src, dst, n_base, n_post, round(w1, 6) AS w1, round(theta, 6) AS theta, exceeds FROM evidence",
     "a13_latency": f"WITH {DIVERGING} SELECT incident_id, round((min(t_star_ms) - any_value(s)) / 1000, 3) AS latency_s FROM diverging JOIN grid USING (incident_id) GROUP BY incident_id",
     "g1_time_sliced": f"""

@@ -44,7 +44,7 @@ class Trials:
     @cached_property
     def reach(self) -> DataFrame:
         self.edges = cut_lineage(graph.path_edges(self.scenarios).select("src", "dst").distinct())
-        return graph.closure(self.edges, [])
+        return graph.closure(self.edges, [], paths=False)
 
     @cached_property
     def costs(self) -> DataFrame:
@@ -65,7 +65,8 @@ class Trials:
         """method, fault_id, truth, confounded, not_identifiable, top_candidates, abstained, latency_s, total_ed_s."""
         key = ["incident_id"]
         reach, costs = self.reach, self.costs
-        ranked = cut_lineage(detect.rank_divergence(self.deviations, self.edges))
+        own = graph.path_edges(self.scenarios).withColumnRenamed("fault_id", "incident_id")  # each scenario's oracle graph
+        ranked = cut_lineage(detect.rank_divergence(self.deviations, own))
         parts = [
             methods.observational(self.incidents, ranked, self.scores),
             methods.propagated(self.incidents, self.scores, reach),

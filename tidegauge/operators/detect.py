@@ -93,8 +93,8 @@ def rank_divergence(dev: DataFrame, edges: DataFrame, evidence: DataFrame | None
     R3 another diverging service is reached from it, or it is a leaf that an upstream service
     diverging no earlier reaches; R4 an edge on its shortest path has evidence. All four are
     DEFINITIVE, the first three CANDIDATE, else NONE. ``edges``: src, dst; ``evidence``: src, dst
-    (over its threshold); ``bidirected``: a, b. Edges and evidence that belong to an incident have its
-    incident_id too; a graph of its own for each incident is what keeps reachability small. Ways are
+    (over its threshold); ``bidirected``: a, b. Edges, evidence and pairs that belong to an incident
+    have its incident_id too; a graph of its own for each incident is what keeps reachability small. Ways are
     followed from diverging services only.
     """
     # A few rows an incident, read five times below.
@@ -124,8 +124,9 @@ def rank_divergence(dev: DataFrame, edges: DataFrame, evidence: DataFrame | None
     tier = F.when(F.col("r2") & F.col("r3") & F.col("r4"), "DEFINITIVE").when(F.col("r2") & F.col("r3"), "CANDIDATE").otherwise("NONE")
     rows = rows.withColumn("confidence", tier).withColumn("boundary_limited", F.col("is_leaf").isNull())
     if bidirected is not None:
-        hidden = bidirected.select(F.col("a").alias("service_id")).unionByName(bidirected.select(F.col("b").alias("service_id"))).distinct().withColumn("_hidden", F.lit(True))
-        rows = rows.join(hidden, "service_id", "left")
+        own = [c for c in ("incident_id",) if c in bidirected.columns]
+        ends = bidirected.select(*own, F.explode(F.array("a", "b")).alias("service_id")).distinct()
+        rows = rows.join(ends.withColumn("_hidden", F.lit(True)), [*own, "service_id"], "left")
     else:
         rows = rows.withColumn("_hidden", F.lit(None).cast("boolean"))
     rows = rows.withColumn("identifiability", F.when(F.col("_hidden"), "NOT_IDENTIFIABLE").otherwise("IDENTIFIABLE"))

@@ -96,6 +96,21 @@ class Analysis:
     def ranked(self) -> DataFrame:
         return detect.rank_divergence(self.deviations, self.incident_edges, self.evidence.filter("exceeds").select("incident_id", "src", "dst"), bidirected=self.hidden)
 
+    @property
+    def ranked_discovered(self) -> DataFrame:
+        """The ranking in the graph that discovery finds for each incident, with its hidden common causes."""
+        pag = self.pag
+        directed = pag.filter("edge_type = 'DIRECTED'").select("incident_id", "src", "dst")
+        hidden = pag.filter("edge_type = 'BIDIRECTED'").select("incident_id", F.col("src").alias("a"), F.col("dst").alias("b"))
+        return detect.rank_divergence(self.deviations, directed, self.evidence.filter("exceeds").select("incident_id", "src", "dst"), bidirected=hidden)
+
+    @property
+    def updated_edges(self) -> DataFrame:
+        """Confidence of the calls of each incident after the evidence of its probes."""
+        calls = self.incident_edges.select(F.col("incident_id").alias("run_id"), "src", "dst", F.lit(0.5).alias("confidence"))
+        shown = self.evidence.select(F.col("incident_id").alias("run_id"), F.col("src").alias("source"), F.col("dst").alias("target"), "exceeds")
+        return select.update_edges(calls, shown)
+
     @property
     def samples(self) -> DataFrame:
         """First and second half of each series as the two sides of a comparison."""

@@ -105,6 +105,17 @@ def c1_generators(spark: SparkSession, d: str) -> DataFrame:
     return causal.discover(simulate.generated_series(spark), ["model"])
 
 
+def a12_discovered(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking of every incident in the graph that discovery finds among its services."""
+    rows = Analysis(spark, d).ranked_discovered
+    return rows.select(*KEY, "t_star_ms", "r2", "r3", "r4", "confidence", "boundary_limited", "identifiability", "rank", "path")
+
+
+def l10_probes(spark: SparkSession, d: str) -> DataFrame:
+    """Confidence of the calls of each incident after the evidence of its probes."""
+    return Analysis(spark, d).updated_edges.select(F.col("run_id").alias("incident_id"), "src", "dst", F.round("confidence", 6).alias("confidence"))
+
+
 def l12_structure(spark: SparkSession, d: str) -> DataFrame:
     """Edges of each scenario after evidence against its first edge and for the reverse of its last."""
     edges = graph.path_edges(load(spark, d, "scenarios")).select(F.col("fault_id").alias("run_id"), "src", "dst").withColumn("confidence", F.when(F.length("src") % 2 == 0, 0.2).otherwise(0.6))
@@ -251,7 +262,7 @@ def e15_pairing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    s2_error_ratio, s3_rejected, s11_oracle_metrics, s14_scenario_files, s17_tables, s20_results, t6_selection, g5_simple_paths, g7_conversion, g9_lookups, c1_generators, l12_structure,
+    s2_error_ratio, s3_rejected, s11_oracle_metrics, s14_scenario_files, s17_tables, s20_results, t6_selection, g5_simple_paths, g7_conversion, g9_lookups, c1_generators, a12_discovered, l10_probes, l12_structure,
     i2_commands, i4_checks, i5_lifecycle, i8_verification, i9_manifest, i10_gate, i13_failures, b7_ochiai, b7_isolation, m3_models, d9_evaluate, d10_type_one,
     e6_interval, e8_equivalence, e9_binomial, e13_power, e15_pairing,
 )}
@@ -352,6 +363,12 @@ lik AS (SELECT incident_id, target, ln(greatest(3 * c * c, 1e-12)) AS hit, ln(gr
 logs AS (SELECT p.incident_id, p.service_id, ln(p.p) + coalesce((SELECT sum(CASE WHEN l.target = p.service_id THEN hit ELSE miss END) FROM lik l WHERE l.incident_id = p.incident_id), 0) AS g FROM prior p WHERE p.p > 0),
 scaled AS (SELECT *, exp(g - max(g) OVER (PARTITION BY incident_id)) AS w FROM logs)
 SELECT incident_id, service_id, round(w / sum(w) OVER (PARTITION BY incident_id), 5) AS p FROM scaled""",
+    "l10_probes": f"""
+WITH {sql.PATHS}, {sql.DEVIATIONS.strip()}, {sql.EVIDENCE}, {sql.OBSERVED},
+every_edge AS (SELECT incident_id, src, dst, true AS known FROM inc_edges UNION ALL SELECT incident_id, src, dst, false FROM (SELECT incident_id, src, dst FROM evidence EXCEPT SELECT incident_id, src, dst FROM inc_edges)),
+into_target AS (SELECT e.incident_id, e.src, e.dst, list(CASE WHEN v.src IS NULL OR (NOT known AND v.src < e.src) THEN 1 WHEN v.src = e.src AND v.exceeds THEN 1.2::DOUBLE WHEN v.src = e.src OR v.exceeds THEN 0.9::DOUBLE ELSE 1 END ORDER BY v.src) AS factors
+  FROM every_edge e LEFT JOIN evidence v ON v.incident_id = e.incident_id AND v.dst = e.dst GROUP BY ALL)
+SELECT incident_id, src, dst, round(list_reduce(list_prepend(0.5::DOUBLE, factors), lambda c, f: least(greatest(c * f, 0.05), 0.95)), 6) AS confidence FROM into_target""",
     "l12_structure": f"""
 WITH RECURSIVE {sql.PATHS}, {sql.OWN_REACH}, e AS (SELECT fault_id, src, dst, CASE WHEN length(src) % 2 = 0 THEN 0.2::DOUBLE ELSE 0.6::DOUBLE END AS confidence FROM path_edges),
 first AS (SELECT DISTINCT ON (fault_id) fault_id, src, dst FROM e ORDER BY fault_id, src, dst), last AS (SELECT DISTINCT ON (fault_id) fault_id, e.dst AS src, e.src AS dst FROM e ORDER BY fault_id, e.src DESC, e.dst DESC)

@@ -34,7 +34,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_windows(spark: SparkSession, d: str) -> DataFrame:
     """Value or missing mark, readings and effective support of each window."""
     rows = grid_windows(load(spark, d, "raw_metrics"), load(spark, d, "incidents"))
-    return rows.select("incident_id", "service_id", "metric_name", "window_id", "n_readings", F.round("support", 4).alias("support"), F.round("value", 3).alias("value"), "missing")
+    return rows.select("incident_id", "service_id", "metric_name", "window_id", "n_readings", F.round("support", 4).alias("support"), (F.round("value", 3) + 0.0).alias("value"), "missing")
 
 
 def p4_streams(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +131,7 @@ LEFT JOIN sums USING (incident_id, service_id, metric_name, window_id) WHERE coa
     "p4_windows": _GRID + """
 SELECT incident_id, service_id, metric_name, window_id, coalesce(n_readings, 0) AS n_readings,
        round(CASE WHEN q0 > 0 THEN s0 * s0 / q0 ELSE 0 END, 4) AS support,
-       round(CASE WHEN n_readings > 0 THEN CASE WHEN s0 * s2 - s1 * s1 > 1e-9::DOUBLE * s0 * s0 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END END, 3) AS value,
+       round(CASE WHEN n_readings > 0 THEN CASE WHEN s0 * s2 - s1 * s1 > 1e-9::DOUBLE * s0 * s0 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END END, 3) + 0.0::DOUBLE AS value,
        coalesce(n_readings, 0) = 0 AS missing
 FROM windows LEFT JOIN sums USING (incident_id, service_id, metric_name, window_id)
 """,

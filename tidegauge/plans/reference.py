@@ -38,7 +38,7 @@ def s3_s4_responses(spark: SparkSession, d: str) -> DataFrame:
     pairs = raw.groupBy("incident_id", "service_id", "metric_name").agg(F.collect_list(F.array(F.col("ts").cast("string"), F.col("value_str"))).alias("values"))
     body = F.to_json(F.struct(F.lit("success").alias("status"), F.struct(F.lit("matrix").alias("resultType"), F.array(F.struct(F.create_map(F.lit("job"), F.col("service_id")).alias("metric"), F.col("values"))).alias("result")).alias("data")))
     series = telemetry.series_of(pairs.select("incident_id", "service_id", "metric_name", body.alias("body")), ["incident_id", "service_id", "metric_name"])
-    return series.groupBy("incident_id", "service_id", "metric_name").agg(F.count(F.lit(1)).alias("n_times"), F.round(F.sum(F.when(F.abs("value") < 1e6, F.col("value"))), 3).alias("sum_value"))
+    return series.groupBy("incident_id", "service_id", "metric_name").agg(F.count(F.lit(1)).alias("n_times"), F.round(F.sum(F.when(F.abs("value") < 1e6, F.col("value"))), 6).alias("sum_value"))
 
 
 def s2_counter_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -338,7 +338,7 @@ def l11_posterior_update(spark: SparkSession, d: str) -> DataFrame:
     a = Analysis(spark, d)
     hot = detect.over_threshold(a.scores).select(*KEY, F.round("max_z", 2).alias("score"))
     prior = select.initial_posterior(hot, ["incident_id"]).select(*KEY, "p")
-    evidence = diverge.total_variation(a.samples, KEY).select("incident_id", F.col("service_id").alias("target"), F.round("tv", 3).alias("c"))
+    evidence = diverge.total_variation(a.samples, KEY).select("incident_id", F.col("service_id").alias("target"), F.col("tv").alias("c"))
     return _with_rounded(select.update_posterior(prior, evidence, ["incident_id"]), "p", dp=5)
 
 
@@ -433,7 +433,7 @@ def e4_cost(spark: SparkSession, d: str) -> DataFrame:
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """First against second window mean of each service and metric."""
     rows = Analysis(spark, d).aligned.filter("value is not null")
-    means = rows.groupBy("metric_name", "incident_id", "service_id").agg(F.round(F.min_by("value", "window_id"), 3).alias("x"), F.round(F.max_by("value", "window_id"), 3).alias("y"))
+    means = rows.groupBy("metric_name", "incident_id", "service_id").agg(F.min_by("value", "window_id").alias("x"), F.max_by("value", "window_id").alias("y"))
     return means
 
 
@@ -442,7 +442,7 @@ def e6_cliffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e7_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
-    return _with_rounded(evaluate.signed_ranks(_pairs(spark, d).withColumns({"x": F.round("x", 3), "y": F.round("y", 3)}).select("metric_name", "x", "y"), ["metric_name"]), "z", dp=4).select("metric_name", "n", "w_plus", "z", "tied")
+    return _with_rounded(evaluate.signed_ranks(_pairs(spark, d).select("metric_name", "x", "y"), ["metric_name"]), "z", dp=4).select("metric_name", "n", "w_plus", "z", "tied")
 
 
 def e7_pvalues(spark: SparkSession, d: str) -> DataFrame:

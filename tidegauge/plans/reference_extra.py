@@ -358,7 +358,7 @@ seen AS (SELECT fault_id, greatest(src, dst) AS a, least(src, dst) AS b, string_
 SELECT fault_id, a, b, edge_types IS NOT NULL AS has_edge, edge_types, coalesce(h, false) AS hidden_cause FROM pairs LEFT JOIN seen USING (fault_id, a, b)""",
     "l11_posterior_update": f"""
 WITH {sql.HOT}{sql.SAMPLES[len(sql.ALIGNED):]},
-facts AS (SELECT incident_id, service_id AS target, least(greatest(round(tv, 3), 1e-6), 1 - 1e-6) AS c FROM tv),
+facts AS (SELECT incident_id, service_id AS target, least(greatest(tv, 1e-6), 1 - 1e-6) AS c FROM tv),
 lik AS (SELECT incident_id, target, ln(greatest(3 * c * c, 1e-12)) AS hit, ln(greatest(3 * (1 - c) * (1 - c), 1e-12)) AS miss FROM facts),
 logs AS (SELECT p.incident_id, p.service_id, ln(p.p) + coalesce((SELECT sum(CASE WHEN l.target = p.service_id THEN hit ELSE miss END) FROM lik l WHERE l.incident_id = p.incident_id), 0) AS g FROM prior p WHERE p.p > 0),
 scaled AS (SELECT *, exp(g - max(g) OVER (PARTITION BY incident_id)) AS w FROM logs)

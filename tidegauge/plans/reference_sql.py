@@ -274,7 +274,7 @@ PVALUES = f"""counts AS (
 pvalues AS (
   SELECT *, round(CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE least(1, list_sum(list_transform(range(k, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.7::DOUBLE) + (n - j) * ln(0.3::DOUBLE))))) END, 9) AS p FROM counts)"""
 PAIRS = ALIGNED + """,
-pairs AS (SELECT metric_name, incident_id, service_id, round(arg_min(v, window_id), 3) AS x, round(arg_max(v, window_id), 3) AS y FROM aligned WHERE v IS NOT NULL GROUP BY ALL)"""
+pairs AS (SELECT metric_name, incident_id, service_id, arg_min(v, window_id) AS x, arg_max(v, window_id) AS y FROM aligned WHERE v IS NOT NULL GROUP BY ALL)"""
 _PIVOT = ", ".join(f"avg(v) FILTER (WHERE metric_name = '{m}') AS {m}" for m in METRICS)
 _WIDE = ALIGNED + f", wide AS (SELECT incident_id, service_id, window_id, {_PIVOT} FROM aligned GROUP BY ALL)"
 
@@ -290,7 +290,7 @@ SELECT service_id, time, round(CASE WHEN dv >= 0 THEN dv ELSE value END / dt, 6)
     "s3_s4_responses": """
 WITH parsed AS (SELECT incident_id, service_id, metric_name, ts, try_cast(value_str AS DOUBLE) AS v FROM raw_metrics WHERE service_id IS NOT NULL AND isfinite(ts)),
 means AS (SELECT incident_id, service_id, metric_name, ts, avg(v) AS v FROM parsed WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY ALL)
-SELECT incident_id, service_id, metric_name, count(*) AS n_times, round(sum(v) FILTER (WHERE abs(v) < 1e6), 3) AS sum_value FROM means GROUP BY ALL""",
+SELECT incident_id, service_id, metric_name, count(*) AS n_times, round(sum(v) FILTER (WHERE abs(v) < 1e6), 6) AS sum_value FROM means GROUP BY ALL""",
     "s8_split": """
 WITH placed AS (SELECT fault_id, row_number() OVER (ORDER BY fault_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT fault_id FROM scenarios WHERE fault_id IS NOT NULL))
 SELECT fault_id, CASE WHEN i < n // 2 THEN 'DEVELOPMENT' WHEN i < (3 * n) // 4 THEN 'VALIDATION' ELSE 'HELD_OUT_TEST' END AS split FROM placed""",
@@ -302,7 +302,10 @@ SELECT edge_type, count(*) AS n, count(DISTINCT fault_id) AS n_scenarios FROM pa
     "s16_manifest": """
 SELECT service_id, sha256('{' || concat_ws(',', '"instrumented":' || instrumented::VARCHAR, '"name":"' || name || '"', '"namespace":"' || namespace || '"', '"replicas":' || replicas, '"service_id":"' || service_id || '"') || '}') AS sha256 FROM services""",
     "s18_guard": f"SELECT {LABEL.format('split')} AS split, count(*) AS n_rows, CASE WHEN {LABEL.format('any_value(split)')} = 'HELD_OUT_TEST' THEN 'REFUSED' ELSE 'GIVEN' END AS access FROM scenarios GROUP BY {LABEL.format('split')}",
-    "s19_secrets": "SELECT service_id, CASE WHEN replicas IS NULL THEN 'api_key' WHEN replicas > 4 THEN 'token' ELSE 'password' END AS word FROM services WHERE replicas IS NULL OR replicas > 4 OR replicas = 1",
+    "s19_secrets": """
+WITH c AS (SELECT service_id, lower(service_id || ' ' || CASE WHEN replicas IS NULL THEN 'api_key' WHEN replicas > 4 THEN 'token' WHEN replicas = 1 THEN 'private_key password' ELSE '' END) AS t FROM services),
+w AS (SELECT service_id, CASE WHEN contains(t, 'password') THEN 'password' WHEN contains(t, 'secret') THEN 'secret' WHEN contains(t, 'token') THEN 'token' WHEN contains(t, 'api_key') THEN 'api_key' WHEN contains(t, 'private_key') THEN 'private_key' END AS word FROM c)
+SELECT * FROM w WHERE word IS NOT NULL""",
     "s21_phrases": "SELECT doc_id, len(regexp_extract_all(text, '(?i)held|proven|guarantee')) AS n FROM documents WHERE len(regexp_extract_all(text, '(?i)held|proven|guarantee')) > 0",
     "s22_last_wins": f"SELECT record_id, {LABEL.format('status')} AS status, rollback_attempts FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ingested_at DESC) AS rn FROM interventions WHERE record_id IS NOT NULL) WHERE rn = 1",
     "t1_grid": f"WITH {READINGS} SELECT incident_id, window_id, s + window_id * w AS t_start_ms FROM (SELECT incident_id, s, w, unnest(range(n)) AS window_id FROM grid)",

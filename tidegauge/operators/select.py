@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -76,40 +78,48 @@ def _entropy_of(p: np.ndarray) -> float:
     return float(-(q * np.log(q)).sum())
 
 
-def _fold_selection(theta: float, budget: float, key: list[str], by: list[str], ascending: list[bool]):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by, ascending=ascending, kind="stable")
-        p = pdf["p"].to_numpy(float)
-        p = p / p.sum() if p.sum() > 0 else p
-        gain, seconds, services = (pdf[c].to_numpy() for c in ("eig", "seconds", "service_id"))
-        eligible = (pdf["authorization"].to_numpy() != "DENIED") & (seconds <= budget)
-        left, out, h = budget, [], _entropy_of(p)
-        reason = None if eligible.any() else "NO_ELIGIBLE"
-        for i in np.flatnonzero(eligible) if reason is None else []:
-            if h < theta:
-                break
-            if seconds[i] > left:
-                continue
-            left -= seconds[i]
-            sharpening, p_x = min(0.4, gain[i]), p[i]
-            new = p * max(0.0, 1 - sharpening * p_x)
-            new[i] = min(1.0, p_x + sharpening * (1 - p_x))
-            p = new / new.sum() if new.sum() > 0 else new
-            h = _entropy_of(p)
-            out.append((services[i], len(out) + 1, left, h))
-        reason = reason or ("ENTROPY_CONVERGED" if h < theta else "BUDGET_EXHAUSTED" if out else "NO_ELIGIBLE")
-        rows = pd.DataFrame(out or [(None, 0, left, h)], columns=["service_id", "step", "budget_left", "entropy_after"])
-        for k in reversed(key):
-            rows.insert(0, k, pdf[k].iloc[0])
-        return rows.assign(stop_reason=reason)
-
-    return fold
-
-
-def _selection(costs: DataFrame, key: list[str], theta: float, budget: float, by: list[str], ascending: list[bool]) -> DataFrame:
+def _choose(theta: float, budget: float, p: np.ndarray, gain: np.ndarray, seconds: np.ndarray, denied: np.ndarray) -> tuple[list[tuple], str]:
+    """Places chosen in the given order, each with its step, the time left and the entropy after it; and why it ended."""
+    p = p / p.sum() if p.sum() > 0 else p
+    eligible = ~denied & (seconds <= budget)
+    left, out, h = budget, [], _entropy_of(p)
+    if not eligible.any():
+        return [(None, 0, left, h)], "NO_ELIGIBLE"
+    for i in np.flatnonzero(eligible):
+        if h < theta:
+            break
+        if seconds[i] > left:
+            continue
+        left -= seconds[i]
+        sharpening, p_x = min(0.4, gain[i]), p[i]
+        new = p * max(0.0, 1 - sharpening * p_x)
+        new[i] = min(1.0, p_x + sharpening * (1 - p_x))
+        p = new / new.sum() if new.sum() > 0 else new
+        h = _entropy_of(p)
+        out.append((i, len(out) + 1, left, h))
+    reason = "ENTROPY_CONVERGED" if h < theta else "BUDGET_EXHAUSTED" if out else "NO_ELIGIBLE"
+    return out or [(None, 0, left, h)], reason
+
+
+def _selection(costs: DataFrame, key: list[str], theta: float, budget: float, order: list[Column]) -> DataFrame:
+    """Choices of each key, whose candidates come as arrays in ``order``; many keys in a batch."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                chosen, reason = _choose(theta, budget, *(np.asarray(getattr(r, c), float) for c in ("ps", "gains", "times")), np.asarray(r.denied, bool))
+                own = tuple(getattr(r, k) for k in key)
+                rows += [(*own, None if i is None else r.services[i], step, left, h, reason) for i, step, left, h in chosen]
+            yield pd.DataFrame(rows, columns=[*key, "service_id", "step", "budget_left", "entropy_after", "stop_reason"])
+
+    places = [c.alias(f"_{i}") for i, c in enumerate(order)]
+    one = F.struct(*places, "service_id", "p", F.col("eig").alias("gain"), "seconds", (F.col("authorization") == "DENIED").alias("denied"))
+    held = costs.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("c"))
+    parts = {"services": "service_id", "ps": "p", "gains": "gain", "times": "seconds", "denied": "denied"}
+    held = held.select(*key, *(F.col(f"c.{field}").alias(name) for name, field in parts.items()))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in costs.schema if f.name in key)
-    fold = _fold_selection(theta, budget, key, by, ascending)
-    return costs.groupBy(*key).applyInPandas(fold, f"{kinds}, service_id string, step int, budget_left double, entropy_after double, stop_reason string")
+    return held.mapInPandas(fold, f"{kinds}, service_id string, step int, budget_left double, entropy_after double, stop_reason string")
 
 
 def greedy_selection(costs: DataFrame, key: list[str], *, theta: float = 0.5, budget: float = 600.0) -> DataFrame:
@@ -122,13 +132,13 @@ def greedy_selection(costs: DataFrame, key: list[str], *, theta: float = 0.5, bu
     row of step 0 without a service. A key holds the candidates of one incident, which are bounded by
     its services.
     """
-    return _selection(costs, key, theta, budget, ["utility", "service_id"], [False, True])
+    return _selection(costs, key, theta, budget, [-F.col("utility"), F.col("service_id")])
 
 
 def random_selection(costs: DataFrame, key: list[str], *, seed: int = 42, theta: float = 0.5, budget: float = 600.0) -> DataFrame:
     """Like :func:`greedy_selection` in the order of a digest instead of utility."""
     drawn = costs.withColumn("_draw", F.md5(F.concat_ws(":", F.lit(str(seed)), *key, "service_id")))
-    return _selection(drawn, key, theta, budget, ["_draw"], [True])
+    return _selection(drawn, key, theta, budget, [F.col("_draw")])
 
 
 def distinct_services(selected: DataFrame, key: list[str]) -> DataFrame:

@@ -167,3 +167,17 @@ def test_registry(tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "r.yaml").write_text("experiments:\n  E1:\n    seed: 4\n")
     assert experiment_settings(str(tmp_path / "r.yaml"), "E1") == {"seed": 4}
+
+
+def test_stage_log(spark):
+    from tidegauge.plans.instrument import StageLog
+
+    log = StageLog()
+    assert log.bottleneck is None and log.total_s == 0 and log.table(spark).count() == 0
+    with log.stage("collect") as facts:
+        facts["n_rows"] = spark.range(1000).count()
+    with pytest.raises(ValueError), log.stage("fci", "quick"):
+        raise ValueError("no")
+    rows = {r.stage_name: r for r in log.table(spark).collect()}
+    assert rows["collect"].n_rows == 1000 and rows["collect"].notes == "" and rows["fci"].notes == "failed: ValueError"
+    assert log.bottleneck == "collect" and log.total_s >= rows["collect"].wall_time_s > 0

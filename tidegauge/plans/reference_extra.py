@@ -17,6 +17,8 @@ from tidegauge.sources import scenarios as results
 from tidegauge.sources import telemetry
 
 KEY = ["incident_id", "service_id"]
+#: Fields of a scenario in a file.
+_SCENARIO = ["fault_id", "name", "root_cause_service", "fault_type", "injected_at_t", "expected_recovery_t", "causal_path", "confounded", "confounder_description", "affected_services", "split", "ground_truth_locked", "seed"]
 
 
 # Sources
@@ -45,7 +47,7 @@ def s11_oracle_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def s14_scenario_files(spark: SparkSession, d: str) -> DataFrame:
     """Scenarios written as files of the form {split, n_scenarios, scenarios} and read back, counted by split."""
-    once = load(spark, d, "scenarios").filter("fault_id is not null").drop("source_set", "observable_by_rift").distinct()
+    once = load(spark, d, "scenarios").filter("fault_id is not null").select(*_SCENARIO).distinct()
     part = F.pmod(F.xxhash64("fault_id"), F.lit(64))  # a file's document holds a part of a split
     docs = once.groupBy("split", part.alias("part")).agg(F.count(F.lit(1)).alias("n_scenarios"), F.collect_list(F.struct(*once.columns)).alias("scenarios"))
     path = scratch_folder(spark)
@@ -170,13 +172,14 @@ def i9_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i10_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Decision before a probe of each service."""
+    """Decision before a probe of each service; the first three namespaces are approved."""
     r = F.coalesce("replicas", F.lit(0))
     probes = load(spark, d, "services").select(
         "service_id", (~F.col("instrumented")).alias("kill"), "namespace", F.when(r != 3, F.col("service_id")).alias("target"), (r * 100.0).alias("cumulative_s"), F.lit(30.0).alias("seconds"),
         F.col("replicas").isNull().alias("mutates"), (r / 10.0).alias("blast_radius"), (r / 100.0).alias("impact"), (1.0 - r / 5.0).alias("confidence"), (r == 1).alias("override"),
     )
-    gate = guard.pre_gate(probes, ["rift-eval-a", "rift-eval-b", "rift-eval-c"], r"^rift-eval-[a-z]+$")
+    names = load(spark, d, "services").select("namespace").distinct().orderBy("namespace").limit(3).collect()
+    gate = guard.pre_gate(probes, [r.namespace for r in names], r"-eval-[a-z]$")
     return gate.select("service_id", "hard_stop", "warnings", "level", "decision")
 
 
@@ -336,7 +339,7 @@ cells AS (
 SELECT fault_id, count(*) AS n, round(max(CASE WHEN hit THEN 50 * greatest(1, lat * power(0.9::DOUBLE, depth)) ELSE 50 END), 3) AS max_lat,
   round(sum(CASE WHEN hit THEN least(1, 0.001::DOUBLE + err * power(0.8::DOUBLE, depth)) ELSE 0.001::DOUBLE END), 3) AS sum_err FROM cells GROUP BY fault_id""",
     "s11_oracle_metrics": f"WITH {sql.ORACLE} SELECT fault_id, service AS service_id, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS peak FROM oracle_series GROUP BY ALL",
-    "s14_scenario_files": f"SELECT {sql.LABEL.format('split')} AS split, count(DISTINCT fault_id) AS n, CAST(sum(coalesce(len(causal_path), 0)) AS BIGINT) AS n_edges FROM (SELECT DISTINCT * EXCLUDE (source_set, observable_by_rift) FROM scenarios WHERE fault_id IS NOT NULL) GROUP BY ALL",
+    "s14_scenario_files": f"SELECT {sql.LABEL.format('split')} AS split, count(DISTINCT fault_id) AS n, CAST(sum(coalesce(len(causal_path), 0)) AS BIGINT) AS n_edges FROM (SELECT DISTINCT {', '.join(_SCENARIO)} FROM scenarios WHERE fault_id IS NOT NULL) GROUP BY ALL",
     "s17_tables": "SELECT namespace, count(*) AS n, CAST(sum(replicas) AS BIGINT) AS replicas FROM services GROUP BY namespace",
     "s20_results": "SELECT method_id AS experiment, CASE WHEN n_scenarios % 2 = 0 THEN 'LIVE' ELSE 'SYNTHETIC' END AS category, n_scenarios FROM runtime_metrics",
     "t6_selection": f"WITH {sql.DEVIATIONS} SELECT incident_id, count(DISTINCT service_id) AS n_services, count(v) AS n_values FROM series GROUP BY incident_id",
@@ -401,7 +404,7 @@ WITH want(split, expected) AS (VALUES ('DEVELOPMENT', 1), ('VALIDATION', 1), ('H
 SELECT split, expected::BIGINT AS expected, coalesce(n, 0) AS n FROM want LEFT JOIN have USING (split) WHERE coalesce(n, 0) <> expected""",
     "i10_gate": """
 WITH p AS (SELECT *, coalesce(replicas, 0) AS r FROM services), g AS (
-  SELECT *, CASE WHEN NOT instrumented THEN 'KILL_SWITCH' WHEN NOT regexp_matches(namespace, '^rift-eval-[a-z]+$') OR namespace NOT IN ('rift-eval-a', 'rift-eval-b', 'rift-eval-c') THEN 'NAMESPACE' WHEN r = 3 THEN 'TARGET'
+  SELECT *, CASE WHEN NOT instrumented THEN 'KILL_SWITCH' WHEN NOT regexp_matches(namespace, '-eval-[a-z]$') OR namespace NOT IN (SELECT DISTINCT namespace FROM services ORDER BY namespace LIMIT 3) THEN 'NAMESPACE' WHEN r = 3 THEN 'TARGET'
     WHEN r * 100 + 30 > 600 THEN 'BUDGET' WHEN replicas IS NULL THEN 'DATA_MUTATION' END AS hard_stop FROM p)
 SELECT service_id, hard_stop, concat_ws(',', CASE WHEN r / 10 >= 0.3::DOUBLE THEN 'BLAST_RADIUS' END, CASE WHEN r / 100 >= 0.05::DOUBLE THEN 'SLA_IMPACT' END) AS warnings,
   CASE WHEN r = 1 THEN 'AUTONOMOUS' WHEN r / 10 < 0.1::DOUBLE AND r / 100 < 0.01::DOUBLE THEN 'AUTONOMOUS' WHEN 1 - r / 5 < 0.3::DOUBLE THEN 'DENIED' ELSE 'SUPERVISED' END AS level, CASE WHEN hard_stop IS NULL THEN 'ALLOW' ELSE 'DENY' END AS decision FROM g""",

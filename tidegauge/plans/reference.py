@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import norm_label, norm_name
-from tidegauge.operators import align, causal, detect, diverge, evaluate, graph, guard, methods, select, simulate
+from tidegauge.operators import align, causal, detect, diverge, evaluate, graph, guard, held, methods, select, simulate
 from tidegauge.plans.pipeline import Analysis
 from tidegauge.plans.reference_sql import SQL
 from tidegauge.plans.runtime import cut_lineage, load
@@ -206,8 +206,12 @@ def g2_collapse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g3_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Reachable pairs and shortest paths of the call graph."""
-    return graph.closure(Analysis(spark, d).edges, []).select("src", "dst", "depth", F.array_join("path", ">").alias("path"))
+    """Reachable pairs and shortest paths of the call graph, by joins if no worker can hold it."""
+    edges = Analysis(spark, d).edges
+    calls = held.held_graph(edges)
+    if calls is not None:
+        return held.all_paths(spark, calls)
+    return graph.closure(edges, []).select("src", "dst", "depth", F.array_join("path", ">").alias("path"))
 
 
 def g4_scenario_paths(spark: SparkSession, d: str) -> DataFrame:

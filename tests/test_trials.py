@@ -4,10 +4,11 @@ import glob
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators.select import _choose
-from tidegauge.plans import judge, reference
+from tidegauge.plans import judge, reference, reference_more
 from tidegauge.plans.trials import Trials
 
 SMALL, TENTH = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -28,11 +29,12 @@ def rounded(df):
     return df.withColumn("top_candidates", best).withColumn("latency_s", F.round("latency_s", 6))
 
 
-def test_trials_write_no_series(spark):
+@pytest.mark.parametrize("query", [reference.e4_cost, reference_more.e16_validation])
+def test_trials_write_no_series(spark, query):
     n = spark.read.parquet(f"{TENTH}/scenarios.parquet").count()
     reference.g12_degrees(spark, SMALL)  # there is a checkpoint folder
     _, before = written(spark)
-    reference.e4_cost(spark, TENTH)
+    query(spark, TENTH).collect()
     assert written(spark)[1] - before < 2000 * n
 
 

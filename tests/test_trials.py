@@ -29,7 +29,7 @@ def rounded(df):
     return df.withColumn("top_candidates", best).withColumn("latency_s", F.round("latency_s", 6))
 
 
-@pytest.mark.parametrize("query", [reference.e4_cost, reference_more.e16_validation, reference.e18_latency_cdf, reference_more.e20_complete, reference.e1_attribution])
+@pytest.mark.parametrize("query", [reference.e4_cost, reference_more.e16_validation, reference.e18_latency_cdf, reference_more.e20_complete, reference.e1_attribution, reference_more.e5_bootstrap])
 def test_trials_write_no_series(spark, query):
     n = spark.read.parquet(f"{TENTH}/scenarios.parquet").count()
     reference.g12_degrees(spark, SMALL)  # there is a checkpoint folder
